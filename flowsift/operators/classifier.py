@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.constants import ALL_CLASSES, BENIGN, THREAT_CLASSES
+from flowsift.functions.core import let
 from flowsift.functions.features import feature_vector
 from flowsift.operators.rules import layer_score
 
@@ -56,12 +57,17 @@ def classifier_layer(flows: DataFrame, classifier: Classifier, out: str = "xgb")
 
 def probability_layer(flows: DataFrame, probabilities, classes: list[str], out: str = "xgb") -> DataFrame:
     """Layer struct from class probabilities in ``classes`` order (benign first)."""
-    df = flows.withColumn("_prob", probabilities)
-    ranked = F.array_sort(F.transform("_prob", lambda p, i: F.struct(
-        (-p).alias("neg"), i.alias("i"), F.element_at(F.array(*[F.lit(c) for c in classes]), i + 1).alias("cls"))))
-    df = df.withColumn("_ranked", ranked)
-    benign = F.element_at("_prob", 1)
-    best = F.element_at(F.filter("_ranked", lambda r: r["cls"].isin(*THREAT_CLASSES)), 1)["cls"]
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - benign))
-    said = F.transform(F.slice("_ranked", 1, 2), lambda r: F.format_string("%s=%.3f", r["cls"], -r["neg"]))
-    return df.withColumn(out, layer_score("xgb", raw, raw, F.when(benign < 0.5, best), said)).drop("_prob", "_ranked")
+    names = F.array(*[F.lit(c) for c in classes])
+
+    def read(prob: Column) -> Column:
+        ranked = F.array_sort(F.transform(prob, lambda p, i: F.struct(
+            (-p).alias("neg"), i.alias("i"), F.element_at(names, i + 1).alias("cls"))))
+        return F.struct(F.element_at(prob, 1).alias("benign"), ranked.alias("ranked"))
+
+    def layer(r: Column) -> Column:
+        best = F.element_at(F.filter(r["ranked"], lambda x: x["cls"].isin(*THREAT_CLASSES)), 1)["cls"]
+        raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - r["benign"]))
+        said = F.transform(F.slice(r["ranked"], 1, 2), lambda x: F.format_string("%s=%.3f", x["cls"], -x["neg"]))
+        return layer_score("xgb", raw, raw, F.when(r["benign"] < 0.5, best), said)
+
+    return flows.withColumn(out, let(let(probabilities, read), layer))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsift.constants import (
     ADVISORY_MIN, ANOMALY_ROUTES, BENIGN, CORROBORATED_MIN, LAYERS, THREAT_CLASSES, UNSUPERVISED_MIN)
+from flowsift.functions.core import let
 
 
 def layers_from_long(scores: DataFrame, layers=tuple(LAYERS)) -> DataFrame:
@@ -24,73 +25,85 @@ def layers_from_long(scores: DataFrame, layers=tuple(LAYERS)) -> DataFrame:
     return wide.select("flow_id", F.array_compact(F.array(*layers)).alias("scores"))
 
 
-def fuse(flows: DataFrame, scores: Column | None = None, keep_scores: bool = True) -> DataFrame:
-    """Add alert columns: threat_class, confidence_score, tier, corroborating_layers, evidence,
-    is_actionable. ``scores`` is an array of layer structs in layer order."""
-    scores = scores if scores is not None else F.array(*LAYERS)
-    df = flows.withColumn("_s", scores)
+def fuse_scores(scores: Column) -> Column:
+    """Alert struct from an array of layer structs in layer order."""
     guess, p = (lambda s: s["threat_class_guess"]), (lambda s: s["calibrated_probability"])
-
-    df = df.withColumn("_named", F.filter("_s", lambda s: F.coalesce(guess(s).isin(*THREAT_CLASSES), F.lit(False))))
-    df = df.withColumn("_strong", F.filter("_s", lambda s: guess(s).isNull() & (p(s) >= UNSUPERVISED_MIN)))
-    df = df.withColumn("_classes", F.array_distinct(F.transform("_named", guess)))
-    n_classes = F.size("_classes")
-    helped = F.when(n_classes == 1, F.col("_strong")).otherwise(F.filter("_strong", lambda s: F.lit(False)))
-    df = df.withColumn("_helped", helped)
-
-    def tally(cls, i):
-        votes = F.concat(F.filter("_named", lambda s: guess(s) == cls), F.col("_helped"))
-        total = F.aggregate(votes, F.lit(0.0), lambda a, s: a + p(s))
-        return F.struct(F.size(votes).alias("n"), (total / F.size(votes)).alias("mean"), (-i).alias("rank"), cls.alias("cls"))
-
-    df = df.withColumn("_best", F.array_max(F.transform("_classes", tally)))
-    base = F.flatten(F.transform("_s", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>"))))
-    df = df.withColumn("_said", F.concat(base, F.transform(
-        "_helped", lambda s: F.format_string("%s_corroborates=%.3f", s["layer_name"], p(s)))))
-
-    text = F.lower(F.array_join("_said", " "))
-    route = None
-    for cls, words in ANOMALY_ROUTES:
-        found = reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-        route = F.when(found, cls) if route is None else route.when(found, cls)
-    route = route.otherwise("recon_scanning")
-
-    df = df.withColumns({
-        "_kind": F.when(n_classes > 0, "named").when(F.size("_strong") > 0, "anomaly").otherwise("none"),
-        "confidence_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0),
-            F.aggregate("_s", F.lit(0.0), lambda a, s: a + p(s)) / F.size("_s"))),
-    })
-    kind = F.col("_kind")
-    agreeing = F.when(kind == "named", F.col("_best.n")).when(kind == "anomaly", F.size("_strong")).otherwise(0)
-    df = df.withColumns({
-        "threat_class": F.when(kind == "named", F.col("_best.cls")).when(kind == "anomaly", route)
-        .otherwise("volumetric_ddos"),
-        "corroborating_layers": agreeing,
-    })
-    df = df.withColumn("tier", F.when(kind == "anomaly", "advisory")
-                       .when(F.col("corroborating_layers") >= 2, "high")
-                       .when(F.col("corroborating_layers") == 1, "advisory").otherwise("uncorroborated"))
-    extra = (
-        F.when(kind == "anomaly", F.array(
-            F.lit("unclassified_anomaly=true"),
-            F.concat(F.lit("unsupervised_layers_alerted="), F.size("_strong").cast("string"))))
-        .when(kind == "none", F.array(F.lit("no_layer_named_a_threat_class")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    repeated = F.exists("_classes", lambda c: F.size(F.filter("_named", lambda s: guess(s) == c)) >= 2)
-    corroborated = repeated | (F.size("_helped") > 0)
-    bar = F.when((kind == "named") & corroborated, CORROBORATED_MIN).otherwise(ADVISORY_MIN)
-    df = df.withColumns({
-        "evidence": F.concat("_said", extra, F.array(
-            F.concat(F.lit("tier="), "tier"),
-            F.concat(F.lit("corroborating_layers="), F.col("corroborating_layers").cast("string")))),
-        "is_actionable": (kind != "none") & (F.col("confidence_score") >= bar),
-        "is_anomaly_route": kind == "anomaly",
-    })
-    helpers = ["_s", "_named", "_strong", "_classes", "_helped", "_best", "_said", "_kind"]
-    if keep_scores:
-        df = df.withColumn("scores", F.col("_s"))
-    return df.drop(*helpers)
+    strings = F.array().cast("array<string>")
+
+    def sort_out(s):
+        named = F.filter(s, lambda x: F.coalesce(guess(x).isin(*THREAT_CLASSES), F.lit(False)))
+        return F.struct(
+            s.alias("all"), named.alias("named"),
+            F.filter(s, lambda x: guess(x).isNull() & (p(x) >= UNSUPERVISED_MIN)).alias("strong"),
+            F.array_distinct(F.transform(named, guess)).alias("classes"))
+
+    def support(v):
+        helped = F.filter(v["strong"], lambda x: F.size(v["classes"]) == 1)
+        base = F.flatten(F.transform(v["all"], lambda x: F.coalesce(x["evidence"], strings)))
+        said = F.concat(base, F.transform(helped, lambda x: F.format_string("%s_corroborates=%.3f", x["layer_name"], p(x))))
+        total = F.aggregate(v["all"], F.lit(0.0), lambda a, x: a + p(x))
+        return F.struct(
+            v["named"].alias("named"), v["strong"].alias("strong"), v["classes"].alias("classes"),
+            helped.alias("helped"), said.alias("said"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / F.size(v["all"]))).alias("confidence"),
+            F.when(F.size(v["classes"]) > 0, "named").when(F.size(v["strong"]) > 0, "anomaly").otherwise("none").alias("kind"))
+
+    def choose(v):
+        def tally(cls, i):
+            return let(F.concat(F.filter(v["named"], lambda x: guess(x) == cls), v["helped"]), lambda votes: F.struct(
+                F.size(votes).alias("n"),
+                (F.aggregate(votes, F.lit(0.0), lambda a, x: a + p(x)) / F.size(votes)).alias("mean"),
+                (-i).alias("rank"), cls.alias("cls")))
+
+        best = F.array_max(F.transform(v["classes"], tally))
+        repeated = F.exists(v["classes"], lambda c: F.size(F.filter(v["named"], lambda x: guess(x) == c)) >= 2)
+        corroborated = (v["kind"] == "named") & (repeated | (F.size(v["helped"]) > 0))
+        return F.struct(
+            v["kind"].alias("kind"), v["said"].alias("said"), v["confidence"].alias("confidence"),
+            F.size(v["strong"]).alias("n_strong"), best.alias("best"), _route(v["said"]).alias("route"),
+            F.when(corroborated, CORROBORATED_MIN).otherwise(ADVISORY_MIN).alias("bar"))
+
+    def settle(v):
+        kind = v["kind"]
+        agreeing = F.when(kind == "named", v["best"]["n"]).when(kind == "anomaly", v["n_strong"]).otherwise(0)
+        tier = F.when(kind == "anomaly", "advisory").when(agreeing >= 2, "high").when(
+            agreeing == 1, "advisory").otherwise("uncorroborated")
+        extra = (
+            F.when(kind == "anomaly", F.array(
+                F.lit("unclassified_anomaly=true"),
+                F.concat(F.lit("unsupervised_layers_alerted="), v["n_strong"].cast("string"))))
+            .when(kind == "none", F.array(F.lit("no_layer_named_a_threat_class"))).otherwise(strings))
+        last = F.array(F.concat(F.lit("tier="), tier), F.concat(F.lit("corroborating_layers="), agreeing.cast("string")))
+        return F.struct(
+            F.when(kind == "named", v["best"]["cls"]).when(kind == "anomaly", v["route"]).otherwise("volumetric_ddos").alias("threat_class"),
+            v["confidence"].alias("confidence_score"), tier.alias("tier"), agreeing.alias("corroborating_layers"),
+            F.concat(v["said"], extra, last).alias("evidence"),
+            ((kind != "none") & (v["confidence"] >= v["bar"])).alias("is_actionable"),
+            (kind == "anomaly").alias("is_anomaly_route"), v["bar"].alias("gate_minimum"), (kind == "none").alias("is_unnamed"))
+
+    return let(let(let(let(scores, sort_out), support), choose), settle)
+
+
+def _route(said: Column) -> Column:
+    """Nearest class of an unnamed anomaly, from the words of its evidence."""
+    def pick(text):
+        route = None
+        for cls, words in ANOMALY_ROUTES:
+            found = reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+            route = F.when(found, cls) if route is None else route.when(found, cls)
+        return route.otherwise("recon_scanning")
+    return let(F.lower(F.array_join(said, " ")), pick)
+
+
+ALERT_FIELDS = ["threat_class", "confidence_score", "tier", "corroborating_layers", "evidence", "is_actionable",
+                "is_anomaly_route", "gate_minimum", "is_unnamed"]
+
+
+def fuse(flows: DataFrame, scores: Column | None = None) -> DataFrame:
+    """Add the alert columns to flows. ``scores`` defaults to the four layer columns, in order."""
+    scores = scores if scores is not None else F.array(*LAYERS)
+    fused = flows.withColumn("_alert", fuse_scores(scores))
+    return fused.select("*", *[F.col(f"_alert.{n}").alias(n) for n in ALERT_FIELDS]).drop("_alert")
 
 
 def gate(fused: DataFrame) -> DataFrame:

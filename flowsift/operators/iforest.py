@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.core import let
 from flowsift.functions.features import FEATURE_NAMES, WIDTH, feature_columns
 from flowsift.functions.scores import squash
 from flowsift.operators.ordered import exact_quantiles
@@ -153,8 +154,8 @@ def anomaly_score(forest: Forest, version: int = 1):
 def forest_layer(flows: DataFrame, forest: Forest, *, version: int = 1, out: str = "isoforest") -> DataFrame:
     """Add the isolation-forest layer's score struct."""
     scored = flows.withColumn("_raw", anomaly_score(forest, version))
-    said = F.array_compact(F.array(
-        F.when(F.col("_raw") > 0.6, F.format_string("isoforest_anomaly_score=%.3f", "_raw")),
-        F.when(F.col("_raw") > 0.8, F.lit("high_anomaly_confidence"))))
-    return scored.withColumn(
-        out, layer_score("isoforest", F.col("_raw"), squash(F.col("_raw"), forest.midpoint), None, said)).drop("_raw")
+    said = lambda raw: F.array_compact(F.array(
+        F.when(raw > 0.6, F.format_string("isoforest_anomaly_score=%.3f", raw)),
+        F.when(raw > 0.8, F.lit("high_anomaly_confidence"))))
+    return scored.withColumn(out, let(F.col("_raw"), lambda raw: layer_score(
+        "isoforest", raw, squash(raw, forest.midpoint), None, said(raw)))).drop("_raw")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.constants import DNS_PORTS, SAFE_PORTS, SUSPICIOUS_PORTS
+from flowsift.functions.core import let
 from flowsift.functions.ja4 import is_malicious, lacks_alpn, lacks_sni
 from flowsift.functions.scores import squash
 
@@ -98,39 +99,33 @@ def _rules(limits: RuleLimits) -> list[tuple[Column, float, str | None, float, C
 
 def rules_layer(flows: DataFrame, limits: RuleLimits = RuleLimits(), out: str = "rules") -> DataFrame:
     """Add the rule layer's score struct. Only narrow projections: no shuffle, no Python."""
-    rules = [(F.coalesce(cond, F.lit(False)), *rest) for cond, *rest in _rules(limits)]
-    hits = flows.withColumn("_hits", F.array(*[r[0] for r in rules]))
-    hit = [F.element_at("_hits", i + 1) for i in range(len(rules))]
-
-    score = F.lit(0.0)
-    for h, rule in zip(hit, rules):
-        score = score + F.when(h, rule[1]).otherwise(0.0)
-
-    votes = []
-    for cls in VOTE_ORDER:
-        weight = F.lit(0.0)
-        for h, rule in zip(hit, rules):
-            if rule[2] == cls:
-                weight = weight + F.when(h, rule[3]).otherwise(0.0)
-        votes.append(F.struct(weight.alias("w"), F.lit(cls).alias("c")))
-    voted = F.filter(F.array(*votes), lambda v: v["w"] > 0)
-
-    scored = hits.withColumns({
-        "_raw": F.least(score, F.lit(1.0)),
-        "_votes": voted,
-        "_said": F.array_compact(F.array(*[F.when(h, r[4]) for h, r in zip(hit, rules)])),
-    })
-    best = F.array_max(F.transform("_votes", lambda v: v["w"]))
-    guess = F.array_min(F.transform(F.filter("_votes", lambda v: v["w"] == best), lambda v: v["c"]))
-    ranked = F.array_sort(F.transform("_votes", lambda v, i: F.struct(-v["w"], i, v["c"])))
-    listing = F.array_join(F.transform(ranked, lambda v: F.format_string("%s=%.2f", v["c"], -v["col1"])), ", ")
-    said = F.when(
-        F.size("_votes") > 1,
-        F.concat("_said", F.array(F.concat(F.lit("rule_candidates["), listing, F.lit("]")))),
-    ).otherwise(F.col("_said"))
-    return scored.withColumn(
-        out, layer_score("rules", F.col("_raw"), squash(F.col("_raw")), guess, said),
-    ).drop("_hits", "_raw", "_votes", "_said")
+    rules = _rules(limits)
+    conditions = F.array(*[F.coalesce(rule[0], F.lit(False)) for rule in rules])
+
+    def weigh(hit: Column) -> Column:
+        on = [F.element_at(hit, i + 1) for i in range(len(rules))]
+        score = F.lit(0.0)
+        votes = {cls: F.lit(0.0) for cls in VOTE_ORDER}
+        for h, (_, points, cls, vote, _) in zip(on, rules):
+            score = score + F.when(h, points).otherwise(0.0)
+            if cls:
+                votes[cls] = votes[cls] + F.when(h, vote).otherwise(0.0)
+        listed = F.array(*[F.struct(w.alias("w"), F.lit(c).alias("c")) for c, w in votes.items()])
+        said = F.array_compact(F.array(*[F.when(h, rule[4]) for h, rule in zip(on, rules)]))
+        return F.struct(F.least(score, F.lit(1.0)).alias("raw"), F.filter(listed, lambda v: v["w"] > 0).alias("votes"),
+                        said.alias("said"))
+
+    def verdict(r: Column) -> Column:
+        votes = r["votes"]
+        guess = let(F.array_max(F.transform(votes, lambda v: v["w"])), lambda top: F.array_min(
+            F.transform(F.filter(votes, lambda v: v["w"] == top), lambda v: v["c"])))
+        ranked = F.array_sort(F.transform(votes, lambda v, i: F.struct((-v["w"]).alias("neg"), i.alias("i"), v["c"].alias("c"))))
+        listing = F.array_join(F.transform(ranked, lambda v: F.format_string("%s=%.2f", v["c"], -v["neg"])), ", ")
+        said = F.when(F.size(votes) > 1, F.array_append(r["said"], F.concat(
+            F.lit("rule_candidates["), listing, F.lit("]")))).otherwise(r["said"])
+        return layer_score("rules", r["raw"], squash(r["raw"]), guess, said)
+
+    return flows.withColumn(out, let(let(conditions, weigh), verdict))
 
 
 def layer_score(name: str, raw: Column, probability: Column, guess: Column | None, evidence: Column) -> Column:
@@ -140,5 +135,5 @@ def layer_score(name: str, raw: Column, probability: Column, guess: Column | Non
         raw.alias("raw_score"),
         probability.alias("calibrated_probability"),
         (guess if guess is not None else F.lit(None).cast("string")).alias("threat_class_guess"),
-        F.when(F.size(evidence) > 0, evidence).alias("evidence"),
+        let(evidence, lambda e: F.when(F.size(e) > 0, e)).alias("evidence"),
     )

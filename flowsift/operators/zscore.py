@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.core import let
 from flowsift.functions.scores import squash
 from flowsift.operators.rules import layer_score
 
@@ -60,12 +61,14 @@ def zscore_layer(flows: DataFrame, baseline: Baseline, out: str = "stats") -> Da
         if name == "fanout_count":
             z = F.when(F.coalesce(F.col(column), F.lit(0)) != 0, z)
         scores.append(F.struct(z.alias("z"), F.lit(label).alias("label")))
-    rated = flows.withColumn("_z", F.filter(F.array(*scores), lambda s: s["z"].isNotNull()))
-    values = F.transform("_z", lambda s: s["z"])
-    mean_z = F.aggregate(values, F.lit(0.0), lambda a, z: a + z) / F.size("_z")
-    composite = mean_z * 0.5 + F.array_max(values) * 0.5
-    said = F.transform(
-        F.filter("_z", lambda s: s["z"] > 2), lambda s: F.format_string("%s (z=%.2f)", s["label"], s["z"]))
-    raw = rated.withColumn("_raw", F.least(composite / 5.0, F.lit(1.0)))
-    return raw.withColumn(
-        out, layer_score("stats", F.col("_raw"), squash(F.col("_raw")), None, said)).drop("_z", "_raw")
+    rated = F.filter(F.array(*scores), lambda s: s["z"].isNotNull())
+
+    def combine(z: Column) -> Column:
+        values = F.transform(z, lambda s: s["z"])
+        mean_z = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(z)
+        said = F.transform(F.filter(z, lambda s: s["z"] > 2), lambda s: F.format_string("%s (z=%.2f)", s["label"], s["z"]))
+        raw = F.least((mean_z * 0.5 + F.array_max(values) * 0.5) / 5.0, F.lit(1.0))
+        return F.struct(raw.alias("raw"), said.alias("said"))
+
+    return flows.withColumn(out, let(let(rated, combine), lambda r: layer_score(
+        "stats", r["raw"], squash(r["raw"]), None, r["said"])))

@@ -45,22 +45,12 @@ def score_layers(flows: DataFrame, models: Models) -> DataFrame:
 
 def detect(flows: DataFrame, models: Models) -> DataFrame:
     """Every flow with its alert columns; is_actionable marks the alerts to surface."""
-    fused = fuse(score_layers(flows, models), keep_scores=False)
-    return apply_gate(apply_calibration(fused, models.calibration), models.calibration is not None)
-
-
-def apply_gate(fused: DataFrame, recalibrated: bool) -> DataFrame:
-    """Gate again on a calibrated confidence; the class, tier and corroboration are unchanged."""
-    if not recalibrated:
+    fused = apply_calibration(fuse(score_layers(flows, models)), models.calibration)
+    if models.calibration is None:
         return fused
-    from flowsift.constants import ADVISORY_MIN, CORROBORATED_MIN
-    named = F.array(*[F.col(f"{n}.threat_class_guess") for n in ("rules", "stats", "isoforest", "xgb")])
-    named = F.filter(named, lambda c: c.isin(*ALL_CLASSES[1:]))
-    repeated = F.size(named) > F.size(F.array_distinct(named))
-    helped = F.exists("evidence", lambda e: e.contains("corroborates="))
-    bar = F.when((F.size(named) > 0) & (repeated | helped), CORROBORATED_MIN).otherwise(ADVISORY_MIN)
+    # The gate's minimum does not change with calibration, only the confidence held against it.
     return fused.withColumn(
-        "is_actionable", ((F.size(named) > 0) | F.col("is_anomaly_route")) & (F.col("confidence_score") >= bar))
+        "is_actionable", ~F.col("is_unnamed") & (F.col("confidence_score") >= F.col("gate_minimum")))
 
 
 def candidate_report(train: DataFrame, calibration: DataFrame, test: DataFrame, *, version: int = 1,
@@ -77,7 +67,7 @@ def candidate_report(train: DataFrame, calibration: DataFrame, test: DataFrame,
     evaluate.check_partitions(marks)
 
     models = fit_models(train, version=version, limits=limits, trees=trees)
-    fused = fuse(score_layers(calibration, models), keep_scores=False)
+    fused = fuse(score_layers(calibration, models))
     fitted = fit_calibration(fused, F.col("threat_class") == F.col("label"))
     models = Models(models.baseline, models.forest, models.classifier, fitted, limits, version)
 

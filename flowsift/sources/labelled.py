@@ -130,9 +130,11 @@ def dropped_labels(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("label") == UNMATCHED).groupBy("raw_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_zeek(spark: SparkSession, folder: str, dataset: str = "iot23", provenance: bool = False) -> DataFrame:
+def read_zeek(
+    spark: SparkSession, folder: str, dataset: str = "iot23", provenance: bool = False, endings=(".log*",),
+) -> DataFrame:
     """Observations of Zeek connection logs; each file's #fields line names its columns."""
-    paths = list_files(spark, folder, ".log*")
+    paths = list_files(spark, folder, *endings)
     lines = spark.read.text(paths).withColumns({
         "path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
         "_mid": F.monotonically_increasing_id()})
@@ -166,24 +168,24 @@ def read_zeek(spark: SparkSession, folder: str, dataset: str = "iot23", provenan
 
 
 def read_lenient_csv(spark: SparkSession, path: str, limit: int | None = None, header_length_as_ttl: bool = False) -> DataFrame:
-    """Labelled CSV rows as flow records with defaults in place of missing or non-finite numbers.
+    """Labelled CSV rows (a file, or a folder of files with one header) as flow records.
 
-    Rows whose label maps to no class carry label NULL, so they can be counted; flows() drops them.
-    ``limit`` is the caller's wish to stop after that many usable rows.
+    Missing or non-finite numbers take defaults. Rows whose label maps to no class carry label
+    NULL, so they can be counted. ``limit`` is the caller's wish to stop after that many usable rows.
     """
-    headers = header_line(spark, path)
+    paths = list_files(spark, path, ".csv")
+    headers = header_line(spark, paths[0])
     aliases = dict(LENIENT_ALIASES)
     if not header_length_as_ttl:
         aliases["ttl"] = [a for a in aliases["ttl"] if a != "fwd header length"]
     at = resolve_headers(headers, aliases, lambda h: h.strip().lower().replace("_", " ").replace("-", " "))
     if "label" not in at:
         raise ValueError(f"no label column among {headers[:8]}")
-    rows = _cells(spark, [path], len(headers))
+    rows = _cells(spark, paths, len(headers))
     rows = number_rows(rows.withColumn("label", substring_label(F.col(f"_c{at['label']}"))))
-    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    flows = lenient_flow(rows, at, stem)
+    flows = lenient_flow(rows, at)
     if limit is not None:
-        flows = flows.filter(F.col("label").isNotNull()).orderBy("row_index").limit(limit)
+        flows = flows.filter(F.col("label").isNotNull()).orderBy("path", "row_index").limit(limit)
     return flows
 
 
@@ -198,7 +200,7 @@ def lenient_number(cell: Column | None, default=0.0) -> Column:
     return F.coalesce(F.when(finite, value), default)
 
 
-def lenient_flow(rows: DataFrame, at: dict[str, int], stem: str) -> DataFrame:
+def lenient_flow(rows: DataFrame, at: dict[str, int]) -> DataFrame:
     cell = lambda n: F.col(f"_c{at[n]}") if n in at else None
     num = lambda n, d=0.0: lenient_number(cell(n), d)
     mean, packets, size, duration = num("fwd_pkt_len_mean"), num("fwd_packets"), num("fwd_bytes"), num("flow_duration")
@@ -208,8 +210,9 @@ def lenient_flow(rows: DataFrame, at: dict[str, int], stem: str) -> DataFrame:
     possible = F.greatest(F.lit(1.0), packets * F.greatest(mean, F.lit(1.0)))
     ttl = num("ttl", 64).cast("int")
     none = F.lit(None)
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return rows.select(
-        F.concat(F.lit(f"ext_{stem}_"), F.col("row_index").cast("string")).alias("flow_id"), "row_index", "label",
+        F.concat(F.lit("ext_"), stem, F.lit("_"), F.col("row_index").cast("string")).alias("flow_id"), "path", "row_index", "label",
         F.lit(0).alias("src_port"), num("dst_port").cast("int").alias("dst_port"),
         F.when(num("protocol", 6).cast("int") == 6, "TCP").otherwise("UDP").alias("protocol"),
         F.struct(num("fwd_pkt_len_min").alias("min"), num("fwd_pkt_len_max", mean).alias("max"), mean.alias("mean"),
