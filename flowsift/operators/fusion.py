@@ -60,7 +60,7 @@ def fuse_scores(scores: Column) -> Column:
         corroborated = (v["kind"] == "named") & (repeated | (F.size(v["helped"]) > 0))
         return F.struct(
             v["kind"].alias("kind"), v["said"].alias("said"), v["confidence"].alias("confidence"),
-            F.size(v["strong"]).alias("n_strong"), best.alias("best"), _route(v["said"]).alias("route"),
+            F.size(v["strong"]).alias("n_strong"), best.alias("best"), F.when(v["kind"] == "anomaly", _route(v["said"])).alias("route"),
             F.when(corroborated, CORROBORATED_MIN).otherwise(ADVISORY_MIN).alias("bar"))
 
     def settle(v):

@@ -98,34 +98,42 @@ def _rules(limits: RuleLimits) -> list[tuple[Column, float, str | None, float, C
 
 
 def rules_layer(flows: DataFrame, limits: RuleLimits = RuleLimits(), out: str = "rules") -> DataFrame:
-    """Add the rule layer's score struct. Only narrow projections: no shuffle, no Python."""
+    """Add the rule layer's score struct. Only narrow projections: no shuffle, no Python.
+
+    Conditions, then sums, then the verdict are separate projections, so each is generated code
+    that evaluates every condition once.
+    """
     rules = _rules(limits)
-    conditions = F.array(*[F.coalesce(rule[0], F.lit(False)) for rule in rules])
-
-    def weigh(hit: Column) -> Column:
-        on = [F.element_at(hit, i + 1) for i in range(len(rules))]
-        score = F.lit(0.0)
-        votes = {cls: F.lit(0.0) for cls in VOTE_ORDER}
-        for h, (_, points, cls, vote, _) in zip(on, rules):
-            score = score + F.when(h, points).otherwise(0.0)
-            if cls:
-                votes[cls] = votes[cls] + F.when(h, vote).otherwise(0.0)
-        listed = F.array(*[F.struct(w.alias("w"), F.lit(c).alias("c")) for c, w in votes.items()])
-        said = F.array_compact(F.array(*[F.when(h, rule[4]) for h, rule in zip(on, rules)]))
-        return F.struct(F.least(score, F.lit(1.0)).alias("raw"), F.filter(listed, lambda v: v["w"] > 0).alias("votes"),
-                        said.alias("said"))
-
-    def verdict(r: Column) -> Column:
-        votes = r["votes"]
-        guess = let(F.array_max(F.transform(votes, lambda v: v["w"])), lambda top: F.array_min(
-            F.transform(F.filter(votes, lambda v: v["w"] == top), lambda v: v["c"])))
-        ranked = F.array_sort(F.transform(votes, lambda v, i: F.struct((-v["w"]).alias("neg"), i.alias("i"), v["c"].alias("c"))))
-        listing = F.array_join(F.transform(ranked, lambda v: F.format_string("%s=%.2f", v["c"], -v["neg"])), ", ")
-        said = F.when(F.size(votes) > 1, F.array_append(r["said"], F.concat(
-            F.lit("rule_candidates["), listing, F.lit("]")))).otherwise(r["said"])
-        return layer_score("rules", r["raw"], squash(r["raw"]), guess, said)
-
-    return flows.withColumn(out, let(let(conditions, weigh), verdict))
+    hit = [F.col(f"_h{i}") for i in range(len(rules))]
+    marked = flows.withColumns({f"_h{i}": F.coalesce(r[0], F.lit(False)) for i, r in enumerate(rules)})
+
+    score = F.lit(0.0)
+    votes = {cls: F.lit(0.0) for cls in VOTE_ORDER}
+    for h, (_, points, cls, vote, _) in zip(hit, rules):
+        score = score + F.when(h, points).otherwise(0.0)
+        if cls:
+            votes[cls] = votes[cls] + F.when(h, vote).otherwise(0.0)
+    summed = marked.withColumns({
+        "_raw": F.least(score, F.lit(1.0)), **{f"_v_{c}": v for c, v in votes.items()},
+        "_said": F.filter(F.array(*[F.when(h, r[4]) for h, r in zip(hit, rules)]), lambda e: e.isNotNull())})
+
+    vote = {c: F.col(f"_v_{c}") for c in VOTE_ORDER}
+    topped = summed.withColumns({
+        "_top": F.greatest(*vote.values()),
+        "_named": sum([(v > 0).cast("int") for v in vote.values()], F.lit(0))})
+    guess = None
+    for cls in sorted(VOTE_ORDER):
+        wins = (F.col("_top") > 0) & (vote[cls] == F.col("_top"))
+        guess = F.when(wins, cls) if guess is None else guess.when(wins, cls)
+    ranked = F.array_sort(F.filter(F.array(*[
+        F.struct((-v).alias("neg"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (c, v) in enumerate(vote.items())]),
+        lambda v: v["neg"] < 0))
+    listing = F.array_join(F.transform(ranked, lambda v: F.format_string("%s=%.2f", v["c"], -v["neg"])), ", ")
+    said = F.when(F.col("_named") > 1, F.array_append("_said", F.concat(
+        F.lit("rule_candidates["), listing, F.lit("]")))).otherwise(F.col("_said"))
+    return topped.withColumn(
+        out, layer_score("rules", F.col("_raw"), squash(F.col("_raw")), guess, said),
+    ).select(*flows.columns, out)
 
 
 def layer_score(name: str, raw: Column, probability: Column, guess: Column | None, evidence: Column) -> Column:

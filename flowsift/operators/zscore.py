@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.functions.core import let
 from flowsift.functions.scores import squash
 from flowsift.operators.rules import layer_score
 
@@ -54,21 +53,21 @@ def fit_baseline(benign: DataFrame) -> Baseline:
 
 def zscore_layer(flows: DataFrame, baseline: Baseline, out: str = "stats") -> DataFrame:
     """Add the z-score layer's score struct; the twelve baseline numbers are plan literals."""
-    scores = []
-    for name, column, label in FEATURES:
+    zs = {}
+    for i, (name, column, _) in enumerate(FEATURES):
         mean, std = baseline.stats[name]
         z = F.abs((F.col(column).cast("double") - mean) / std)
-        if name == "fanout_count":
-            z = F.when(F.coalesce(F.col(column), F.lit(0)) != 0, z)
-        scores.append(F.struct(z.alias("z"), F.lit(label).alias("label")))
-    rated = F.filter(F.array(*scores), lambda s: s["z"].isNotNull())
-
-    def combine(z: Column) -> Column:
-        values = F.transform(z, lambda s: s["z"])
-        mean_z = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(z)
-        said = F.transform(F.filter(z, lambda s: s["z"] > 2), lambda s: F.format_string("%s (z=%.2f)", s["label"], s["z"]))
-        raw = F.least((mean_z * 0.5 + F.array_max(values) * 0.5) / 5.0, F.lit(1.0))
-        return F.struct(raw.alias("raw"), said.alias("said"))
-
-    return flows.withColumn(out, let(let(rated, combine), lambda r: layer_score(
-        "stats", r["raw"], squash(r["raw"]), None, r["said"])))
+        zs[f"_z{i}"] = F.when(F.coalesce(F.col(column), F.lit(0)) != 0, z) if name == "fanout_count" else z
+    rated = flows.withColumns(zs)
+    z = [F.col(c) for c in zs]
+    total, count = F.lit(0.0), F.lit(0)
+    for c in z:
+        total = total + F.coalesce(c, F.lit(0.0))
+        count = count + c.isNotNull().cast("int")
+    raw = F.least((total / count * 0.5 + F.greatest(*z) * 0.5) / 5.0, F.lit(1.0))
+    said = F.filter(F.array(*[
+        F.when(c > 2, F.format_string(f"{label} (z=%.2f)", c)) for c, (_, _, label) in zip(z, FEATURES)]),
+        lambda e: e.isNotNull())
+    scored = rated.withColumns({"_raw": raw, "_said": said})
+    return scored.withColumn(out, layer_score(
+        "stats", F.col("_raw"), squash(F.col("_raw")), None, F.col("_said"))).select(*flows.columns, out)

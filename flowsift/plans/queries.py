@@ -95,7 +95,8 @@ def fused(spark, folder) -> DataFrame:
 
 
 def surfaced(spark, folder) -> DataFrame:
-    return fusion.gate(fused(spark, folder))
+    scored_once = staged(fused(spark, folder).drop("rules", "stats", "isoforest", "xgb"))
+    return fusion.gate(scored_once)
 
 
 def with_labels(df: DataFrame) -> DataFrame:
@@ -435,8 +436,8 @@ def a4_payload_entropy(spark, folder):
 
 @query
 def a4_document_entropy(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("hex"))
-    return fl.token_entropy(docs, ["doc_id"], F.lit(0), fl.byte_tokens(F.col("hex")), "entropy", "void").select("doc_id", *r6("entropy"))
+    docs = table(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return fl.byte_entropy(docs, ["doc_id"], F.lit(0), "bytes", "entropy").select("doc_id", *r6("entropy"))
 
 
 @query
