@@ -236,6 +236,12 @@ def reverse_flows(totals: DataFrame) -> DataFrame:
         F.col("total_bytes").alias("reverse_bytes"), F.col("own_ja4").alias("reverse_ja4"))
 
 
+def with_reverse(totals: DataFrame) -> DataFrame:
+    """Kept flows with what the opposite direction of the same window contributes."""
+    return totals.filter("n_sized > 0").join(reverse_flows(totals), FLOW_KEYS, "left").withColumn(
+        "hello_ja4", F.coalesce("own_ja4", "reverse_ja4"))
+
+
 def directional_bytes(flows: DataFrame, protected: Sequence[str]) -> DataFrame:
     """Outbound and inbound bytes; NULL means not observed, 0 means observed as zero."""
     way = direction(in_networks(F.col("src_ip"), protected), in_networks(F.col("dst_ip"), protected))
@@ -268,11 +274,7 @@ def build_flows(
     """
     windowed = in_windows(packets, window_us)
     totals = stage(packet_totals(windowed))
-    kept = (
-        totals.filter("n_sized > 0")
-        .join(reverse_flows(totals), FLOW_KEYS, "left")
-        .withColumn("hello_ja4", F.coalesce("own_ja4", "reverse_ja4"))
-    )
+    kept = with_reverse(totals)
     seen = stage(sightings(kept))
     past = seen if history is None else seen.unionByName(history)
     beacons = beacon_intervals(past, lookback_us=beacon_lookback_us, keep=beacon_arrivals)

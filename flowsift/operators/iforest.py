@@ -116,7 +116,7 @@ def fit_forest(
     size = min(sample, n)
     levels = max(1, math.ceil(math.log2(max(size, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.nsmallest(size, "_draw")[names].to_numpy(float)
         rng = np.random.default_rng([seed, int(key[0])])
         feature, threshold, depth = _grow((rows - center) / scale, levels, rng)

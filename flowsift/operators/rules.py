@@ -92,7 +92,8 @@ def _rules(limits: RuleLimits) -> list[tuple[Column, float, str | None, float, C
         (sni_hit, 0.30, "encrypted_malware", 0.30, F.concat(say("ja4_missing_sni_encrypted="), head)),
         (alpn_hit, 0.20, "encrypted_malware", 0.20, F.concat(say("ja4_anomalous_no_alpn="), head)),
         (c("entropy") > limits.high_entropy, 0.10, None, 0.0, say("very_high_entropy_payload")),
-        ((F.try_divide(out, F.greatest(out + into, F.lit(1))) > limits.exfil_share) & (out > limits.exfil_bytes),
+        (out.isNotNull() & into.isNotNull()
+         & (F.try_divide(out, F.greatest(out + into, F.lit(1))) > limits.exfil_share) & (out > limits.exfil_bytes),
          0.30, "data_exfiltration", 0.30, F.concat(say("directional_exfil_outbound="), out.cast("string"), say("B"))),
     ]
 

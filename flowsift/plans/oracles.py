@@ -186,7 +186,7 @@ SELECT *,
   coalesce(ja4 NOT IN {IOC} AND NOT (substr(ja4, 4, 1) = 'i' AND entropy > 5.33) AND substr(ja4, 9, 2) = '00'
     AND (dst_port IN {SUSPICIOUS} OR entropy > 5.41), FALSE) AS r14,
   entropy > 5.47 AS r15,
-  coalesce(outbound_bytes / greatest(outbound_bytes + inbound_bytes, 1) > 0.9 AND outbound_bytes > 4000, FALSE) AS r16
+  outbound_bytes IS NOT NULL AND inbound_bytes IS NOT NULL AND coalesce(outbound_bytes / greatest(outbound_bytes + inbound_bytes, 1) > 0.9 AND outbound_bytes > 4000, FALSE) AS r16
 FROM flows"""
 
 
@@ -322,8 +322,12 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-FLOW_OUT = f"""SELECT flow_id, capture_id, ts_us, {r6('size_min', 'size_max', 'size_mean', 'size_std', 'gap_mean', 'gap_std', 'entropy', 'byte_ratio',
-    'beacon_mean', 'beacon_std', 'dns_ngram_entropy', 'pkt_rate', 'byte_rate', 'syn_fraction', 'target_pkt_rate',
+def r6s(*names: str) -> str:
+    return ", ".join(f"round({n} + 0.00000013::DOUBLE, 6) + 0.0 AS {n}" for n in names)
+
+
+FLOW_OUT = f"""SELECT flow_id, capture_id, ts_us, {r6s('gap_mean', 'gap_std', 'beacon_mean', 'beacon_std')}, {r6('size_min', 'size_max', 'size_mean', 'size_std', 'entropy', 'byte_ratio',
+    'dns_ngram_entropy', 'pkt_rate', 'byte_rate', 'syn_fraction', 'target_pkt_rate',
     'target_syn_fraction', 'src_ip_entropy', 'dns_query_len')}, ttl, ja4, fanout_count, outbound_bytes, inbound_bytes, syn_count, dns_record_type FROM flows"""
 
 HELLO_JA4 = """
@@ -384,7 +388,7 @@ def _fill() -> None:
     o["p7_ja4"] = sql(HELLO_JA4)
     o["p8_ja4_tests"] = sql(f"""SELECT ja4, ja4 IN {IOC} AS malicious, substr(ja4, 4, 1) = 'i' AS no_sni, substr(ja4, 9, 2) = '00' AS no_alpn, count(*) AS n
       FROM packets WHERE ja4 IS NOT NULL GROUP BY ALL""")
-    o["p9_features"] = sql(f"""SELECT flow_id, capture_id, {r6('gap_mean', 'gap_std', 'size_mean', 'size_std', 'size_min', 'size_max', 'entropy', 'byte_ratio')},
+    o["p9_features"] = sql(f"""SELECT flow_id, capture_id, {r6s('gap_mean', 'gap_std')}, {r6('size_mean', 'size_std', 'size_min', 'size_max', 'entropy', 'byte_ratio')},
       CAST(ttl AS DOUBLE) AS ttl, CAST(fanout_count AS DOUBLE) AS fanout_count, round(coalesce(dns_ngram_entropy, 0), 6) AS dns_ngram_entropy,
       CAST(beacon_mean IS NOT NULL AS INTEGER)::DOUBLE AS has_beacon, CAST(ja4 IS NOT NULL AS INTEGER)::DOUBLE AS has_ja4,
       CAST(coalesce(ja4 IN {IOC}, FALSE) AS INTEGER)::DOUBLE AS malicious, CAST(coalesce(substr(ja4, 4, 1) = 'i', FALSE) AS INTEGER)::DOUBLE AS no_sni,
@@ -407,7 +411,7 @@ def _fill() -> None:
 
     o["a1_flow_assembly"] = sql(f"SELECT {KEYS}, n_packets, n_sized FROM totals")
     o["a2_size_stats"] = sql(f"SELECT {KEYS}, {r6('size_min', 'size_max', 'size_mean', 'size_std')} FROM totals")
-    o["a3_inter_arrival"] = sql(f"SELECT {KEYS}, {r6('gap_mean', 'gap_std')} FROM gaps")
+    o["a3_inter_arrival"] = sql(f"SELECT {KEYS}, {r6s('gap_mean', 'gap_std')} FROM gaps")
     o["a4_payload_entropy"] = sql(f"SELECT {KEYS}, {r6('entropy')} FROM payload")
     o["a4_document_entropy"] = """SELECT doc_id, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS entropy FROM (
         SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS token FROM documents) GROUP BY ALL) GROUP BY ALL"""
@@ -437,7 +441,7 @@ def _fill() -> None:
     o["a19_load_report"] = """SELECT count(*) AS rows, count(*) FILTER (event_type IN ('click', 'view', 'error')) AS ok,
       count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) AS unmatched FROM events"""
 
-    o["w1_beacon_interval"] = sql(f"""SELECT {PAIR}, bucket, {r6('beacon_mean', 'beacon_std')} FROM arrivals LEFT JOIN w1 USING ({PAIR}, bucket)""", w1=beacons(10 * DAY, 8))
+    o["w1_beacon_interval"] = sql(f"""SELECT {PAIR}, bucket, {r6s('beacon_mean', 'beacon_std')} FROM arrivals LEFT JOIN w1 USING ({PAIR}, bucket)""", w1=beacons(10 * DAY, 8))
     o["w2_horizon_fanout"] = sql("SELECT * FROM hfan")
     o["w3_carried_ja4"] = sql(f"SELECT {TUPLE}, bucket, ja4 FROM w3", w3=prints(3 * DAY))
     arrival = "SELECT *, 2 * (f - f % 64 + 63 - f % 64) + (frame_no >= 1000000000)::INT AS arrival FROM (SELECT *, frame_no % 1000000000 AS f, ts_us // 3600000000 AS bucket FROM packets)"

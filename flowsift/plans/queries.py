@@ -48,6 +48,12 @@ def r6(*columns: str):
     return [(F.round(c, 6) + 0.0).alias(c) for c in columns]
 
 
+def r6s(*columns: str):
+    """Rounded seconds. Means of microsecond gaps often end exactly on half a microsecond, where
+    the last bit decides; the small shift moves them off that edge in both engines."""
+    return [(F.round(F.col(c) + 0.00000013, 6) + 0.0).alias(c) for c in columns]
+
+
 def packets(spark, folder) -> DataFrame:
     return packets_from_events(table(spark, folder, "events"))
 
@@ -61,9 +67,7 @@ def totals(spark, folder) -> DataFrame:
 
 
 def kept(spark, folder) -> DataFrame:
-    t = totals(spark, folder)
-    return t.filter("n_sized > 0").join(fl.reverse_flows(t), fl.FLOW_KEYS, "left").withColumn(
-        "hello_ja4", F.coalesce("own_ja4", "reverse_ja4"))
+    return fl.with_reverse(totals(spark, folder))
 
 
 def flows(spark, folder) -> DataFrame:
@@ -364,7 +368,7 @@ def p9_features(spark, folder):
             "outbound_bytes_log1p": "out_log", "outbound_observed": "out_seen", "dns_is_txt": "is_txt", "dns_query_len": "query_len"})
     return renamed.select(
         "flow_id", "capture_id",
-        *r6("gap_mean", "gap_std", "size_mean", "size_std", "size_min", "size_max", "entropy", "byte_ratio"),
+        *r6s("gap_mean", "gap_std"), *r6("size_mean", "size_std", "size_min", "size_max", "entropy", "byte_ratio"),
         "ttl", "fanout_count", *r6("dns_ngram_entropy"), "has_beacon", "has_ja4", "malicious", "no_sni", "no_alpn",
         *r6("out_log"), "out_seen", "is_txt", *r6("query_len"))
 
@@ -426,7 +430,7 @@ def a2_size_stats(spark, folder):
 
 @query
 def a3_inter_arrival(spark, folder):
-    return fl.inter_arrivals(windowed(spark, folder)).select(*fl.FLOW_KEYS, *r6("gap_mean", "gap_std"))
+    return fl.inter_arrivals(windowed(spark, folder)).select(*fl.FLOW_KEYS, *r6s("gap_mean", "gap_std"))
 
 
 @query
@@ -548,7 +552,7 @@ def a19_load_report(spark, folder):
 def w1_beacon_interval(spark, folder):
     found = state.beacon_intervals(fl.sightings(kept(spark, folder)), lookback_us=10 * DAY, keep=8)
     return found.withColumns({"beacon_mean": F.col("beacon_interval_stats.mean"), "beacon_std": F.col("beacon_interval_stats.std")}).select(
-        *state.PAIR, "bucket", *r6("beacon_mean", "beacon_std"))
+        *state.PAIR, "bucket", *r6s("beacon_mean", "beacon_std"))
 
 
 @query
@@ -934,9 +938,8 @@ def flow_records(spark, folder):
         "gap_mean": F.col("inter_arrival_stats.mean"), "gap_std": F.col("inter_arrival_stats.std"),
         "beacon_mean": F.col("beacon_interval_stats.mean"), "beacon_std": F.col("beacon_interval_stats.std")})
     return flat.select("flow_id", "capture_id", "ts_us", *r6(
-        "size_min", "size_max", "size_mean", "size_std", "gap_mean", "gap_std", "entropy", "byte_ratio", "beacon_mean", "beacon_std",
-        "dns_ngram_entropy", "pkt_rate", "byte_rate", "syn_fraction", "target_pkt_rate", "target_syn_fraction", "src_ip_entropy", "dns_query_len"),
-        "ttl", "ja4", "fanout_count", "outbound_bytes", "inbound_bytes", "syn_count", "dns_record_type")
+        "size_min", "size_max", "size_mean", "size_std", "entropy", "byte_ratio", "dns_ngram_entropy", "pkt_rate", "byte_rate", "syn_fraction", "target_pkt_rate", "target_syn_fraction", "src_ip_entropy", "dns_query_len"),
+        *r6s("gap_mean", "gap_std", "beacon_mean", "beacon_std"), "ttl", "ja4", "fanout_count", "outbound_bytes", "inbound_bytes", "syn_count", "dns_record_type")
 
 
 @query
