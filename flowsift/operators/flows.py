@@ -21,7 +21,8 @@ from flowsift.operators.staging import staged
 from flowsift.operators.state import beacon_intervals, carried_ja4, horizon_fanout
 
 TUPLE = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
-FLOW_KEYS = ["capture_id", "bucket", *TUPLE]
+# The window number leads: it is the most selective key, and an integer, in every sort by flow.
+FLOW_KEYS = ["bucket", "capture_id", *TUPLE]
 TARGET_KEYS = ["capture_id", "bucket", "dst_ip", "dst_port", "protocol"]
 SOURCE_KEYS = ["capture_id", "bucket", "src_ip"]
 
@@ -38,11 +39,11 @@ def packet_totals(packets: DataFrame) -> DataFrame:
     """Order-free flow aggregates: sizes, counts, SYNs, payload bytes, first-packet attributes.
 
     Flows without any positive frame length stay in, with n_sized = 0: they still count towards
-    the per-source and per-target aggregates.
+    the per-source and per-target aggregates. All buffers are fixed-width, so packets combine in
+    hash maps before the shuffle; the few packets with a fingerprint are aggregated apart.
     """
     size = _positive("frame_len")
-    first = F.min(F.struct("frame_no", "ts_us", "ttl"))
-    return packets.groupBy(*FLOW_KEYS).agg(
+    totals = packets.groupBy(*FLOW_KEYS).agg(
         F.count(F.lit(1)).alias("n_packets"),
         F.count(size).alias("n_sized"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
@@ -52,14 +53,12 @@ def packet_totals(packets: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("size_std"),
         F.count_if(F.col("is_syn")).alias("syn_count"),
         F.sum(int_div(F.length(F.coalesce("payload_hex", F.lit(""))).cast("bigint"), 2)).alias("payload_bytes"),
-        first.alias("_first"),
-        F.max(F.when(F.col("ja4").isNotNull(), F.struct("frame_no", "ja4"))).alias("_hello"),
-    ).withColumns({
-        "first_frame": F.col("_first.frame_no"),
-        "first_ts_us": F.col("_first.ts_us"),
-        "ttl": F.col("_first.ttl"),
-        "own_ja4": F.col("_hello.ja4"),
-    }).drop("_first", "_hello")
+        F.min("frame_no").alias("first_frame"),
+        F.min_by("ts_us", "frame_no").alias("first_ts_us"),
+        F.min_by("ttl", "frame_no").alias("ttl"),
+    )
+    hellos = packets.filter(F.col("ja4").isNotNull()).groupBy(*FLOW_KEYS).agg(F.max_by("ja4", "frame_no").alias("own_ja4"))
+    return totals.join(hellos, FLOW_KEYS, "left")
 
 
 def inter_arrivals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -72,8 +71,8 @@ def inter_arrivals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
         F.count("gap").alias("n"),
         F.sum("gap").alias("s"),
         (F.var_pop("gap") * F.count("gap")).alias("m2"),
-        F.min(F.struct("frame_no", "ts_us")).getField("ts_us").alias("first_ts"),
-        F.max(F.struct("frame_no", "ts_us")).getField("ts_us").alias("last_ts"),
+        F.min_by("ts_us", "frame_no").alias("first_ts"),
+        F.max_by("ts_us", "frame_no").alias("last_ts"),
     )
     by_flow = Window.partitionBy(*FLOW_KEYS)
     seam = F.col("first_ts") - F.lag("last_ts").over(by_flow.orderBy("_chunk"))
@@ -100,19 +99,17 @@ def entropy_from_counts(total: Column, weighted: Column) -> Column:
     return F.greatest(F.log2(total) - weighted / total, F.lit(0.0)) + F.lit(0.0)
 
 
-def token_entropy(rows: DataFrame, keys: Sequence[str], part: Column, tokens: Column, out: str) -> DataFrame:
-    """Shannon entropy of all tokens of a group.
+def token_entropy(rows: DataFrame, keys: Sequence[str], tokens: Column, out: str) -> DataFrame:
+    """Shannon entropy of all tokens of a group, by counts of (group, token).
 
-    One shuffle moves the packed text to (keys, part); tokens are unpacked and counted there.
-    ``part`` splits hot groups.
+    Counts combine before the shuffle, so a hot group sends at most its vocabulary per task.
     """
-    spread = rows.withColumn("_part", part).repartition(*[F.col(k) for k in keys], F.col("_part"))
-    counts = (
-        spread.select(*keys, "_part", F.explode(tokens).alias("_token"))
-        .groupBy(*keys, "_part", "_token").agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy(*keys, "_part").agg(F.collect_list(F.struct("_token", "_c")).alias("_hist"))
+    return (
+        rows.select(*keys, F.explode(tokens).alias("_token"))
+        .groupBy(*keys, "_token").agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_w"))
+        .select(*keys, entropy_from_counts(F.col("_n"), F.col("_w")).alias(out))
     )
-    return _entropy_of_parts(counts, keys, out)
 
 
 def _entropy_of_parts(counts: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -140,8 +137,9 @@ def byte_entropy(rows: DataFrame, keys: Sequence[str], part: Column, value: str,
     a whole batch of bytes at once, which is over ten times faster than unpacking bytes to rows.
     """
     names = [*keys, "_part"]
+    # The hash leads the sort: integers compare faster than addresses that share their beginnings.
     ordered = rows.select(*keys, part.cast("bigint").alias("_part"), value).repartition(
-        *[F.col(k) for k in names]).sortWithinPartitions(*names)
+        *[F.col(k) for k in names]).sortWithinPartitions(F.xxhash64(*names), *names)
     schema = ordered.select(*names).schema.add(
         "_hist", T.ArrayType(T.StructType().add("_token", T.IntegerType()).add("_c", T.LongType())))
     counts = ordered.mapInArrow(lambda batches: count_bytes(batches, names, value), schema)
@@ -170,9 +168,10 @@ def dns_name_text(names: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    pairs = F.transform(starts, lambda i: F.substring(text, i, F.lit(2)))
-    return F.filter(pairs, lambda p: F.length(p) == 2)
+    """All pairs of neighbouring characters: the pairs from even places and those from odd places."""
+    return F.concat(
+        F.regexp_extract_all(text, F.lit("(?s)(..)")),
+        F.regexp_extract_all(F.substring(text, F.lit(2), F.length(text)), F.lit("(?s)(..)")))
 
 
 def dns_features(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -189,8 +188,7 @@ def dns_features(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     before = carry_first(FLOW_KEYS, "frame_no").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows_only(staged.withColumn("before", F.last("tail", ignorenulls=True).over(before))).withColumn(
         "run", F.when(F.col("text") != "", F.concat(F.coalesce("before", F.lit("")), "text")).otherwise(""))
-    grams = token_entropy(
-        joined.filter(F.length("run") >= 2), FLOW_KEYS, chunk, bigrams(F.col("run")), "ngram")
+    grams = token_entropy(joined.filter(F.length("run") >= 2), FLOW_KEYS, bigrams(F.col("run")), "ngram")
     labels = F.transform("dns_names", lambda n: F.length(F.replace(n, F.lit("."), F.lit("")))
                          / (F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1))
     lengths = named.groupBy(*FLOW_KEYS).agg(

@@ -27,7 +27,7 @@ def beacon_intervals(
     the look-back is bounded, a chunk of time only needs the arrivals just before it.
     """
     arrivals = sightings.groupBy(*PAIR, "bucket").agg(
-        F.min(F.struct("first_frame", "first_ts_us")).getField("first_ts_us").alias("ts"))
+        F.min_by("first_ts_us", "first_frame").alias("ts"))
     spread = with_halo(arrivals, "ts", chunk_us or 4 * lookback_us, lookback_us)
     recent_rows = Window.partitionBy(*PAIR, CHUNK).orderBy("ts", "bucket").rowsBetween(-(keep - 1), 0)
     listed = spread.withColumn("times", F.collect_list("ts").over(recent_rows)).filter(~F.col(CONTEXT))

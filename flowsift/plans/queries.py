@@ -495,8 +495,8 @@ def a12_dns_entropy(spark, folder):
 def a12_host_entropy(spark, folder):
     hosts = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:?]+)", 1).alias("host"))
     text = F.lower(F.replace("host", F.lit("."), F.lit("")))
-    return fl.token_entropy(hosts.withColumn("text", text), ["host"], F.pmod("page_id", F.lit(16)),
-                            fl.bigrams(F.col("text")), "ngram").select("host", *r6("ngram"))
+    return fl.token_entropy(hosts.withColumn("text", text), ["host"], fl.bigrams(F.col("text")), "ngram").select(
+        "host", *r6("ngram"))
 
 
 @query
