@@ -322,11 +322,11 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-def r6s(*names: str) -> str:
-    return ", ".join(f"round({n} + 0.00000013::DOUBLE, 6) + 0.0 AS {n}" for n in names)
+def r6s(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n} + 0.00000013::DOUBLE, {digits}) + 0.0 AS {n}" for n in names)
 
 
-FLOW_OUT = f"""SELECT flow_id, capture_id, ts_us, {r6s('gap_mean', 'gap_std', 'beacon_mean', 'beacon_std')}, {r6('size_min', 'size_max', 'size_mean', 'size_std', 'entropy', 'byte_ratio',
+FLOW_OUT = f"""SELECT flow_id, capture_id, ts_us, {r6s('gap_mean', 'gap_std')}, {r6s('beacon_mean', 'beacon_std', digits=3)}, {r6('size_min', 'size_max', 'size_mean', 'size_std', 'entropy', 'byte_ratio',
     'dns_ngram_entropy', 'pkt_rate', 'byte_rate', 'syn_fraction', 'target_pkt_rate',
     'target_syn_fraction', 'src_ip_entropy', 'dns_query_len')}, ttl, ja4, fanout_count, outbound_bytes, inbound_bytes, syn_count, dns_record_type FROM flows"""
 
@@ -441,7 +441,7 @@ def _fill() -> None:
     o["a19_load_report"] = """SELECT count(*) AS rows, count(*) FILTER (event_type IN ('click', 'view', 'error')) AS ok,
       count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) AS unmatched FROM events"""
 
-    o["w1_beacon_interval"] = sql(f"""SELECT {PAIR}, bucket, {r6s('beacon_mean', 'beacon_std')} FROM arrivals LEFT JOIN w1 USING ({PAIR}, bucket)""", w1=beacons(10 * DAY, 8))
+    o["w1_beacon_interval"] = sql(f"""SELECT {PAIR}, bucket, {r6s('beacon_mean', 'beacon_std', digits=3)} FROM arrivals LEFT JOIN w1 USING ({PAIR}, bucket)""", w1=beacons(10 * DAY, 8))
     o["w2_horizon_fanout"] = sql("SELECT * FROM hfan")
     o["w3_carried_ja4"] = sql(f"SELECT {TUPLE}, bucket, ja4 FROM w3", w3=prints(3 * DAY))
     arrival = "SELECT *, 2 * (f - f % 64 + 63 - f % 64) + (frame_no >= 1000000000)::INT AS arrival FROM (SELECT *, frame_no % 1000000000 AS f, ts_us // 3600000000 AS bucket FROM packets)"

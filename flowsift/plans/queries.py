@@ -48,10 +48,10 @@ def r6(*columns: str):
     return [(F.round(c, 6) + 0.0).alias(c) for c in columns]
 
 
-def r6s(*columns: str):
+def r6s(*columns: str, digits: int = 6):
     """Rounded seconds. Means of microsecond gaps often end exactly on half a microsecond, where
     the last bit decides; the small shift moves them off that edge in both engines."""
-    return [(F.round(F.col(c) + 0.00000013, 6) + 0.0).alias(c) for c in columns]
+    return [(F.round(F.col(c) + 0.00000013, digits) + 0.0).alias(c) for c in columns]
 
 
 def packets(spark, folder) -> DataFrame:
@@ -552,7 +552,7 @@ def a19_load_report(spark, folder):
 def w1_beacon_interval(spark, folder):
     found = state.beacon_intervals(fl.sightings(kept(spark, folder)), lookback_us=10 * DAY, keep=8)
     return found.withColumns({"beacon_mean": F.col("beacon_interval_stats.mean"), "beacon_std": F.col("beacon_interval_stats.std")}).select(
-        *state.PAIR, "bucket", *r6s("beacon_mean", "beacon_std"))
+        *state.PAIR, "bucket", *r6s("beacon_mean", "beacon_std", digits=3))
 
 
 @query
@@ -939,7 +939,7 @@ def flow_records(spark, folder):
         "beacon_mean": F.col("beacon_interval_stats.mean"), "beacon_std": F.col("beacon_interval_stats.std")})
     return flat.select("flow_id", "capture_id", "ts_us", *r6(
         "size_min", "size_max", "size_mean", "size_std", "entropy", "byte_ratio", "dns_ngram_entropy", "pkt_rate", "byte_rate", "syn_fraction", "target_pkt_rate", "target_syn_fraction", "src_ip_entropy", "dns_query_len"),
-        *r6s("gap_mean", "gap_std", "beacon_mean", "beacon_std"), "ttl", "ja4", "fanout_count", "outbound_bytes", "inbound_bytes", "syn_count", "dns_record_type")
+        *r6s("gap_mean", "gap_std"), *r6s("beacon_mean", "beacon_std", digits=3), "ttl", "ja4", "fanout_count", "outbound_bytes", "inbound_bytes", "syn_count", "dns_record_type")
 
 
 @query
