@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,12 +49,14 @@ def stream_flows(
 
     def process(closed: DataFrame, batch_id: int) -> None:
         spark = closed.sparkSession
-        kept_frames = []
+        work = f"{folder}/work/{batch_id}"
+        count = itertools.count()
 
         def hold(df: DataFrame) -> DataFrame:
-            held = df.persist(StorageLevel.MEMORY_AND_DISK)
-            kept_frames.append(held)
-            return held
+            """Write once, read by all branches; in particular the window state is read only once."""
+            path = f"{work}/{next(count)}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
         try:
             batch = hold(unpack(closed))
@@ -77,8 +79,8 @@ def stream_flows(
                 _write(alerts.withColumn("batch", F.lit(batch_id)), f"{folder}/alerts", ["batch"])
                 _write(run_counters(fused).withColumn("batch", F.lit(batch_id)), f"{folder}/counters", ["batch"])
         finally:
-            for frame in kept_frames:
-                frame.unpersist()
+            path = spark._jvm.org.apache.hadoop.fs.Path(work)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     closed = closed_windows(packets, window_us=window_us, lateness=lateness)
     return (
