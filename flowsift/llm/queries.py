@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsift.llm import digest_index, mixing
+from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, secret_scan
 from flowsift.sources.tables import table
 
 
+def op1_html_content(spark: SparkSession, folder: str) -> DataFrame:
+    return html_content.extract_pages(table(spark, folder, "pages"))
+
+
+def op2_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return kd_shards.shard_documents(table(spark, folder, "documents"), shards=24)
+
+
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
+def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.classes(table(spark, folder, "documents"), near_copies.Settings(words=2))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -20,7 +37,17 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_content": op1_html_content,
+    "op2_kd_shards": op2_kd_shards,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_near_copies": op4_near_copies,
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
 }
