@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, secret_scan
+from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan
 from flowsift.sources.tables import table
 
 
@@ -27,6 +27,10 @@ def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.classes(table(spark, folder, "documents"), near_copies.Settings(words=2))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kd_shards": op2_kd_shards,
     "op3_secret_scan": op3_secret_scan,
     "op4_near_copies": op4_near_copies,
+    "op6_packing": op6_packing,
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
