@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan
+from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan, vector_search
 from flowsift.sources.tables import table
 
 
@@ -46,6 +47,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, vector_search.Settings(k=20))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_content": op1_html_content,
     "op2_kd_shards": op2_kd_shards,
@@ -55,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_vector_search": op10_vector_search,
 }
