@@ -88,10 +88,11 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of docs that stay, all columns."""
-    own = staged(docs.withColumn("_row_no", F.monotonically_increasing_id()))
-    rows = staged(own.select(
-        F.col("_row_no").alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"),
-        text_digest(text_or_empty()).alias("digest")))
-    stay = index.append_new(digest_groups(rows)).select(F.col("keep_row").alias("_row_no"))
-    return own.join(stay, "_row_no", "left_semi").drop("_row_no")
+    """The rows of docs that stay, all columns. Texts are shuffled once, not stored again."""
+    rows = digests(docs)
+    stay = index.append_new(digest_groups(rows)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
+    own = docs.withColumn("_text_digest", text_digest(text_or_empty()))
+    kept = own.join(stay, (F.col("_text_digest") == F.col("_digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")), "left_semi")
+    if not rows.groupBy("digest", "doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_text_digest"])  # rows equal in text and doc_id: one stays
+    return kept.drop("_text_digest")

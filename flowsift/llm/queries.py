@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan, vector_search
+from flowsift.llm import co_training, digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan, vector_search
 from flowsift.sources.tables import table
 
 
@@ -28,6 +28,11 @@ def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.classes(table(spark, folder, "documents"), near_copies.Settings(words=2))
 
 
+def op5_co_training(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return co_training.score_documents(docs, co_training.fit(docs, table(spark, folder, "labels")))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kd_shards": op2_kd_shards,
     "op3_secret_scan": op3_secret_scan,
     "op4_near_copies": op4_near_copies,
+    "op5_co_training": op5_co_training,
     "op6_packing": op6_packing,
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
