@@ -36,11 +36,13 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CELLS = len(ALPHABET)
+#: Weight of a character's own frequency among the pairs that begin like it.
+BACK_OFF = 5.0
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_documents bounds the labelled rows that train the ordinary model; smooth is added to each count."""
+    """sample_documents bounds the labelled rows that train the ordinary model; smooth is added to each character's count."""
 
     sample_documents: int = 4000
     smooth: float = 0.5
@@ -113,21 +115,20 @@ def train(samples: DataFrame, smooth: float) -> list[float] | None:
     counted = pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).filter(
         F.rlike("pair", F.lit(r"\A[A-Za-z0-9+/_=-]{2}\z"))).collect()
     place = {c: i for i, c in enumerate(ALPHABET)}
-    tables = {True: [smooth] * CELLS * CELLS, False: [smooth] * CELLS * CELLS}
-    seen = set()
-    for row in counted:
-        tables[row["random"]][place[row["pair"][0]] * CELLS + place[row["pair"][1]]] += row["n"]
-        seen.add(row["random"])
-    if len(seen) < 2:
+    logs: dict[bool, list[float]] = {}
+    for label in (True, False):
+        pairs_seen = [[0] * CELLS for _ in range(CELLS)]
+        for row in counted:
+            if row["random"] == label:
+                pairs_seen[place[row["pair"][0]]][place[row["pair"][1]]] += row["n"]
+        second = [smooth + sum(seen[b] for seen in pairs_seen) for b in range(CELLS)]
+        alone = [n / sum(second) for n in second]
+        # Pairs fall back on how common the second character is.
+        logs[label] = [
+            math.log((seen[b] + BACK_OFF * alone[b]) / (sum(seen) + BACK_OFF)) for seen in pairs_seen for b in range(CELLS)]
+    if len({row["random"] for row in counted}) < 2:
         return None
-    ratio = [0.0] * CELLS * CELLS
-    for a in range(CELLS):
-        part = slice(a * CELLS, (a + 1) * CELLS)
-        random, plain = sum(tables[True][part]), sum(tables[False][part])
-        for b in range(CELLS):
-            i = a * CELLS + b
-            ratio[i] = math.log(tables[True][i] / random) - math.log(tables[False][i] / plain)
-    return ratio
+    return [r - p for r, p in zip(logs[True], logs[False])]
 
 
 def ratio_of(token: Column, table: list[float]) -> Column:
