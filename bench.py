@@ -72,7 +72,7 @@ def measure(spark, folder: str) -> dict[str, float]:
     timed("document_entropy", lambda: run(q.a4_document_entropy(spark, folder)))
     seen = staged(fl.sightings(fl.with_reverse(fl.packet_totals(windowed))))
     timed("horizon_fanout", lambda: run(state.horizon_fanout(seen, horizon_us=7 * q.DAY)))
-    timed("beacon_intervals", lambda: run(state.beacon_intervals(seen, lookback_us=30 * q.DAY)))
+    timed("beacon_intervals", lambda: run(state.beacon_intervals(seen, lookback_us=30 * q.DAY, keep=64)))
     timed("carried_ja4", lambda: run(state.carried_ja4(seen, horizon_us=7 * q.DAY)))
     timed("psi", lambda: run(q.dr1_psi(spark, folder)))
     timed("ks", lambda: run(q.dr2_ks(spark, folder)))

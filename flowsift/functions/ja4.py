@@ -11,12 +11,13 @@ EMPTY_HASH = "0" * 12
 
 
 def code_number(text: Column) -> Column:
-    """A TLS code written as 0x-hex, decimal, or bare hex; NULL when it is none of these."""
+    """A TLS code written as 0x-hex, decimal, or bare hex; NULL when it is none of these. Of longer numbers the low bits."""
     t = F.lower(F.trim(text))
     return (
-        F.when(t.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 15), 16, 10).cast("bigint"))
-        .when(t.rlike("^[+-]?[0-9]{1,18}$"), t.try_cast("bigint"))
-        .when(t.rlike("^[0-9a-f]{1,15}$"), F.conv(t, 16, 10).cast("bigint"))
+        F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.right(F.substr(t, F.lit(3)), F.lit(15)), 16, 10).cast("bigint"))
+        .when(t.rlike("^[+-]?[0-9]+$"), F.coalesce(
+            t.try_cast("bigint"), F.pmod(t.try_cast("decimal(38,0)"), F.lit(1 << 60)).cast("bigint")))
+        .when(t.rlike("^[0-9a-f]+$"), F.conv(F.right(t, F.lit(15)), 16, 10).cast("bigint"))
     )
 
 

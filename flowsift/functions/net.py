@@ -31,7 +31,8 @@ def flow_id(src_ip, src_port, dst_ip, dst_port, protocol, bucket) -> Column:
 def is_pure_syn(flags: Column, syn: Column | None = None, ack: Column | None = None) -> Column:
     """TCP SYN without ACK, from a flags value read as hex, else from the two flag bits."""
     text = F.regexp_replace(flags, "^0[xX]", "")
-    as_hex = F.when(text.rlike("^[0-9a-fA-F]{1,8}$"), F.conv(text, 16, 10).cast("bigint"))
+    # Only the low bits are read, so the last eight digits of any number of them do.
+    as_hex = F.when(text.rlike("^[0-9a-fA-F]+$"), F.conv(F.right(text, F.lit(8)), 16, 10).cast("bigint"))
     from_value = (as_hex.bitwiseAND(F.lit(0x02)) != 0) & (as_hex.bitwiseAND(F.lit(0x10)) == 0)
     from_value = F.coalesce(from_value, F.lit(False))
     if syn is None:

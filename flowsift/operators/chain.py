@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.constants import CHAIN_KEEP, GENESIS_HASH
+from flowsift.constants import GENESIS_HASH
 from flowsift.functions.net import int_div
 from flowsift.operators.ordered import CHUNK_ROWS, carry_first, rows_only, with_carry
 
@@ -130,7 +130,7 @@ def verify_chains(entries: DataFrame, **options) -> DataFrame:
         F.min(F.when(~F.col("is_valid"), F.col("position"))).alias("first_break"))
 
 
-def retained(entries: DataFrame, keep: int = CHAIN_KEEP) -> DataFrame:
+def retained(entries: DataFrame, keep: int) -> DataFrame:
     """The last ``keep`` entries of each chain. Sequence numbers are dense, so no ranking is needed."""
     top = entries.groupBy("chain_id").agg(F.max("seq").alias("_top"))
     return entries.join(top, "chain_id").filter(F.col("seq") > F.col("_top") - keep).drop("_top")

@@ -21,14 +21,14 @@ def class_shares(alerts: DataFrame) -> DataFrame:
     ).orderBy(F.col("n").desc(), "class_no")
 
 
-def timeline(alerts: DataFrame, ts: Column | None = None, buckets: int = 10) -> DataFrame:
+def timeline(alerts: DataFrame, ts: Column | None = None, *, buckets: int) -> DataFrame:
     """Alerts per minute, the latest ``buckets`` minutes that have any."""
     ts = ts if ts is not None else F.col("timestamp")
     return alerts.groupBy(F.date_trunc("minute", ts).alias("minute")).agg(
         F.count(F.lit(1)).alias("n")).orderBy(F.col("minute").desc()).limit(buckets)
 
 
-def latest_alerts(alerts: DataFrame, keep: int = 500, order: str = "timestamp", tie: str = "flow_id") -> DataFrame:
+def latest_alerts(alerts: DataFrame, keep: int, order: str = "timestamp", tie: str = "flow_id") -> DataFrame:
     """The newest ``keep`` alerts (a top-k: each task keeps only its own newest)."""
     return alerts.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(keep)
 

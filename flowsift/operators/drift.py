@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.constants import DRIFT_PSI, DRIFT_WINDOW, RETRAIN_MAX_ROWS, RETRAIN_MIN_ROWS, RETRAIN_PSI
+from flowsift.constants import DRIFT_PSI, RETRAIN_MIN_ROWS, RETRAIN_PSI
 from flowsift.functions.net import int_div
 from flowsift.operators.ordered import CHUNK, CHUNK_ROWS, CONTEXT, rank_rows, running_sum, value_chunks, with_halo
+from flowsift.operators.staging import staged
 
 
 def _range(reference: DataFrame, value: str):
@@ -61,7 +62,7 @@ def ks(reference: DataFrame, current: DataFrame, value: str = "score") -> DataFr
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     sides = reference.select(F.col(value).cast("double").alias("v"), one.alias("b"), zero.alias("c")).unionByName(
         current.select(F.col(value).cast("double").alias("v"), zero.alias("b"), one.alias("c"))).filter("v is not null")
-    counted = sides.groupBy("v").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    counted = staged(sides.groupBy("v").agg(F.sum("b").alias("b"), F.sum("c").alias("c")))
     n = counted.agg(F.sum("b").alias("b"), F.sum("c").alias("c")).first()
     if not n["b"] or not n["c"]:
         return reference.sparkSession.createDataFrame([(0.0,)], "ks double")
@@ -71,7 +72,7 @@ def ks(reference: DataFrame, current: DataFrame, value: str = "score") -> DataFr
 
 def rolling_drift(
     scores: DataFrame, reference: DataFrame, *, key: str = "stream", order: str = "seq", batch: str = "batch",
-    value: str = "score", window: int = DRIFT_WINDOW, bins: int = 10, alarm: float = DRIFT_PSI,
+    value: str = "score", window: int, bins: int = 10, alarm: float = DRIFT_PSI,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """PSI of the last ``window`` scores at the end of each batch, per key.
@@ -112,7 +113,7 @@ def write_reference_once(scores: DataFrame, path: str) -> bool:
     return True
 
 
-def newest(rows: DataFrame, order: str, keep: int = RETRAIN_MAX_ROWS, keys=()) -> DataFrame:
+def newest(rows: DataFrame, order: str, keep: int, keys=()) -> DataFrame:
     """The newest ``keep`` rows (per key): what a bounded pool retains."""
     backwards = rows.withColumn("_back", -F.col(order))
     return rank_rows(backwards, list(keys), "_back", "_nth").filter(F.col("_nth") <= keep).drop("_back", "_nth")
@@ -120,15 +121,18 @@ def newest(rows: DataFrame, order: str, keep: int = RETRAIN_MAX_ROWS, keys=()) -
 
 def bounded_retrain(
     candidates: DataFrame, reference: DataFrame, reference_scores: DataFrame, *, version: int = 1,
-    limit: float = RETRAIN_PSI, min_rows: int = RETRAIN_MIN_ROWS, max_rows: int = RETRAIN_MAX_ROWS, **fit_options,
+    limit: float = RETRAIN_PSI, min_rows: int = RETRAIN_MIN_ROWS, max_rows: int | None = None, **fit_options,
 ):
     """Fit a candidate forest and accept it only if the reference scores barely move.
 
-    Returns (result, model): result holds accepted, psi and reason; model is None on refusal.
+    All candidates are used. A caller who wants a bounded pool gives ``max_rows``: the rows whose flow_id has the
+    smallest SHA-256, the same ones in every pass and run. Returns (result, model): result holds accepted, psi and reason; model is None on refusal.
     """
     from flowsift.operators.iforest import fit_forest, forest_layer
 
-    pool = candidates.limit(max_rows)
+    pool = candidates
+    if max_rows is not None:
+        pool = staged(candidates.orderBy(F.sha2("flow_id", 256), *candidates.columns[:1]).limit(max_rows))
     have = pool.count()
     if have < min_rows:
         return {"accepted": False, "psi": None, "reason": "insufficient trusted samples"}, None

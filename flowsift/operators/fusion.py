@@ -12,17 +12,24 @@ from flowsift.constants import (
 from flowsift.functions.core import let
 
 
-def layers_from_long(scores: DataFrame, layers=tuple(LAYERS)) -> DataFrame:
+def layers_from_long(scores: DataFrame, layers=tuple(LAYERS), keys=("flow_id",)) -> DataFrame:
     """Long layer scores to one row per flow with a ``scores`` array in layer order.
 
-    Exactly one score per flow and layer is expected: each layer is one aggregate column, so the
-    shuffle is partially combined and a repeated flow id never builds up a list.
+    ``keys`` name a flow (flow ids repeat across captures: give both then). A flow with two scores of a layer, or
+    with a score of a layer that is not listed, is an error. Each layer is one aggregate column, so the shuffle is
+    partially combined and a repeated flow id never builds up a list.
     """
     fields = ["layer_name", "raw_score", "calibrated_probability", "threat_class_guess", "evidence"]
     entry = F.struct(*fields)
     picked = [F.first(F.when(F.col("layer_name") == n, entry), ignorenulls=True).alias(n) for n in layers]
-    wide = scores.groupBy("flow_id").agg(*picked)
-    return wide.select("flow_id", F.array_compact(F.array(*layers)).alias("scores"))
+    name = F.col("layer_name")
+    wrong = F.concat_ws(
+        ", ", *[F.when(F.count_if(name == n) > 1, F.lit(f"several scores of {n}")) for n in layers],
+        F.when(F.count_if(~F.coalesce(name.isin(*layers), F.lit(False))) > 0, F.lit("a score of no listed layer")))
+    wide = scores.groupBy(*keys).agg(*picked, wrong.alias("_wrong"))
+    told = F.concat_ws(": ", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), F.col("_wrong"))
+    return wide.select(*keys, F.when(F.col("_wrong") == "", F.array_compact(F.array(*layers))).otherwise(
+        F.raise_error(told)).alias("scores"))
 
 
 def fuse_scores(scores: Column) -> Column:

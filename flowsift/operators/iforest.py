@@ -15,6 +15,7 @@ from flowsift.functions.features import FEATURE_NAMES, WIDTH, feature_columns
 from flowsift.functions.scores import squash
 from flowsift.operators.ordered import exact_quantiles
 from flowsift.operators.rules import layer_score
+from flowsift.operators.sampling import unit_uniform
 from flowsift.operators.staging import staged
 
 
@@ -84,18 +85,22 @@ def _grow(rows: np.ndarray, levels: int, rng: np.random.Generator):
     return feature, threshold, depth
 
 
+ROW_KEY = "_row_key"
+
+
 def _tree_samples(rows: DataFrame, n: int, names: list[str], trees: int, size: int, seed: int) -> DataFrame:
     """(tree, features, draw) rows: about 4 * size candidates per tree, whatever the table size.
 
-    Each row is offered to a few distinct trees and kept with a fixed chance. The draws are per
-    row, not per value, so a mass of identical rows is thinned like any others.
+    Each row is offered to a few distinct trees and kept with a fixed chance. The draws come
+    from the row's key, so they do not depend on how rows are placed, and a mass of like flows is thinned.
     """
     repeats = max(1, min(trees, math.ceil(4 * trees * size / n)))
     share = min(1.0, 4.0 * trees * size / (n * repeats))
-    offered = rows.select(*names, F.floor(F.rand(seed) * trees).cast("int").alias("_first")).withColumn(
+    first = F.floor(unit_uniform(F.col(ROW_KEY), seed, 0) * trees).cast("int")
+    offered = rows.select(*names, ROW_KEY, first.alias("_first")).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    placed = offered.select(
-        *names, F.pmod(F.col("_first") + F.col("_j"), F.lit(trees)).alias("tree"), F.rand(seed + 1).alias("_draw"))
+    placed = offered.withColumn("tree", F.pmod(F.col("_first") + F.col("_j"), F.lit(trees))).select(
+        *names, "tree", unit_uniform(F.xxhash64(ROW_KEY, "tree"), seed, 1).alias("_draw"))
     return placed.filter(F.col("_draw") < share)
 
 
@@ -105,7 +110,8 @@ def fit_forest(
 ) -> Forest:
     """Fit on benign flows. Passes over the data: moments, tree samples, training scores."""
     names = FEATURE_NAMES[:WIDTH[version]]
-    inputs = benign.select(*feature_columns(version))
+    keys = [c for c in ("capture_id", "flow_id", "first_frame") if c in benign.columns] or benign.columns
+    inputs = benign.select(*feature_columns(version), F.xxhash64(*keys).alias(ROW_KEY))
     moments = inputs.agg(F.count(F.lit(1)), *[f(n) for n in names for f in (F.avg, F.stddev_pop)]).first()
     n = moments[0]
     if not n:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flowsift.functions.net import int_div
+from flowsift.operators.staging import staged
 
 CHUNK = "_chunk"
 CARRY = "_carry"
@@ -78,10 +79,14 @@ def running_sum(
     return rows_only(staged.withColumns({v: F.sum(v).over(running) for v in values}))
 
 
-def value_chunks(df: DataFrame, value: str, parts: int = 64) -> Column:
-    """Chunk number of a numeric column, cut at approximate quantiles (one small aggregate)."""
+def value_chunks(df: DataFrame, value: str, parts: int | None = None) -> Column:
+    """Chunk number of a numeric column, cut at approximate quantiles (one small aggregate).
+
+    Without ``parts``, as many chunks as keep a chunk of df near CHUNK_ROWS rows, at least 64.
+    """
+    parts = parts or max(64, -(-df.count() // CHUNK_ROWS))
     shares = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(value, shares, 10_000).alias("cuts")).first()["cuts"] or []
+    cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 10 * parts)).alias("cuts")).first()["cuts"] or []
     bounds = sorted({float(c) for c in cuts if c is not None})
     if not bounds:
         return F.lit(0).cast("bigint")
@@ -112,8 +117,8 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float]) -> li
     Values are counted first, ranked in quantile-cut chunks, and only the rows that hold a wanted
     rank come back.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("upto"))
+    counted = staged(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("upto")))
     total = counted.agg(F.sum("upto")).first()[0]
     if not total:
         raise ValueError("no values")

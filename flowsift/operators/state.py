@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.constants import BEACON_ARRIVALS, BEACON_LOOKBACK_US, HORIZON_US, WINDOW_PACKET_CAP
+from flowsift.constants import BEACON_LOOKBACK_US, HORIZON_US
 from flowsift.functions.net import int_div
 from flowsift.operators.ordered import (
     CHUNK, CHUNK_ROWS, CONTEXT, carry_first, rank_rows, rows_only, running_sum, with_carry, with_halo)
@@ -18,18 +18,18 @@ FLOW = ["capture_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
 
 
 def beacon_intervals(
-    sightings: DataFrame, *, lookback_us: int = BEACON_LOOKBACK_US, keep: int = BEACON_ARRIVALS,
+    sightings: DataFrame, *, lookback_us: int = BEACON_LOOKBACK_US, keep: int | None = None,
     chunk_us: int | None = None,
 ) -> DataFrame:
     """Mean and deviation of callback gaps per (pair, window); NULL below four arrivals.
 
-    One arrival per window; the last ``keep`` arrivals no older than the look-back count. Because
+    One arrival per window; the arrivals no older than the look-back count, or the last ``keep`` of them if given. Because
     the look-back is bounded, a chunk of time only needs the arrivals just before it.
     """
     arrivals = sightings.groupBy(*PAIR, "bucket").agg(
         F.min_by("first_ts_us", "first_frame").alias("ts"))
     spread = with_halo(arrivals, "ts", chunk_us or 4 * lookback_us, lookback_us)
-    recent_rows = Window.partitionBy(*PAIR, CHUNK).orderBy("ts", "bucket").rowsBetween(-(keep - 1), 0)
+    recent_rows = Window.partitionBy(*PAIR, CHUNK).orderBy("ts", "bucket").rowsBetween(Window.unboundedPreceding if keep is None else -(keep - 1), 0)
     listed = spread.withColumn("times", F.collect_list("ts").over(recent_rows)).filter(~F.col(CONTEXT))
     recent = listed.withColumn("times", F.filter("times", lambda t: t >= F.col("ts") - F.lit(lookback_us)))
     n = F.size("times")
@@ -101,7 +101,7 @@ def drop_late(packets: DataFrame, **options) -> DataFrame:
 
 
 def mark_over_cap(
-    packets: DataFrame, cap: int = WINDOW_PACKET_CAP, *, order: str = "frame_no", chunk_rows: int = CHUNK_ROWS,
+    packets: DataFrame, cap: int, *, order: str = "frame_no", chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add over_cap: the packet is beyond the first ``cap`` of its window."""
     ranked = rank_rows(packets, ["capture_id", "bucket"], order, "_nth", chunk_rows=chunk_rows)

@@ -521,7 +521,7 @@ def a16_class_shares(spark, folder):
 
 @query
 def a16_timeline(spark, folder):
-    return dashboard.timeline(surfaced(spark, folder)).select(F.unix_micros("minute").alias("minute_us"), "n")
+    return dashboard.timeline(surfaced(spark, folder), buckets=10).select(F.unix_micros("minute").alias("minute_us"), "n")
 
 
 @query
@@ -613,10 +613,11 @@ def j4_label_join(spark, folder):
 def j5_layer_zip(spark, folder):
     s = scored(spark, folder)
     long = s.select("capture_id", F.col("flow_id").alias("id"), F.explode(F.array("rules", "stats", "isoforest", "xgb")).alias("s")).select(
-        F.concat_ws("/", "capture_id", "id").alias("flow_id"), "s.*")
-    both = fusion.layers_from_long(long).withColumn("_k", F.split("flow_id", "/"))
+        "capture_id", F.col("id"), *[F.col(f"s.{n}").alias(n) for n in (
+            "layer_name", "raw_score", "calibrated_probability", "threat_class_guess", "evidence")])
+    both = fusion.layers_from_long(long, keys=("capture_id", "id"))
     return both.select(
-        F.get("_k", F.lit(1)).alias("flow_id"), F.get("_k", F.lit(0)).alias("capture_id"), F.size("scores").alias("layers"),
+        F.col("id").alias("flow_id"), "capture_id", F.size("scores").alias("layers"),
         F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x["calibrated_probability"]), 6).alias("total"))
 
 

@@ -119,11 +119,28 @@ def matched(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("label") != UNMATCHED)
 
 
-def load_report(observations: DataFrame) -> DataFrame:
-    """Rows, kept and unmatched rows per file."""
-    return observations.groupBy("path").agg(
+def unlabelled_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path of the CSV files that have no label column, or no header at all: the reader has no rows of them."""
+    names = [
+        path for path in list_files(spark, folder, ".csv")
+        if "label" not in resolve_headers(header_line(spark, path), CSV_ALIASES)]
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
+def load_report(observations: DataFrame, unlabelled: DataFrame | None = None) -> DataFrame:
+    """Rows, kept, unmatched and invalid rows per file, and the files that could not be read as labelled.
+
+    Invalid rows have fewer cells than a header or none to go by; they are counted as unmatched too.
+    """
+    report = observations.groupBy("path").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") != UNMATCHED).alias("ok"),
-        F.count_if(F.col("label") == UNMATCHED).alias("unmatched"))
+        F.count_if(F.col("label") == UNMATCHED).alias("unmatched"),
+        F.count_if(F.size("measurements") <= 0).alias("invalid")).withColumn("unlabelled", F.lit(False))
+    if unlabelled is None:
+        return report
+    none = F.lit(0).cast("bigint")
+    return report.unionByName(unlabelled.select(
+        "path", *[none.alias(n) for n in ("rows", "ok", "unmatched", "invalid")], F.lit(True).alias("unlabelled")))
 
 
 def dropped_labels(observations: DataFrame) -> DataFrame:
@@ -142,7 +159,9 @@ def read_zeek(
         F.min_by("value", "_mid").alias("_head"))
     numbered = number_rows(lines) if provenance else lines
     words = F.split(F.trim("value"), r"\s+")
-    rows = numbered.filter(~F.col("value").startswith("#")).join(headers, "path").withColumns({
+    # A file without a #fields line keeps its rows: they have no measurement and no label.
+    rows = numbered.filter(~F.col("value").startswith("#")).join(headers, "path", "left").withColumns({
+        "_head": F.coalesce("_head", F.lit("#fields"))}).withColumns({
         "_names": F.slice(F.split(F.trim("_head"), r"\s+"), F.lit(2), F.size(F.split(F.trim("_head"), r"\s+"))),
         "_words": words})
 
@@ -168,22 +187,24 @@ def read_zeek(
 
 
 def read_lenient_csv(spark: SparkSession, path: str, limit: int | None = None, header_length_as_ttl: bool = False) -> DataFrame:
-    """Labelled CSV rows (a file, or a folder of files with one header) as flow records.
+    """Labelled CSV rows (a file, or a folder of files, each with its own header) as flow records.
 
     Missing or non-finite numbers take defaults. Rows whose label maps to no class carry label
     NULL, so they can be counted. ``limit`` is the caller's wish to stop after that many usable rows.
     """
-    paths = list_files(spark, path, ".csv")
-    headers = header_line(spark, paths[0])
     aliases = dict(LENIENT_ALIASES)
     if not header_length_as_ttl:
         aliases["ttl"] = [a for a in aliases["ttl"] if a != "fwd header length"]
-    at = resolve_headers(headers, aliases, lambda h: h.strip().lower().replace("_", " ").replace("-", " "))
-    if "label" not in at:
-        raise ValueError(f"no label column among {headers[:8]}")
-    rows = _cells(spark, paths, len(headers))
-    rows = number_rows(rows.withColumn("label", substring_label(F.col(f"_c{at['label']}"))))
-    flows = lenient_flow(rows, at)
+    flows = None
+    for headers, paths in _by_header(spark, list_files(spark, path, ".csv")).items():
+        at = resolve_headers(list(headers), aliases, lambda h: h.strip().lower().replace("_", " ").replace("-", " "))
+        if "label" not in at:
+            raise ValueError(f"no label column among {list(headers[:8])} of {paths[0]}")
+        rows = _cells(spark, paths, len(headers))
+        own = lenient_flow(number_rows(rows.withColumn("label", substring_label(F.col(f"_c{at['label']}")))), at)
+        flows = own if flows is None else flows.unionByName(own)
+    if flows is None:
+        raise ValueError(f"no CSV file with a header below {path}")
     if limit is not None:
         flows = flows.filter(F.col("label").isNotNull()).orderBy("path", "row_index").limit(limit)
     return flows
