@@ -91,8 +91,9 @@ def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of docs that stay, all columns. Texts are shuffled once, not stored again."""
     rows = digests(docs)
     stay = index.append_new(digest_groups(rows)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
-    own = docs.withColumn("_text_digest", text_digest(text_or_empty()))
-    kept = own.join(stay, (F.col("_text_digest") == F.col("_digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")), "left_semi")
+    # The row travels as one struct, so that its column names meet no others.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(text_or_empty()).alias("digest"))
+    kept = own.join(stay, (own["digest"] == F.col("_digest")) & own["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")
     if not rows.groupBy("digest", "doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_text_digest"])  # rows equal in text and doc_id: one stays
-    return kept.drop("_text_digest")
+        kept = kept.dropDuplicates(["digest"])  # rows equal in text and doc_id: one stays
+    return kept.select("row.*")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowsift.llm.common import text_or_empty
 from flowsift.operators.staging import staged
@@ -283,17 +284,14 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> D
 
 def accepted(docs: DataFrame, model: Model, least_score: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose language is determined with at least ``least_score``, all columns."""
-    columns = docs.columns
-    tagged = docs.withColumn("_text", text_or_empty())
-    schema = tagged.schema
+    # The row travels as one struct, so that its column names meet no others.
+    tagged = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
+    judge = _predictions(model, settings.known_words)
 
     def keep(batches):
-        names = [f.name for f in schema.fields if f.name != "_text"]
         for batch in batches:
-            one = pa.RecordBatch.from_arrays([batch.column("_text")], names=["text"])
-            out = next(_judge(iter([one])))
+            out = next(judge(iter([batch.select(["text"])])))
             good = [p != UNDETERMINED and s >= least_score for p, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())]
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["row"]).filter(pa.array(good, pa.bool_()))
 
-    _judge = _predictions(model, settings.known_words)
-    return tagged.mapInArrow(keep, docs.schema).select(*columns)
+    return tagged.mapInArrow(keep, StructType([tagged.schema["row"]])).select("row.*")

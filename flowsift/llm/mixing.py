@@ -106,9 +106,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows the mix takes, each as often as it is taken, all columns of docs."""
     rows = staged(sized(docs).select("source", "size", "h"))
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    cut = staged(thresholds(rows, goals)).select(
-        F.col("src").alias("_src"), F.col("repeats").alias("_repeats"), F.col("upto").alias("_upto"))
-    hashed = docs.withColumn("_h", row_hash())
-    met = hashed.join(cut, F.col("source").cast("string").eqNullSafe(F.col("_src")))
-    times = (F.col("_repeats") + F.when(F.col("_h") < F.col("_upto"), 1).otherwise(0)).cast("int")
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    cut = staged(thresholds(rows, goals))
+    # The row travels as one struct, so that its column names meet no others.
+    hashed = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), row_hash().alias("h"))
+    met = hashed.join(cut, hashed["source"].eqNullSafe(cut["src"]))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("row.*")
