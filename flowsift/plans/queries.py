@@ -5,19 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.constants import BENIGN, SUSPICIOUS_PORTS
 from flowsift.functions import ja4 as tls
-from flowsift.functions.features import FEATURE_NAMES, feature_columns
+from flowsift.functions.features import FEATURE_NAMES, WIDTH, feature_columns
 from flowsift.functions.labels import map_labels, substring_label
 from flowsift.functions.net import direction, flow_id, in_networks, int_div, is_pure_syn, window_bucket
 from flowsift.functions.scores import confidence_tier, severity, squash
 from flowsift.operators import chain, dashboard, drift, evaluate, flows as fl, fusion, sampling, state, timings
-from flowsift.operators.calibration import apply_calibration, fit_calibration
-from flowsift.operators.classifier import classifier_layer, fit_classifier
-from flowsift.operators.iforest import fit_forest, forest_layer
+from flowsift.operators.calibration import Calibration, apply_calibration, fit_calibration, inputs as calibration_inputs
+from flowsift.operators.classifier import classifier_layer, fit_classifier, probability_layer
+from flowsift.operators.iforest import Forest, fit_forest, forest_layer
 from flowsift.operators.ordered import rank_rows
 from flowsift.operators.rules import RuleLimits, layer_score, rules_layer
 from flowsift.operators.staging import shared_folder, staged
@@ -25,6 +26,7 @@ from flowsift.operators.zscore import baseline_table, fit_baseline, zscore_layer
 from flowsift.plans import detect as plans
 from flowsift.sources import flow_json, labelled, packet_json, sinks
 from flowsift.sources.tables import epoch_us, packets_from_events, table
+from flowsift.streaming import detection, windows
 
 DAY = 86_400_000_000
 PROTECTED = ["10.0.0.0/8"]
@@ -94,6 +96,13 @@ def scored(spark, folder) -> DataFrame:
     return given_scores(zscore_layer(rules_layer(f, LIMITS), base))
 
 
+def in_range(metrics: DataFrame) -> DataFrame:
+    """Support per class, and whether the other figures of the class can be right."""
+    fine = [F.col(n).between(0, 1) for n in ("precision", "recall", "f1")]
+    between = F.col("f1").between(F.least("precision", "recall") - 1e-9, F.greatest("precision", "recall") + 1e-9)
+    return metrics.select("class", "support", (fine[0] & fine[1] & fine[2] & between).alias("in_range"))
+
+
 def fused(spark, folder) -> DataFrame:
     return fusion.fuse(scored(spark, folder))
 
@@ -225,8 +234,7 @@ def s4_labelled_csv(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("measurements.dst_port").cast("bigint")).alias("ports"))
 
 
-@query
-def s5_lenient_csv(spark, folder):
+def lenient_csv(spark, folder) -> str:
     e = F.col("event_id")
     path = fresh_folder(spark)
     table(spark, folder, "events").select(
@@ -236,7 +244,12 @@ def s5_lenient_csv(spark, folder):
         F.when(F.pmod(e, F.lit(13)) == 0, "Infinity").otherwise((F.pmod(e, F.lit(5)) * 700).cast("string")).alias("Fwd IAT Mean"),
         (F.pmod(e, F.lit(1000)) * 100).alias("Flow Duration"), _label_text("BENIGN", "DDoS", "PortScan", "Bot", "FTP-Patator").alias("Label"),
     ).write.option("header", True).csv(path)
-    read = labelled.read_lenient_csv(spark, path)
+    return path
+
+
+@query
+def s5_lenient_csv(spark, folder):
+    read = labelled.read_lenient_csv(spark, lenient_csv(spark, folder))
     return read.groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("inter_arrival_stats.mean"), 6).alias("gap_mean"),
         F.round(F.avg("byte_ratio"), 6).alias("byte_ratio"))
@@ -402,7 +415,9 @@ def p13_squash(spark, folder):
 
 @query
 def p14_jitter(spark, folder):
-    return sampling.jitter_copies(flows(spark, folder).filter("dst_port = 80"), 5)
+    made = sampling.jitter_copies(flows(spark, folder).filter("dst_port = 80"), 5)
+    return made.withColumn("size_mean", F.col("packet_size_stats.mean")).select(
+        "flow_id", "capture_id", "copy", *r6("size_mean", "entropy", "byte_ratio"))
 
 
 @query
@@ -663,28 +678,48 @@ def d3_zscore(spark, folder):
 
 @query
 def d4_forest_fit(spark, folder):
-    forest = fit_forest(flows(spark, folder).filter("dst_port = 80"), trees=100)
-    return spark.createDataFrame([(len(forest.feature), forest.offset, forest.spread, forest.midpoint)],
-                                 "trees int, offset double, spread double, midpoint double")
+    f = staged(flows(spark, folder).filter("dst_port = 80"))
+    forest = fit_forest(f, trees=100)
+    # The offset is the 5 % quantile of the training scores: that share is more anomalous.
+    return forest_layer(f, forest).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(len(forest.feature)).alias("trees"),
+        (F.abs(F.count_if(F.col("isoforest.raw_score") > 0.5) - 0.05 * F.count(F.lit(1))) <= 1).alias("share_below_offset"))
 
 
 @query
 def d5_forest_score(spark, folder):
-    f = labelled_flows(spark, folder)
-    forest = fit_forest(f.filter("dst_port = 80"), trees=100)
-    return forest_layer(f, forest).select("flow_id", "capture_id", "isoforest")
+    """A forest of two given trees: what it does with a flow can be written down."""
+    at = FEATURE_NAMES.index
+    wide = np.ones(WIDTH[1])
+    forest = Forest(
+        np.array([[at("entropy")], [at("pkt_size_mean")]]), np.array([[4.0], [100.0]]), np.array([[1.0, 2.0], [1.5, 3.0]]),
+        wide * 0, wide, norm=2.0, offset=-0.5, spread=0.4, midpoint=0.6)
+    scored_flows = forest_layer(flows(spark, folder), forest).withColumns(
+        {"raw": F.col("isoforest.raw_score"), "p": F.col("isoforest.calibrated_probability")})
+    return scored_flows.select("flow_id", "capture_id", *r6("raw", "p"))
 
 
 @query
 def d6_classifier_fit(spark, folder):
-    made = fit_classifier(labelled_flows(spark, folder), trees=20)
-    return spark.createDataFrame(list(enumerate(made.classes)), "class_no int, class string")
+    """Rows of each class, and whether the fitted model finds them more often than the class is frequent."""
+    f = labelled_flows(spark, folder)
+    n_all = f.count()
+    marked = classifier_layer(f, fit_classifier(f, trees=20)).select(
+        F.col("label").alias("class"), F.coalesce("xgb.threat_class_guess", F.lit(BENIGN)).alias("said"))
+    return marked.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((F.col("class") == F.col("said")).cast("double")) > F.count(F.lit(1)) / n_all).alias("learned"))
 
 
 @query
 def d7_classifier_predict(spark, folder):
-    f = labelled_flows(spark, folder)
-    return classifier_layer(f, fit_classifier(f, trees=20)).select("flow_id", "capture_id", "label", "xgb")
+    """The layer from given class probabilities."""
+    f = flows(spark, folder)
+    benign = F.pmod(F.col("bucket") * 7 + F.col("src_port") + F.col("dst_port"), F.lit(10)) / 10.0
+    first = (1 - benign) * F.when(F.pmod("dst_port", F.lit(2)) == 0, 0.75).otherwise(0.25)
+    chances = F.array(benign, first, 1 - benign - first)
+    told = probability_layer(f, chances, [BENIGN, "volumetric_ddos", "c2_beaconing"]).withColumns(
+        {"raw": F.col("xgb.raw_score"), "guess": F.col("xgb.threat_class_guess")})
+    return told.select("flow_id", "capture_id", "guess", *r6("raw"))
 
 
 def fitted(spark, folder):
@@ -695,7 +730,9 @@ def fitted(spark, folder):
 @query
 def d8_all_layers(spark, folder):
     f, models = fitted(spark, folder)
-    return plans.score_layers(f, models).select("flow_id", "capture_id", "rules", "stats", "isoforest", "xgb")
+    unit = lambda n: F.col(f"{n}.raw_score").between(0, 1) & F.col(f"{n}.calibrated_probability").between(0, 1)
+    return plans.score_layers(f, models).withColumn("rules_raw", F.col("rules.raw_score")).select(
+        "flow_id", "capture_id", *r6("rules_raw"), *[unit(n).alias(f"{n}_in_range") for n in ("stats", "isoforest", "xgb")])
 
 
 # ---- fusion, gate, calibration ----
@@ -730,23 +767,31 @@ def f5_gate(spark, folder):
 
 @query
 def f6_calibration_fit(spark, folder):
-    f = fused(spark, folder)
-    made = fit_calibration(f, F.pmod(F.col("first_frame"), F.lit(3)) > 0)
-    return spark.createDataFrame([(list(made.coefficients), made.intercept, made.rows)], "coefficients array<double>, intercept double, n long")
+    """Rows, right ones, and whether the penalised loss is at its minimum: every mean gradient is near 0."""
+    f = staged(with_labels(fused(spark, folder)))
+    right = F.col("threat_class") == F.col("label")
+    made = fit_calibration(f, right)
+    odds = F.lit(made.intercept)
+    for weight, column in zip(made.coefficients, calibration_inputs()):
+        odds = odds + column * F.lit(weight)
+    off = 1 / (1 + F.exp(-odds)) - right.cast("double")
+    slopes = [F.avg(off * x) + w / made.rows for w, x in zip(made.coefficients, calibration_inputs())]
+    return f.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right"),
+        (F.greatest(F.abs(F.avg(off)), *[F.abs(s) for s in slopes]) < 1e-4).alias("at_minimum"))
 
 
 @query
 def f7_calibration_apply(spark, folder):
-    f = fused(spark, folder)
-    made = fit_calibration(f, F.pmod(F.col("first_frame"), F.lit(3)) > 0)
-    return apply_calibration(f, made).select("flow_id", "capture_id", "confidence_score")
+    made = Calibration((1.5, -0.5, 0.25, 0.75, -1.0), 0.125, 100)
+    return apply_calibration(fused(spark, folder), made).select("flow_id", "capture_id", *r6("confidence_score"))
 
 
 @query
 def f8_benign_consensus(spark, folder):
     eased = fused(spark, folder).withColumn("isoforest", F.col("isoforest").withField(
         "raw_score", F.when(F.col("isoforest.raw_score") <= 0.99, 0.0).otherwise(1.0)))
-    return fusion.benign_consensus(eased).select("flow_id", "capture_id")
+    return fusion.benign_consensus(eased, min_benign=0.5, max_raw=0.5).select("flow_id", "capture_id")
 
 
 # ---- alert chain ----
@@ -818,8 +863,13 @@ def dr6_bounded_retrain(spark, folder):
     reference = f.filter("bucket % 2 = 0")
     served = fit_forest(reference, trees=50)
     scores = forest_layer(reference, served).select(F.col("isoforest.raw_score").alias("score"))
-    result, _ = drift.bounded_retrain(f.filter("bucket % 2 = 1"), reference, scores, trees=50)
-    return spark.createDataFrame([(result["accepted"], result["psi"], result["reason"])], "accepted boolean, psi double, reason string")
+    pool = f.filter("bucket % 2 = 1")
+    result, model = drift.bounded_retrain(pool, reference, scores, trees=50)
+    told = result["accepted"] == (model is not None) == (result["reason"] == "accepted")
+    again, _ = drift.bounded_retrain(pool.repartition(3), reference, scores, trees=50)
+    return pool.agg(
+        F.count(F.lit(1)).alias("candidates"), F.lit(told).alias("consistent"),
+        F.lit(abs(again["psi"] - result["psi"]) < 1e-6).alias("repeats"))
 
 
 # ---- evaluation ----
@@ -867,7 +917,13 @@ def e5_folds(spark, folder):
 
 @query
 def e5_cross_validation(spark, folder):
-    return evaluate.fold_summary(plans.cross_validate(labelled_flows(spark, folder), "first_frame", trees=10))
+    """Classes with rows in every fold, and whether the summary of their F1 is in order."""
+    f = labelled_flows(spark, folder)
+    summary = evaluate.fold_summary(plans.cross_validate(f, "first_frame", trees=10))
+    counts = f.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return summary.join(counts, "class").select(
+        "class", "n", ((F.col("min") >= 0) & (F.col("min") <= F.col("mean")) & (F.col("mean") <= F.col("max")) & (F.col("max") <= 1)).alias("in_order"),
+        (F.col("mean") > 0.3).alias("learned"))
 
 
 @query
@@ -880,17 +936,17 @@ def e6_distinct_ratio(spark, folder):
 def e7_binary_anomaly(spark, folder):
     f = labelled_flows(spark, folder)
     layer = forest_layer(f, fit_forest(f.filter(F.col("label") == BENIGN), trees=50))
-    return evaluate.class_metrics(plans.binary_anomaly(layer), [BENIGN, "anomalous"])
+    return in_range(evaluate.class_metrics(plans.binary_anomaly(layer), [BENIGN, "anomalous"]))
 
 
 @query
 def e8_external_evaluation(spark, folder):
-    f = labelled_flows(spark, folder)
-    model = fit_classifier(f, trees=10)
-    outside = with_labels(f.withColumns({"entropy": F.lit(0.0), "ja4": F.lit(None).cast("string"), "fanout_count": F.lit(None).cast("bigint")}))
+    """Rows of an outside CSV source, judged by a model of this engine's flows."""
+    model = fit_classifier(labelled_flows(spark, folder), trees=10)
+    outside = labelled.read_lenient_csv(spark, lenient_csv(spark, folder)).filter(F.col("label").isNotNull())
     marked = classifier_layer(outside, model).select(
         F.col("label").alias("truth"), F.coalesce("xgb.threat_class_guess", F.lit(BENIGN)).alias("predicted"))
-    return evaluate.class_metrics(marked)
+    return in_range(evaluate.class_metrics(marked))
 
 
 @query
@@ -906,7 +962,7 @@ def e10_candidate(spark, folder):
     parts = [f.filter(F.pmod("bucket", F.lit(3)) == i) for i in range(3)]
     report, _ = plans.candidate_report(*parts, limits=LIMITS, trees=10)
     rows = [(c, m["precision"], m["recall"], m["f1"], m["support"]) for c, m in report["per_class"].items()]
-    return spark.createDataFrame(rows, "class string, precision double, recall double, f1 double, support long")
+    return in_range(spark.createDataFrame(rows, "class string, precision double, recall double, f1 double, support long"))
 
 
 @query
@@ -947,3 +1003,36 @@ def flow_records(spark, folder):
 def detect_summary(spark, folder):
     return fused(spark, folder).groupBy("threat_class", "tier", "is_actionable").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence_score"), 6).alias("confidence"))
+
+
+# ---- streams: the files are read as a stream, available rows at once, into a table ----
+
+def _drained(stream: DataFrame, kind: str) -> str:
+    path = fresh_folder(stream.sparkSession)
+    stream.writeStream.format(kind).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(
+        "append").trigger(availableNow=True).start().awaitTermination()
+    return f"{path}/rows"
+
+
+@query
+def t1_stream_windows(spark, folder):
+    """Packets per capture and window, of the windows the watermark has closed."""
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    closed = windows.closed_windows(packets_from_events(events), window_us=DAY).select(
+        "capture_id", F.expr(f"unix_micros(window.start) div {DAY}").alias("bucket"), F.size("packets").alias("n"))
+    rows = spark.read.schema(closed.schema).parquet(_drained(closed, "parquet"))
+    return rows.groupBy("capture_id", "bucket").agg(F.sum("n").alias("n"))
+
+
+@query
+def t5_stream_alerts(spark, folder):
+    """Flow records scored, gated and appended as a stream."""
+    path = fresh_folder(spark)
+    ready = scored(spark, folder)
+    ready.write.parquet(path)
+    out = fresh_folder(spark)
+    live_flows = spark.readStream.schema(ready.schema).parquet(path)
+    detection.stream_scores(live_flows, fusion.fuse, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
+    alerts = spark.read.schema("flow_id string, threat_class string, confidence_score double").json(f"{out}/alerts")
+    return alerts.select("flow_id", "threat_class", *r6("confidence_score"))
