@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.llm.common import chunk_count, text_or_empty
-from flowsift.llm.tokens import CachedEncoder
+from flowsift.llm.tokens import shared_encoder
 from flowsift.operators.staging import staged
 
 WINDOW = 2048
@@ -95,10 +95,13 @@ class Plan:
     stream_ends: np.ndarray
     window: int
 
+    def __post_init__(self):
+        self.keys = self.placed[:, 0] * (1 << 44) + self.placed[:, 1]
+
     def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """(start in the remainder, length, sequence, offset)."""
         if rank < self.used[length]:
-            k = np.searchsorted(self.placed[:, 0] * (1 << 44) + self.placed[:, 1], length * (1 << 44) + rank, "right") - 1
+            k = np.searchsorted(self.keys, length * (1 << 44) + rank, "right") - 1
             _, first, _, sequence, offset = self.placed[k].tolist()
             return [(0, length, sequence + rank - first, offset)]
         at = int(self.stream_base[length] + (rank - self.used[length]) * length)
@@ -178,7 +181,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
     source = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", text_or_empty().alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         small = encoder.vocabulary <= 1 << 16
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):

@@ -44,6 +44,9 @@ class _Rows:
         self.size.append(n)
         self.used += n
 
+    def get(self, k: int) -> list[int]:
+        return self.flat[self.begin[k]:self.begin[k] + self.size[k]].tolist()
+
 
 class CachedEncoder:
     """ids(texts): the tokenizer's ids without special tokens.
@@ -53,7 +56,7 @@ class CachedEncoder:
     chunk goes to the whole tokenizer. At most about ``most`` chunks are known at a time.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
@@ -67,24 +70,23 @@ class CachedEncoder:
 
     def _forget(self) -> None:
         self.chunks, self.chunk_ids = _Numbers(), _Rows()
-        self.words: dict[str, list[int]] = {}
 
     def _direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [t.id for t in self.merge(spelled)]
-        return ids
+        known = self.chunks.get(word.encode())  # a word may be a chunk that has been learned
+        if known is not None and known < len(self.chunk_ids.begin):
+            return self.chunk_ids.get(known)
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.merge(spelled)]
 
     def _learn(self) -> None:
         new, self.chunks.new = self.chunks.new, []
-        add, word = self.chunk_ids.add, self._word
+        add, word, merge = self.chunk_ids.add, self._word, self.merge
         for chunk in new:
             if chunk.isalpha():  # letters of ASCII
-                add(word(chunk.decode("ascii").lower()))
+                add([t.id for t in merge(chunk.decode("ascii").lower())])
                 continue
             if chunk[-1] in b".," and chunk[:-1].isalpha():
                 add(word(chunk[:-1].decode("ascii").lower()) + word(chr(chunk[-1])))
@@ -119,3 +121,13 @@ class CachedEncoder:
         if len(self.chunks) > self.most:
             self._forget()
         return out
+
+
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def shared_encoder(path: str) -> CachedEncoder:
+    """One encoder for all tasks of a Python worker, so what it knows is not learned again by each task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = CachedEncoder(path)
+    return _ENCODERS[path]
