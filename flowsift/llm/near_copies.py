@@ -6,10 +6,16 @@ least ``least_matches`` of 64 coordinates (0.8: 51 on average; under 36 has a pr
 each document only its rarest 64 - 36 + 1 postings need to be merged (prefix), postings nobody shares are
 skipped, and what a merged posting proposes is counted on whole signatures before the full sets confirm it.
 
-No posting list is expanded into its pairs. Equal sets are one node. Each list proposes its members to one hub,
-the member whose postings are shared most; lists whose members are then in one component are done, the others
-propose to further hubs, and what still is open after ``star_rounds`` is compared in blocks on signatures, pairs
-in one component skipped.
+In large corpora common shingles make most postings shared by chance. A member of a short list therefore stays
+only if the lowest bits of its 64 minima agree with another member's in ``least_bits`` places: 58 on average at
+0.8, 32 by chance, under 46 again with a probability of about 1e-6. Long lists are kept as they are.
+
+No posting list is expanded into its pairs. Equal sets are one node. Each list has a hub, the member whose
+postings are shared most. Lists with one hub, or with hubs whose signatures agree in ``family_matches``
+coordinates along a chain, are one family, so a document travels about once however many postings it shares. A
+family is cut into blocks, and a pair of blocks is one bounded group: its members are compared with the group's
+middle, then those outside the middle's component with all of other components, signatures first, full sets
+next. Links inside a component are skipped, links between components never.
 
 Defined results: texts without words (null, empty, white space) have an empty set and are linked with nothing;
 a text with fewer words than a shingle has its whole sequence as one shingle; repeated rows are equal sets; null
@@ -41,13 +47,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingle words, similarity in percent, least matches of 64 coordinates, hub rounds, rows of a block."""
+    """Shingle words, similarity in percent, least matches of 64 coordinates, least agreeing low bits
+    in lists up to ``short_list`` long, matches that join families, shingles of a block (16 MB)."""
 
     words: int = 5
     percent: int = 80
     least_matches: int = 36
-    star_rounds: int = 3
-    block_rows: int = 512
+    least_bits: int = 46
+    short_list: int = 512
+    family_matches: int = 51
+    block_shingles: int = 1 << 21
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -104,7 +113,8 @@ def _hash_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), words).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(sets, pa.binary())], names=["nid", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("nid"), batch.column("signature"), pa.array(sets, pa.binary())], names=["nid", "signature", "hashes"])
 
     return rows
 
@@ -121,48 +131,97 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["nid", "token"])
 
 
-def _matching(least: int):
+def _low_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, bits): the lowest bit of each minimum as one number."""
+    for batch in batches:
+        if batch.num_rows:
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
+            bits = np.packbits((values & 1).astype(np.uint8), axis=1).view("<i8").ravel()
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(bits)], names=["nid", "bits"])
+
+
+def _partnered(least: int):
+    """Rows (token, nid, score) that agree in enough bits with another row of their token. Rows come sorted by token."""
+
+    def kept(part: pa.Table) -> pa.RecordBatch:
+        token, bits = part.column("token").to_numpy(), part.column("bits").to_numpy()
+        good = np.zeros(len(token), bool)
+        for lag in range(1, len(token)):
+            same = token[lag:] == token[:-lag]
+            if not same.any():
+                break
+            same &= np.bitwise_count(np.bitwise_xor(bits[lag:], bits[:-lag]).view(np.uint64)) <= COORDINATES - least
+            good[lag:] |= same
+            good[:-lag] |= same
+        return part.select(["token", "nid", "score"]).filter(pa.array(good)).combine_chunks()
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sa", "sb"))
-            keep = pa.array((left == right).sum(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            token = held.column("token").to_numpy()
+            change = np.flatnonzero(token[1:] != token[:-1]) + 1
+            if len(change):  # all lists but the last are complete
+                yield from kept(held.slice(0, change[-1])).to_batches()
+                held = held.slice(change[-1])
+        if held is not None and held.num_rows:
+            yield from kept(held).to_batches()
 
     return rows
 
 
-def _similar(percent: int):
+def _matching(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sa", "sb"))
+            keep = pa.array((left == right).sum(axis=1) >= least)
+            yield batch.select(["a", "b"]).filter(keep)
 
     return rows
 
 
-def _block_pairs(least: int, block_rows: int):
-    """Pairs across components of a block pair that agree in enough coordinates. Rows come sorted by group."""
+def _block_links(least: int, percent: int):
+    """Confirmed links (a, b) that connect what is connected inside each group. Rows come sorted by group."""
 
     def compare(part: pa.Table) -> pa.RecordBatch:
-        ids, comps = part.column("nid").to_numpy(), part.column("component").to_numpy()
-        side = part.column("side").to_numpy()
+        ids = part.column("nid").to_numpy()
         values = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        sets = [np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        starts = np.cumsum(sizes) - sizes
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(flat), bool)
+        comps = np.arange(len(ids))
         a, b = [], []
-        for i in left:
-            others = right[(comps[right] != comps[i]) & ((side[right] != side[i]) | (ids[right] > ids[i]))]
-            hit = others[(values[others] == values[i]).sum(axis=1) >= least]
-            a.append(np.repeat(ids[i], len(hit)))
-            b.append(ids[hit])
-        a, b = np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+
+        def connect(i: int) -> None:
+            """Link i with one member of each other component that has a similar member."""
+            other = (comps != comps[i]) & ((values == values[i]).sum(axis=1) >= least)
+            if not other.any():
+                return
+            own = flat[starts[i]:starts[i] + sizes[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            linked = np.flatnonzero(other & (100 * both >= percent * (sizes + sizes[i] - both)))
+            found, first = np.unique(comps[linked], return_index=True)
+            a.extend([int(ids[i])] * len(first))
+            b.extend(ids[linked[first]].tolist())
+            comps[np.isin(comps, found)] = comps[i]
+
+        # The middle has the commonest value in most coordinates.
+        usual = np.zeros(len(ids), np.int64)
+        for column in values.T:
+            kinds, at, n = np.unique(column, return_inverse=True, return_counts=True)
+            usual += at == n.argmax()
+        middle = int(usual.argmax())
+        connect(middle)
+        for i in np.flatnonzero(comps != comps[middle]):
+            if comps[i] != comps[middle]:
+                connect(int(i))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +229,8 @@ def _block_pairs(least: int, block_rows: int):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            key = [held.column(c).to_numpy() for c in ("token", "i", "j")]
-            if not len(key[0]):
-                continue
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            key = np.stack([held.column(c).to_numpy() for c in ("family", "i", "j")], axis=1)
+            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1 if len(key) else key
             for start, stop in zip(np.r_[0, change[:-1]] if len(change) else [], change):
                 yield compare(held.slice(start, stop - start))
             held = held.slice(change[-1]) if len(change) else held
@@ -190,36 +247,9 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return staged(source.mapInArrow(_set_rows(words), SETS))
 
 
-class _Links:
-    """Confirms proposed pairs: signatures first, then full sets, which are made anew for proposed nodes only."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, settings: Settings):
-        self.docs, self.nodes, self.settings = docs, nodes, settings
-        self.sets: DataFrame | None = None
-        self.signed = nodes.select("nid", "signature")
-
-    def matching(self, pairs: DataFrame) -> DataFrame:
-        left = self.signed.select(F.col("nid").alias("a"), F.col("signature").alias("sa"))
-        right = self.signed.select(F.col("nid").alias("b"), F.col("signature").alias("sb"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        return met.mapInArrow(_matching(self.settings.least_matches), "a long, b long")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """pairs has rows that matched; staged."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        wanted = self.nodes.join(ids, "nid").select("nid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        text = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn(
-            "text_key", F.xxhash64("text"))
-        rows = text.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        sets = staged(rows.select("nid", "text").mapInArrow(_hash_rows(self.settings.words), "nid long, hashes binary"))
-        left = sets.select(F.col("nid").alias("a"), F.col("hashes").alias("ha"))
-        right = sets.select(F.col("nid").alias("b"), F.col("hashes").alias("hb"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
-        return staged(met.mapInArrow(_similar(self.settings.percent), "a long, b long").distinct())
-
-
-def posting_lists(nodes: DataFrame, least: int) -> DataFrame:
-    """(token, nid, score): the prefix postings of each node that somebody shares; score: how shared its postings are."""
+def posting_lists(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(token, nid, score): the prefix postings of each node that a like node shares; score: how shared its postings are."""
+    least = settings.least_matches
     tokens = nodes.select("nid", "signature").mapInArrow(_tokens, "nid long, token long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     posted = tokens.join(shared, "token")
@@ -228,89 +258,85 @@ def posting_lists(nodes: DataFrame, least: int) -> DataFrame:
     by_node = posted.groupBy("nid").agg(
         F.collect_list(F.struct("n", "token")).alias("held"), F.sum("n").alias("score")).filter(F.size("held") >= least)
     first = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - (COORDINATES - prefix))
-    return staged(by_node.select("nid", "score", F.explode(first).alias("p")).select("p.token", "nid", "score"))
+    bits = nodes.select("nid", "signature").mapInArrow(_low_bits, "nid long, bits long")
+    posts = staged(by_node.join(bits, "nid").select("nid", "score", "bits", F.explode(first).alias("p")).select(
+        "p.token", "p.n", "nid", "score", "bits"))
+    short = posts.filter(F.col("n") <= settings.short_list).drop("n").repartition("token").sortWithinPartitions("token")
+    partnered = short.mapInArrow(_partnered(settings.least_bits), "token long, nid long, score long")
+    return staged(partnered.union(posts.filter(F.col("n") > settings.short_list).select("token", "nid", "score")))
 
 
-def link_components(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(id, component) of the nodes that have links."""
-    links = _Links(docs, nodes, settings)
-    lists = posting_lists(nodes, settings.least_matches)
-    found = None
-    comps = None
-    for _ in range(settings.star_rounds):
-        open_lists = _open(lists, comps)
-        hub = open_lists.groupBy("token").agg(
-            F.max(F.struct("score", (-F.col("nid")).alias("m"))).alias("h")).select("token", (-F.col("h.m")).alias("hub"))
-        hubs = open_lists.select("nid", "component", F.col("nid").alias("hub"), F.col("component").alias("hub_component"))
-        proposed = open_lists.join(hub, "token").filter(F.col("nid") != F.col("hub"))
-        if comps is not None:
-            of = hubs.select("hub", "hub_component").distinct()
-            proposed = proposed.join(of, "hub").filter(F.col("component") != F.col("hub_component"))
-        pairs = staged(links.matching(proposed.select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()))
-        if pairs.isEmpty():
-            break
-        new = links.confirmed(pairs)
-        found = new if found is None else found.union(new)
-        comps = staged(components(found))
-        # A hub has met its list: it does not serve a second time.
-        used = staged(hub.withColumnRenamed("hub", "nid"))
-        lists = staged(lists.join(used, ["token", "nid"], "left_anti"))
-    rest = _block_rows(_open(lists, comps), nodes, settings)
-    pairs = staged(rest.distinct())
-    if not pairs.isEmpty():
-        new = links.confirmed(pairs)
-        found = new if found is None else found.union(new)
-        comps = staged(components(found))
-    return comps
-
-
-def _open(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Postings of lists whose members are not yet in one component, with component and list length."""
-    if comps is None:
-        rows = lists.withColumn("component", F.col("nid"))
-    else:
-        rows = lists.join(comps.withColumnRenamed("id", "nid"), "nid", "left").withColumn(
-            "component", F.coalesce("component", "nid"))
-    rows = staged(rows)
-    many = rows.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    return staged(rows.join(many.select("token", "n"), "token"))
-
-
-def _block_rows(open_lists: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) across components on open lists that agree in enough coordinates.
-
-    A list of n rows is dealt to n / block_rows blocks, and each pair of blocks is one group of bounded size.
+def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """nid, hashes, signature of the given nodes; the sets are made anew from their texts.
+
+    Rows equal in doc_id and text give a node several equal rows; they would multiply pairs, so one is kept.
     """
-    blocks = F.ceil(F.col("n") / F.lit(settings.block_rows)).cast("int")
-    dealt = open_lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    wanted = nodes.select("nid", "signature", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn(
+        "text_key", F.xxhash64("text"))
+    rows = text.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    made = rows.select("nid", "signature", "text")
+    if repeated:
+        made = made.dropDuplicates(["nid"])
+    made = made.mapInArrow(_hash_rows(words), "nid long, signature binary, hashes binary")
+    return staged(made)
+
+
+def families(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(family, nid, n_shingles): a node is in the family of each of its lists; two nodes that share a prefix
+    posting share a family."""
+    lists = posting_lists(nodes, settings)
+    hub = lists.groupBy("token").agg(
+        F.max(F.struct("score", (-F.col("nid")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "token", (-F.col("h.m")).alias("hub"), F.col("h.score").alias("hub_score"))
+    members = staged(lists.join(hub, "token").select("hub", "hub_score", "nid").distinct())
+    best = members.filter(F.col("nid") != F.col("hub")).groupBy("nid").agg(
+        F.max(F.struct("hub_score", (-F.col("hub")).alias("m"))).alias("h")).select(F.col("nid").alias("a"), (-F.col("h.m")).alias("b"))
+    left, right = (nodes.select(F.col("nid").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b"))
+    near = best.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
+        _matching(settings.family_matches), "a long, b long")
+    of = staged(components(near)).select(F.col("id").alias("hub"), F.col("component"))
+    named = members.join(of, "hub", "left").select(F.coalesce("component", "hub").alias("family"), "nid").distinct()
+    return staged(named.join(nodes.select("nid", "n_shingles"), "nid"))
+
+
+def link_components(docs: DataFrame, nodes: DataFrame, settings: Settings, repeated: bool) -> DataFrame:
+    """(id, component) of the nodes that have links."""
+    members = families(nodes, settings)
+    sets = _sets_of(docs, nodes.join(members.select("nid").distinct(), "nid", "left_semi"), settings.words, repeated)
+    groups = _blocks(members, settings.block_shingles).join(sets, "nid")
+    links = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
+        _block_links(settings.least_matches, settings.percent), "a long, b long")
+    return staged(components(links))
+
+
+def _blocks(members: DataFrame, block_shingles: int) -> DataFrame:
+    """(family, i, j, nid): a family is dealt to blocks of about ``block_shingles``; each pair of blocks is a group."""
+    sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        "family", F.ceil(F.col("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # side 0: block i of (i, j); 2: block j; 1: the block meets itself.
-    grouped = spread.select(
-        "token", "nid", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
-    signed = grouped.join(nodes.select("nid", "signature"), "nid")
-    dealt_out = signed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt_out.mapInArrow(_block_pairs(settings.least_matches, settings.block_rows), "a long, b long")
+    return spread.select("family", "nid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """row_no, doc_id, text_key, n_shingles, component_id of every row of docs."""
+    """row_no, doc_id, text_key, n_shingles, component, component_id of every row of docs.
+
+    component names the class itself; rows without words are classes of their own.
+    """
     sets = document_sets(docs, settings.words)
     groups = sets.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("row_no").alias("nid"), F.min("doc_id").alias("least_id"))
     groups = staged(groups)
     nodes = staged(sets.join(groups.select(F.col("nid").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "nid"))
-    comps = link_components(docs, nodes, settings)
-    if comps is not None:
-        of = groups.join(comps.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-        least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-        named = staged(of.join(least, "component").select("digest", "component_id"))
-    else:
-        named = groups.select("digest", F.col("least_id").alias("component_id"))
+    repeated = not sets.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
+    comps = link_components(docs, nodes, settings, repeated).withColumnRenamed("id", "nid")
+    of = groups.join(comps, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = staged(of.join(least, "component").select("digest", "component", "component_id"))
     known = sets.filter("n_shingles > 0").join(named, "digest")
-    alone = sets.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["row_no", "doc_id", "text_key", "n_shingles", "component_id"]
+    alone = sets.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": -1 - F.col("row_no")})
+    columns = ["row_no", "doc_id", "text_key", "n_shingles", "component", "component_id"]
     return known.select(*columns).union(alone.select(*columns))
 
 
@@ -318,3 +344,15 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     return near_copies(docs, settings).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs of which each class keeps one, all columns; rows equal in doc_id and text stay together."""
+    rows = near_copies(docs, settings)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "text_key")).alias("first")
+    stay = staged(rows.groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias("_keep_id"), F.col("first.text_key").alias("_keep_key")))
+    # The row travels as one struct, so that its column names meet no others.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"))
+    same = (own["text_key"] == F.col("_keep_key")) & own["doc_id"].eqNullSafe(F.col("_keep_id"))
+    return own.join(stay, same, "left_semi").select("row.*")

@@ -92,7 +92,7 @@ def test_near_copies_match_brute_force(spark):
 def test_near_copies_do_not_depend_on_the_block_size(spark):
     rows = near_rows(8)
     want = near_classes(rows, 2)
-    got = near_copies.classes(documents(spark, rows), near_copies.Settings(words=2, block_rows=7))
+    got = near_copies.classes(documents(spark, rows), near_copies.Settings(words=2, block_shingles=500))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
