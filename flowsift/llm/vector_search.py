@@ -10,6 +10,9 @@ A neighbour's projection is taken as normal around s times the query's, with var
 normalised inner product of the k-th nearest, fitted on a bounded sample (smaller in a sample than in all rows, so
 the estimate is careful). Every row is indexed. A table of at most 2048 vectors is one bucket and so exact.
 
+A query's k-th best score among an eighth of the rows, at most the sample, is a floor under its results: what lies
+below it cannot be among the k best, so tasks return only candidates that can.
+
 Buckets are cut into chunks of about ``chunk_rows`` vectors, which a query of the bucket all visits, so a hot
 bucket is spread. Queries with too few results are run again with more probes.
 
@@ -58,6 +61,19 @@ class Index:
     width: float
     longest: float
     similarity: float
+    known_ids: np.ndarray  # the rows of the sample that set floors, each vec_id once
+    known: np.ndarray
+
+    def floors(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+        """Scores that at least k other rows reach, per query; minus infinity where fewer are known."""
+        out = np.full(len(x), -np.inf)
+        if len(self.known_ids) <= k:
+            return out
+        for i in range(0, len(x), 256):
+            scores = np.einsum("qd,nd->qn", x[i:i + 256], self.known)
+            scores[ids[i:i + 256, None] == self.known_ids[None, :]] = -np.inf
+            out[i:i + 256] = np.partition(scores, -k, axis=1)[:, -k]
+        return out
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """tables x rows x functions: the cell of each projection."""
@@ -102,7 +118,10 @@ def fit(vectors: DataFrame, settings: Settings) -> tuple[Index, int] | None:
     tables = settings.tables if functions else 1
     directions = draw.standard_normal((tables, functions, dimension + 1))
     shifts = draw.uniform(0, settings.width, (tables, functions))
-    return Index(directions, shifts, settings.width, longest, similarity), dimension
+    part = min(len(rows), facts["n"] // 8)
+    sample_ids = sample.column("vec_id").to_numpy()[lengths == dimension]
+    known_ids, first = np.unique(sample_ids[:part], return_index=True)
+    return Index(directions, shifts, settings.width, longest, similarity, known_ids, rows[first]), dimension
 
 
 def _rows(column, dimension: int) -> np.ndarray:
@@ -159,11 +178,11 @@ def probe_order(logs: list[list[tuple[float, int]]], wanted: float) -> Iterator[
         yield chance, cells
 
 
-_ERF = np.vectorize(math.erf)
+_ERF = np.vectorize(math.erf, otypes=[float])
 
 
-def _probes(index: Index, dimension: int, success: float):
-    """(bucket, vec_id, v): each query under the buckets it visits, v being the query itself."""
+def _probes(index: Index, dimension: int, success: float, k: int):
+    """(bucket, vec_id, v, floor): each query under the buckets it visits, v being the query itself."""
     s = index.similarity
     spread = math.sqrt(1 - s * s)
     tables = len(index.directions)
@@ -177,6 +196,7 @@ def _probes(index: Index, dimension: int, success: float):
             unit = np.c_[x / np.linalg.norm(x, axis=1)[:, None], np.zeros(len(x))]
             at = np.einsum("tfd,nd->tnf", index.directions, unit)
             raw = [r.tobytes() for r in x.astype("<f8")]
+            floors = index.floors(batch.column("vec_id").to_numpy(), x, k)
             for t in range(tables):
                 middle = s * at[t]
                 names, who = [], []
@@ -194,8 +214,9 @@ def _probes(index: Index, dimension: int, success: float):
                         names.append(_bucket(t, np.asarray(cells)))
                         who.append(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), batch.column("vec_id").take(pa.array(who, pa.int64())), pa.array([raw[i] for i in who], pa.binary())],
-                    names=["bucket", "vec_id", "v"])
+                    [pa.array(names, pa.int64()), batch.column("vec_id").take(pa.array(who, pa.int64())), pa.array([raw[i] for i in who], pa.binary()),
+                     pa.array(floors[who])],
+                    names=["bucket", "vec_id", "v", "floor"])
 
     return rows
 
@@ -213,6 +234,7 @@ def _searched(k: int, dimension: int):
             key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "chunk", "is_query")], axis=1)
             ids = batch.column("vec_id").to_numpy()
             raw = batch.column("v")
+            floors = batch.column("floor").to_numpy(zero_copy_only=False)
             stops = np.r_[np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)] if len(key) else []
             start = 0
             for stop in stops:
@@ -230,9 +252,9 @@ def _searched(k: int, dimension: int):
                     for i in range(0, len(x), 256):
                         # Summed in one order for every pair: equal vectors have equal scores wherever they are.
                         scores = np.einsum("qd,nd->qn", x[i:i + 256], held[1])
-                        for row, query in zip(scores, ids[start + i:start + i + 256].tolist()):
+                        for row, query, floor in zip(scores, ids[start + i:start + i + 256].tolist(), floors[start + i:start + i + 256].tolist()):
                             top, names = best.get(query, none)
-                            good = np.flatnonzero(row >= top[-1] if len(top) == k else np.ones(len(row), bool))
+                            good = np.flatnonzero(row >= (max(top[-1], floor) if len(top) == k else floor))
                             if not len(good):
                                 continue
                             all_names, all_scores = np.r_[names, held[0][good]], np.r_[top, row[good]]
@@ -255,12 +277,12 @@ def _searched(k: int, dimension: int):
 
 def _search(index: Index, dimension: int, posted: DataFrame, sizes: DataFrame, queries: DataFrame, settings: Settings, success: float) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    shape = "bucket long, vec_id long, v binary"
-    asked = queries.select("vec_id", "v").mapInArrow(_probes(index, dimension, success), shape)
+    asked = queries.select("vec_id", "v").mapInArrow(
+        _probes(index, dimension, success, settings.k), "bucket long, vec_id long, v binary, floor double")
     chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
-    stored = posted.join(sizes, "bucket").select("bucket", chunk.alias("chunk"), F.lit(0).alias("is_query"), "vec_id", "v")
+    stored = posted.join(sizes, "bucket").select("bucket", chunk.alias("chunk"), F.lit(0).alias("is_query"), "vec_id", "v", F.lit(0.0).alias("floor"))
     visits = asked.join(sizes, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("is_query"), "vec_id", "v")
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("is_query"), "vec_id", "v", "floor")
     dealt = stored.union(visits).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "is_query", "vec_id")
     found = dealt.mapInArrow(_searched(settings.k, dimension), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
