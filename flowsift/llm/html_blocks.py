@@ -6,8 +6,12 @@ import html
 import re
 from dataclasses import dataclass, field
 
-# Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "audio", "video")
+# Elements whose content is characters, not markup, up to their end tag or the end of the page.
+RAW = ("script", "style", "title", "textarea")
+# Elements whose content is not text of the page, if their end tag is there; without one only the tag goes.
+UNSHOWN = frozenset("noscript template svg iframe object canvas audio video".split())
+# Elements with the syntax of XML inside: a start tag that ends in /> has no content.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -21,11 +25,11 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S | re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -94,6 +98,58 @@ def _element(tag: str, attrs: str, parent: int, depth: int) -> Element:
     return out
 
 
+def _tokens(source: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, closing, attributes) of all markup; the tag is empty where the whole token just goes.
+
+    An unshown element is one token with its content if its end tag is there, whatever is nested in it. One that
+    is never closed, or was closed by /> or by a block inside svg, is a start tag alone.
+    """
+    found: list[tuple[int, int, str, bool, str]] = []
+    starts: dict[str, list[int]] = {tag: [] for tag in UNSHOWN}
+    foreign = shown_inside = 0
+    ends: dict[int, int] = {}  # unshown start token -> its end token
+    place = 0
+    while m := TOKEN.search(source, place):
+        place = m.end()
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        closing = bool(m["end"] or m["end2"])
+        attrs = m["attrs"] or m["attrs2"] or ""
+        empty = attrs.endswith("/")
+        if tag in RAW_END:
+            if not closing and not (foreign and empty):
+                end = RAW_END[tag].search(source, place)
+                place = end.end() if end else len(source)
+            found.append((m.start(), place, "", False, ""))
+            continue
+        if tag in FOREIGN:
+            foreign = max(0, foreign + (-1 if closing else 0 if empty else 1))
+            shown_inside = shown_inside if foreign else 0
+        elif tag == "foreignobject":
+            shown_inside = max(0, shown_inside + (-1 if closing else 0 if empty else 1))
+        elif foreign and not shown_inside and not closing and tag in BLOCK:
+            foreign = 0
+            starts["svg"].clear()
+        if tag in UNSHOWN:
+            if not closing:
+                if not (tag in FOREIGN and empty):
+                    starts[tag].append(len(found))
+            elif starts[tag]:
+                ends[starts[tag].pop()] = len(found)
+        found.append((m.start(), place, tag, closing, attrs))
+    if not ends:
+        return found
+    out = []
+    k = 0
+    while k < len(found):
+        if k in ends:
+            out.append((found[k][0], found[ends[k]][1], "", False, ""))
+            k = ends[k]
+        else:
+            out.append(found[k])
+        k += 1
+    return out
+
+
 def read_page(source: str) -> Page:
     page = Page()
     elements, blocks = page.elements, page.blocks
@@ -117,15 +173,12 @@ def read_page(source: str) -> Page:
             state["link_chars"] += len(run)
 
     place = 0
-    for m in TOKEN.finditer(source):
-        if m.start() > place:
-            put(source[place:m.start()])
-        place = m.end()
-        tag = m["tag"] or m["tag2"]
+    for start, end, tag, closing, attrs in _tokens(source):
+        if start > place:
+            put(source[place:start])
+        place = end
         if not tag:
             continue
-        tag = tag.lower()
-        closing = bool(m["end"] or m["end2"])
         if tag not in BLOCK:
             if tag == "br":
                 put(" ")
@@ -156,7 +209,7 @@ def read_page(source: str) -> Page:
         if tag in VOID:
             continue
         parent = stack[-1] if stack else -1
-        elements.append(_element(tag, m["attrs"] or m["attrs2"], parent, elements[parent].depth + 1 if parent >= 0 else 0))
+        elements.append(_element(tag, attrs, parent, elements[parent].depth + 1 if parent >= 0 else 0))
         stack.append(len(elements) - 1)
         if tag in ("article", "main", "h1"):
             for k in stack[:-1]:

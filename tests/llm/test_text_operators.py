@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.llm import co_training, html_content, language_id, secret_scan
+from flowsift.llm.html_blocks import read_page
 from flowsift.llm.html_content import extract, minimum_cut
 from tests.llm.helpers import documents
 
@@ -36,6 +37,25 @@ def test_main_text(source, want):
     assert extract(source) == want
 
 
+UNCLOSED = [
+    ("<p>One <svg/> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>One <svg class=i/> two.</p><p>Three.</p><svg><path d=x /></svg>", "One two.\nThree."),
+    ("<p>One <math/> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", "Let x=1 be."),
+    ("<p>One <svg viewBox='0 0 1 1'> two.</p><p>Three.</p><p>Four <svg><text>no</text></svg> five.</p>", "One two.\nThree.\nFour five."),
+    ("<p>One <svg><title/><g><svg/><svg><text>no</text></svg></g><title/><text>no</text></svg> two.</p>", "One two."),
+    ("<p>One <svg><foreignObject><div>no</div></foreignObject><text>no</text></svg> two.</p>", "One two."),
+    *[(f"<p>One <{t} data-x='>'> two.</p><p>Three.</p>", "One two.\nThree.") for t in "noscript template object canvas audio video iframe".split()],
+    *[(f"<p>One <{t}>no</{t}> two.</p><p>Three.</p>", "One two.\nThree.") for t in "noscript template object canvas audio video iframe".split()],
+    ("<p>One <script>var t = '<svg>';</script> two.</p><p>Three.</p><svg></svg>", "One two.\nThree."),
+]
+
+
+@pytest.mark.parametrize("source,want", UNCLOSED)
+def test_only_closed_elements_take_text_with_them(source, want):
+    assert "\n".join(b.text for b in read_page(source).blocks) == want
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = random.Random(4)
     for _ in range(150):
