@@ -1007,21 +1007,19 @@ def detect_summary(spark, folder):
 
 # ---- streams: the files are read as a stream, available rows at once, into a table ----
 
-def _drained(stream: DataFrame, kind: str) -> str:
-    path = fresh_folder(stream.sparkSession)
-    stream.writeStream.format(kind).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
-    return f"{path}/rows"
-
-
 @query
 def t1_stream_windows(spark, folder):
-    """Packets per capture and window, of the windows the watermark has closed."""
+    """Packets per capture and window, of the windows the stream's clock has passed."""
     schema = table(spark, folder, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    closed = windows.closed_windows(packets_from_events(events), window_us=DAY).select(
-        "capture_id", F.expr(f"unix_micros(window.start) div {DAY}").alias("bucket"), F.size("packets").alias("n"))
-    rows = spark.read.schema(closed.schema).parquet(_drained(closed, "parquet"))
+    path = fresh_folder(spark)
+
+    def keep(packets, batch_id, counts):
+        packets.groupBy("capture_id", window_bucket(F.col("ts_us"), DAY).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).write.mode(
+            "overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    windows.stream_closed_windows(packets_from_events(events), path, keep, window_us=DAY).awaitTermination()
+    rows = spark.read.schema("capture_id string, bucket bigint, n bigint, batch bigint").parquet(f"{path}/rows")
     return rows.groupBy("capture_id", "bucket").agg(F.sum("n").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,11 +14,14 @@ from flowsift.functions.net import int_div
 from flowsift.operators import flows as fl
 from flowsift.operators.dashboard import run_counters
 from flowsift.operators.fusion import gate
-from flowsift.streaming.windows import closed_windows, unpack
+from flowsift.streaming.windows import stream_closed_windows
 
 SIGHTING_DDL = (
     "capture_id string, bucket bigint, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, "
     "first_frame bigint, first_ts_us bigint, hello_ja4 string, slot bigint, batch bigint")
+COUNTERS_DDL = (
+    "windows_processed bigint, flows_scored bigint, alerts_emitted bigint, alerts_suppressed bigint, "
+    "packets_read bigint, late_packets bigint, packets_dropped bigint, batch bigint")
 
 
 def recent_history(spark, folder: str, batch_id: int, reach_us: int, earliest_us: int) -> DataFrame:
@@ -36,18 +39,20 @@ def recent_history(spark, folder: str, batch_id: int, reach_us: int, earliest_us
 def stream_flows(
     packets: DataFrame, folder: str, *,
     window_us: int = WINDOW_US, horizon_us: int = HORIZON_US, beacon_lookback_us: int = BEACON_LOOKBACK_US,
-    protected=(), lateness: str = "0 seconds", detect: Callable[[DataFrame], DataFrame] | None = None, **trigger,
+    protected=(), lateness: str = "0 seconds", clock: str = "stream",
+    detect: Callable[[DataFrame], DataFrame] | None = None, **trigger,
 ) -> StreamingQuery:
-    """Start the live job. Below ``folder``: flows, alerts, counters, sightings, checkpoint.
+    """Start the live job. Below ``folder``: flows, alerts, counters, sightings, state, checkpoint.
 
-    Spark's window state decides when a window is complete; its packets then go through the same
-    flow assembly as a batch. What the cross-window features remember is a table of sightings,
+    A window is complete when its ``clock`` has passed it (see ``stream_closed_windows``); its packets then go
+    through the same flow assembly as a batch. Each batch has a row of counters; flows and alerts are null
+    without ``detect``. What the cross-window features remember is a table of sightings,
     partitioned by time, so a dominant source is scanned in parallel chunks as in batch. Each
     micro-batch overwrites its own partitions: a repeated batch leaves one copy.
     """
     reach = max(horizon_us, beacon_lookback_us)
 
-    def process(closed: DataFrame, batch_id: int) -> None:
+    def process(closed: DataFrame, batch_id: int, packet_counts: dict[str, int]) -> None:
         spark = closed.sparkSession
         work = f"{folder}/work/{batch_id}"
         count = itertools.count()
@@ -58,10 +63,12 @@ def stream_flows(
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
+        scored = dict.fromkeys(("windows_processed", "flows_scored", "alerts_emitted", "alerts_suppressed"), None if detect is None else 0)
         try:
-            batch = hold(unpack(closed))
+            batch = closed
             earliest = batch.agg(F.min("ts_us")).first()[0]
             if earliest is None:
+                _write(spark.createDataFrame([scored | packet_counts | {"batch": batch_id}], COUNTERS_DDL), f"{folder}/counters", ["batch"])
                 return
             flows = hold(fl.build_flows(
                 batch, window_us=window_us, horizon_us=horizon_us, beacon_lookback_us=beacon_lookback_us,
@@ -77,15 +84,15 @@ def stream_flows(
                 alerts = gate(fused).select(
                     "capture_id", "ts_us", "flow_id", "threat_class", "confidence_score", "evidence")
                 _write(alerts.withColumn("batch", F.lit(batch_id)), f"{folder}/alerts", ["batch"])
-                _write(run_counters(fused).withColumn("batch", F.lit(batch_id)), f"{folder}/counters", ["batch"])
+                scored = run_counters(fused).first().asDict()
+            _write(spark.createDataFrame([scored | packet_counts | {"batch": batch_id}], COUNTERS_DDL), f"{folder}/counters", ["batch"])
         finally:
             path = spark._jvm.org.apache.hadoop.fs.Path(work)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    closed = closed_windows(packets, window_us=window_us, lateness=lateness)
-    return (
-        closed.writeStream.foreachBatch(process).outputMode("append")
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start())
+    query = stream_closed_windows(packets, folder, process, window_us=window_us, lateness=lateness, clock=clock, **trigger)
+    query.counters = f"{folder}/counters"
+    return query
 
 
 def _write(rows: DataFrame, path: str, partitions: list[str]) -> None:
@@ -93,12 +100,9 @@ def _write(rows: DataFrame, path: str, partitions: list[str]) -> None:
 
 
 def late_packets(query: StreamingQuery) -> int:
-    """Packets dropped for being older than the watermark, over the query's recent progress.
-
-    A batch may be reported several times; each counts once.
-    """
-    by_batch = {p.batchId: sum(op.numRowsDroppedByWatermark for op in p.stateOperators) for p in query.recentProgress}
-    return sum(by_batch.values())
+    """Packets dropped for being late, over all batches of a query of ``stream_flows``; all are in its counters table."""
+    rows = SparkSession.active().read.schema(COUNTERS_DDL).parquet(query.counters)
+    return rows.agg(F.coalesce(F.sum("late_packets"), F.lit(0))).first()[0]
 
 
 def stream_scores(flows: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -113,3 +113,48 @@ def test_late_packets_are_dropped_and_counted(spark, packet_files, tmp_path):
     query = detection.stream_flows(source(spark, late_folder), out, window_us=HOUR)
     query.awaitTermination()
     assert detection.late_packets(query) == 1
+
+
+@pytest.fixture(scope="module")
+def two_paces(spark, packet_files, tmp_path_factory):
+    """104 files: capture a runs a thousand hours ahead of b, and five late packets of a come in file 1."""
+    one = packet_files[1].drop("capture_id", "ts_us", "frame_no").limit(1)
+    folder = str(tmp_path_factory.mktemp("paces"))
+
+    def write(rows):
+        spark.createDataFrame(rows, "capture_id string, ts_us bigint, frame_no bigint").crossJoin(one).coalesce(1).write.mode("append").parquet(folder)
+
+    write([("a", 1010 * HOUR, 0), ("b", 1, 0)])
+    write([("a", 1000 * HOUR + i, i) for i in range(5)] + [("b", 2, 1), (None, None, 9)])
+    for k in range(2, 103):
+        write([("a", 1010 * HOUR + k, k), ("b", k // 50 * HOUR + k, k)])
+    write([("a", 1011 * HOUR, 999), ("b", 3 * HOUR, 999)])
+    return folder
+
+
+def test_captures_of_different_pace_over_many_batches(spark, two_paces, tmp_path):
+    got, late, dropped = [], {}, {}
+
+    def keep(packets, batch_id, counts):
+        got.extend((r["capture_id"], r["ts_us"] // HOUR, batch_id) for r in packets.select("capture_id", "ts_us").collect())
+        late[batch_id], dropped[batch_id] = counts["late_packets"], counts["packets_dropped"]
+
+    windows.stream_closed_windows(source(spark, two_paces), str(tmp_path / "run"), keep, window_us=HOUR, clock="capture").awaitTermination()
+    assert len(late) == 104 and sum(dropped.values()) == 1
+    n = {key: sum(g[:2] == key for g in got) for key in {g[:2] for g in got}}
+    assert sum(late.values()) == late[1] == 5
+    assert n == {("a", 1010): 102, ("b", 0): 50, ("b", 1): 50, ("b", 2): 3}
+    assert len(set(got)) == len(n)  # each window closes in one batch
+
+
+def test_live_job_keeps_a_capture_that_lags(spark, packet_files, tmp_path):
+    one = packet_files[1].filter("frame_len > 0").drop("capture_id", "ts_us", "frame_no").limit(1)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([("a", 99 * HOUR, 0)], [("b", 1, 0), ("b", 2, 1), ("a", HOUR, 1), ("a", HOUR, 2)], [("b", HOUR, 2), ("a", 100 * HOUR, 3)]):
+        spark.createDataFrame(rows, "capture_id string, ts_us bigint, frame_no bigint").crossJoin(one).coalesce(1).write.mode("append").parquet(folder)
+    query = detection.stream_flows(source(spark, folder), out, window_us=HOUR, clock="capture")
+    query.awaitTermination()
+    assert sorted((r["capture_id"], r["ts_us"]) for r in spark.read.parquet(f"{out}/flows").collect()) == [("a", 99 * HOUR), ("b", 1)]
+    counters = spark.read.parquet(f"{out}/counters").orderBy("batch").select("packets_read", "late_packets", "packets_dropped")
+    assert [tuple(r) for r in counters.collect()] == [(1, 0, 0), (4, 2, 0), (2, 0, 0)]
+    assert detection.late_packets(query) == 2
