@@ -7,8 +7,8 @@ chances it has visited add up to what the wanted recall needs. Candidates of all
 their exact inner products in double precision.
 
 A neighbour's projection is taken as normal around s times the query's, with variance 1 - s^2, where s is the
-normalised inner product of the k-th nearest, fitted on a bounded sample (smaller in a sample than in all rows, so
-the estimate is careful). Every row is indexed. A table of at most 2048 vectors is one bucket and so exact.
+query's own normalised inner product with its k-th nearest in a bounded sample (smaller in a sample than in all
+rows, so the estimate is careful); a query with too few known rows takes the sample's mean. Every row is indexed. A table of at most 2048 vectors is one bucket and so exact.
 
 A query's k-th best score among an eighth of the rows, at most the sample, is a floor under its results: what lies
 below it cannot be among the k best, so tasks return only candidates that can.
@@ -183,8 +183,6 @@ _ERF = np.vectorize(math.erf, otypes=[float])
 
 def _probes(index: Index, dimension: int, success: float, k: int):
     """(bucket, vec_id, v, floor): each query under the buckets it visits, v being the query itself."""
-    s = index.similarity
-    spread = math.sqrt(1 - s * s)
     tables = len(index.directions)
     wanted = 1 - (1 - success) ** (1 / tables)
 
@@ -193,10 +191,14 @@ def _probes(index: Index, dimension: int, success: float, k: int):
             if not batch.num_rows:
                 continue
             x = _rows(batch.column("v"), dimension)
-            unit = np.c_[x / np.linalg.norm(x, axis=1)[:, None], np.zeros(len(x))]
+            norms = np.linalg.norm(x, axis=1)
+            unit = np.c_[x / norms[:, None], np.zeros(len(x))]
             at = np.einsum("tfd,nd->tnf", index.directions, unit)
             raw = [r.tobytes() for r in x.astype("<f8")]
             floors = index.floors(batch.column("vec_id").to_numpy(), x, k)
+            own = np.clip(floors / (norms * index.longest), -0.98, 0.98)
+            s = np.where(np.isfinite(floors), own, index.similarity)[:, None]
+            spread = np.sqrt(1 - s * s)
             for t in range(tables):
                 middle = s * at[t]
                 names, who = [], []
@@ -207,7 +209,7 @@ def _probes(index: Index, dimension: int, success: float, k: int):
                     logs = []
                     for f in range(at.shape[2]):
                         cells = np.arange(first[i, f], last[i, f] + 1)
-                        edges = (np.r_[cells, cells[-1] + 1] * index.width - index.shifts[t, f] - middle[i, f]) / (spread * math.sqrt(2))
+                        edges = (np.r_[cells, cells[-1] + 1] * index.width - index.shifts[t, f] - middle[i, f]) / (spread[i, 0] * math.sqrt(2))
                         p = np.diff(_ERF(edges)) / 2
                         logs.append(sorted(((math.log(max(q, 1e-300)), int(c)) for q, c in zip(p, cells)), reverse=True))
                     for _, cells in probe_order(logs, wanted):

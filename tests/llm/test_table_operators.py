@@ -232,6 +232,20 @@ def test_recall_of_hashed_tables(spark):
     assert np.mean([len(got[q] & {i for i, _ in near}) / 20 for q, near in want.items()]) >= 0.9
 
 
+def test_isolated_queries_beside_hot_clusters(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v)
+    centres = [unit(rng.normal(size=24)) for _ in range(4)]
+    rows = [(i, unit(rng.normal(size=24)).tolist(), 0) for i in range(2000)]
+    rows += [(5000 + i, unit(centres[i % 4] + rng.normal(size=24) * 0.03).tolist(), 0) for i in range(4000)]
+    settings = vector_search.Settings(one_bucket=100)
+    got = defaultdict(set)
+    for r in vector_search.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, settings).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = sorted(len(got[q] & {i for i, _ in near}) / 20 for q, near in exact(rows, 20, 20))
+    assert np.mean(recall[:len(recall) // 10]) >= 0.75 and np.mean(recall) >= 0.93, (np.mean(recall[:len(recall) // 10]), np.mean(recall))
+
+
 def test_probe_order_falls_and_covers():
     rng = random.Random(3)
     logs = []
