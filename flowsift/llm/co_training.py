@@ -6,8 +6,8 @@ start from the labelled documents. In each round a view labels the unlabelled do
 the other view. The two views' scores are calibrated on labelled documents kept out of the rounds, and their
 calibrated log-odds are added, less the prior they share, to score every document on its whole text.
 
-Training uses at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, the first by a hash of
-doc_id; everything else is a narrow pass over the documents.
+Training uses at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, the first of either by a
+hash of doc_id; everything else is a narrow pass over the documents.
 
 Defined results: a null text is the empty text; null metadata is a value of its own; a null label is no label;
 repeated rows are scored alike; without labelled documents of both classes every score is the 0.5 of no
@@ -163,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         F.max("quality").cast("double").alias("y"))
     marked = known.orderBy(order, "doc_id").limit(settings.labelled_rows)
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    pool = ids.orderBy(order, "doc_id").limit(settings.labelled_rows + settings.pool_rows).distinct()
-    pool = pool.join(labels.select("doc_id"), "doc_id", "left_anti").limit(settings.pool_rows).withColumn("y", F.lit(None).cast("double"))
+    pool = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(
+        settings.pool_rows).withColumn("y", F.lit(None).cast("double"))
     # At most labelled_rows + pool_rows rows.
     chosen = F.broadcast(marked.unionByName(pool))
     source = docs.select("doc_id", "source", "lang", text_or_empty().alias("text")).join(chosen, "doc_id")

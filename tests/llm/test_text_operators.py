@@ -210,6 +210,20 @@ def test_rounds_add_pseudo_labels(spark):
     assert co_training.co_train(text, meta, np.where(np.arange(600) < 60, 1.0, np.nan), co_training.Settings()) is None
 
 
+def test_pool_is_full_among_many_labels(spark, monkeypatch):
+    docs = documents(spark, [(i, f"w{i}", "en", "x") for i in range(1000)])
+    # All but 40 have a label; half of the 40 have a row without quality.
+    rows = [(i, i % 2, 0) for i in range(1000) if i % 25] + [(i, None, 0) for i in range(0, 1000, 50)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(co_training, "co_train", lambda text, meta, y, settings: seen.append(y))
+    free = [i for i in range(0, 1000, 25) if zlib.crc32(str(i).encode()) % 5]
+    for most in (10, 100):
+        co_training.fit(docs, labels, co_training.Settings(labelled_rows=20, pool_rows=most))
+    assert [sum(v != v for v in y) for y in seen] == [10, len(free)]
+    assert [sum(v == v for v in y) for y in seen] == [20, 20]
+
+
 def test_quality_without_labels_and_with_nulls(spark):
     docs = documents(spark, [(1, None, None, None), (2, "a a a", "en", "x"), (None, "", "en", None)]).withColumn("score", F.lit(1))
     labels = spark.createDataFrame([(1, None, None), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
