@@ -2,13 +2,13 @@
 
 A document is its set of distinct word shingles; its signature has 64 minima of independent hashes of the set.
 Documents are posted under each (coordinate, value) pair. Two documents at the wanted similarity agree in at
-least ``least_matches`` of 64 coordinates (0.8: 51 on average; under 36 has a probability of about 1e-6), so of
+least ``least_matches`` of 64 coordinates (0.8: 51 on average; under 36 has a probability of 4.2e-6), so of
 each document only its rarest 64 - 36 + 1 postings need to be merged (prefix), postings nobody shares are
 skipped, and what a merged posting proposes is counted on whole signatures before the full sets confirm it.
 
 In large corpora common shingles make most postings shared by chance. A member of a short list therefore stays
 only if the lowest bits of its 64 minima agree with another member's in ``least_bits`` places: 58 on average at
-0.8, 32 by chance, under 46 again with a probability of about 1e-6. Long lists are kept as they are.
+0.8, 32 by chance, under 46 with a probability of 1.0e-5. Long lists are kept as they are.
 
 No posting list is expanded into its pairs. Equal sets are one node. Each list has a hub, the member whose
 postings are shared most. Lists with one hub, or with hubs whose signatures agree in ``family_matches``
