@@ -181,12 +181,15 @@ class Model:
 def fit(docs: DataFrame, vocabulary_path: str, settings: Settings = Settings()) -> Model:
     """Learn from text and lang of the labelled documents outside the held-out fold.
 
-    At most about ``train_documents`` rows are drawn, by the hash of the doc_id. Word counts are a table; each
+    At most about ``train_documents`` rows are drawn, by the hash of the doc_id: each language has the same bound,
+    and all rows of a language within it are drawn. Rows without doc_id are in the held-out fold. Word counts are a table; each
     round maps its parts to expected counts, which are summed before at most pieces x languages of them come back.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    share = max(1, -(-labelled.count() // settings.train_documents))
-    picked = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(share)) == 0)
+    sizes = staged(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    most = max(1, settings.train_documents // max(1, sizes.count()))
+    share = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_n") / most))
+    picked = labelled.join(sizes, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col("doc_id")), share) == 0)
 
     def count_words(batches):
         for batch in batches:

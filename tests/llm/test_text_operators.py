@@ -230,3 +230,12 @@ def test_quality_without_labels_and_with_nulls(spark):
     got = co_training.score_documents(docs, co_training.fit(docs, labels)).collect()
     assert [r["score"] for r in got] == [0.5] * 3
     assert co_training.score_documents(docs.limit(0), None).collect() == []
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the house and the garden of the man", "en", None) for i in range(3000)]
+    rows += [(5000 + i, "das Haus und der Garten der Frau", "de", None) for i in range(6)]
+    model = language_id.fit(documents(spark, rows), PIECES, language_id.Settings(train_documents=20, rounds=1))
+    assert model.languages == ["de", "en"]
+    got = language_id.predict(documents(spark, [(1, "das Haus und der Garten", None, None)]), model).first()
+    assert got["lang_pred"] == "de"
