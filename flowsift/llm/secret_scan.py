@@ -151,7 +151,7 @@ def add_markov_spans(scanned: DataFrame, table: list[float] | None, settings: Se
         return scanned.withColumn("added", none)
 
     def random(hit):
-        # A run without digit is a word or a path; both models see only runs with one.
+        # A run without digit counts as a word or a path, whatever its ratio.
         pairs = F.length(hit) - 1
         score = ratio_of(hit, table)
         return F.rlike(hit, F.lit("[0-9]")) & (score >= settings.least_total) & (score >= settings.least_per_pair * pairs)
