@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import co_training, digest_index, html_content, kd_shards, language_id, mixing, near_copies, packing, secret_scan, vector_search
+from flowsift.llm import (
+    co_training, decontamination, digest_index, html_content, kd_shards, language_id, lexical_search, merkle_manifest, mixing, near_copies,
+    packing, secret_scan, vector_search)
 from flowsift.sources.tables import table
 
 
@@ -56,6 +58,18 @@ def op10_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, vector_search.Settings(k=20))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), lexical_search.Settings(k=10))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, folder, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_content": op1_html_content,
     "op2_kd_shards": op2_kd_shards,
@@ -67,4 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_vector_search": op10_vector_search,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_decontamination": op13_decontamination,
 }
