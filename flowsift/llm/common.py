@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +54,20 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], chunks: int, spread
         condition = condition & c
     return (numbered.join(starts, condition, "left").withColumn(out, F.col(out) + F.col(start))
             .drop(*[f"{out}_{k}" for k in keys], f"{out}_at", start, chunk))
+
+
+def freeing(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same Arrow function; when its task ends, the worker's unused memory goes back to the system.
+
+    Workers serve later stages too, and memory they have freed but kept counts against the executor.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return run

@@ -15,6 +15,7 @@ empty table gives no row. Repeated rows are predicted alike. lang is read for tr
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowsift.llm.common import text_or_empty
+from flowsift.llm.common import freeing, text_or_empty
+from flowsift.llm.terms import slices
 from flowsift.operators.staging import staged
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,6 +52,16 @@ class Settings:
     known_words: int = 200_000
 
 
+def stretches(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in stretches of about ``size`` characters, cut at white space, so that its words are never all held."""
+    at = 0
+    while at < len(text):
+        space = re.compile(r"\s").search(text, at + size)
+        stop = space.start() if space else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def words_of(text: str) -> list[str]:
     found = WORD.findall(text.lower())
     if any(len(w) > LONGEST_WORD for w in found):
@@ -195,14 +207,15 @@ def fit(docs: DataFrame, vocabulary_path: str, settings: Settings = Settings())
         for batch in batches:
             held: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                held.setdefault(lang, Counter()).update(words_of(text.as_py()))
+                for part in stretches(text.as_py()):
+                    held.setdefault(lang, Counter()).update(words_of(part))
             rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
             lang, word, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     counted = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(
-        count_words, "lang string, word string, n long")
+        freeing(count_words), "lang string, word string, n long")
     table = staged(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     names = vocabulary(vocabulary_path)
@@ -229,72 +242,95 @@ def fit(docs: DataFrame, vocabulary_path: str, settings: Settings = Settings())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(used), g, np.int64)), pa.array(used, pa.int64()), pa.array(got[used], pa.float64())], names=["g", "piece", "n"])
 
-        sums = table.mapInArrow(expect, "g long, piece long, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toArrow()
+        sums = table.mapInArrow(freeing(expect), "g long, piece long, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.full((len(names), len(languages)), settings.smooth)
         counts[sums.column("piece").to_numpy(), sums.column("g").to_numpy()] += sums.column("n").to_numpy()
         probabilities = np.r_[counts / counts.sum(axis=0), np.zeros((1, len(languages)))]
     return Model(languages, names, probabilities)
 
 
-def _predictions(model: Model, known_words: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Pieces(model.pieces)
-        numbers: dict[str, int] = {}
-        table = np.empty((0, len(model.languages)))
-
-        def scored(texts: list[np.ndarray]) -> list[tuple[str, float]]:
-            nonlocal table
-            if len(numbers) > len(table):
-                new = list(numbers)[len(table):]
-                table = np.concatenate([table, log_probabilities(finder, model.table, new)])
-            out = []
-            for at in texts:
-                if not len(at) or not model.languages:
-                    out.append((UNDETERMINED, 0.0))
-                    continue
-                total = table[at].sum(axis=0)
-                best = int(total.argmax())
-                out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
-            return out
-
-        for batch in batches:
-            waiting: list[np.ndarray] = []
-            answers: list[tuple[str, float]] = []
-            for text in batch.column("text"):
-                found = words_of(text.as_py())
-                waiting.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
-                if len(numbers) > known_words:  # bounded memory: forget and start again
-                    answers += scored(waiting)
-                    waiting = []
-                    numbers.clear()
-                    table = table[:0]
-            answers += scored(waiting)
-            names, scores = zip(*answers) if answers else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[c for c in batch.schema.names if c != "text"] + ["lang_pred", "score"])
+class Judge:
+    """Languages of texts under a model; remembers the words it has scored, about ``known_words`` of them."""
+
+    def __init__(self, model: Model, known_words: int):
+        self.model, self.known_words = model, known_words
+        self.finder = Pieces(model.pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.scored = 0
+        self.table = np.empty((1 << 12, len(self.model.languages)))
+
+    def _learn(self) -> None:
+        known = len(self.numbers)
+        new = list(itertools.islice(reversed(self.numbers), known - self.scored))[::-1]
+        if known > len(self.table):
+            more = np.empty((max(known, 2 * len(self.table)), self.table.shape[1]))
+            more[:self.scored] = self.table[:self.scored]
+            self.table = more
+        if new:
+            self.table[self.scored:known] = log_probabilities(self.finder, self.model.table, new)
+        self.scored = known
+
+    def _score(self, texts: list[np.ndarray]) -> list[tuple[str, float]]:
+        self._learn()
+        out = []
+        for at in texts:
+            if not len(at) or not self.model.languages:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.table[at].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
 
-    return rows
+    def answers(self, texts: pa.Array) -> list[tuple[str, float]]:
+        """Language and score of each whole text."""
+        out: list[tuple[str, float]] = []
+        waiting: list[np.ndarray] = []
+        number = self.numbers.setdefault
+        for text in texts:
+            parts = [np.empty(0, np.int32)]
+            for part in stretches(text.as_py()):
+                found = words_of(part)
+                parts.append(np.fromiter((number(w, len(self.numbers)) for w in found), np.int32, len(found)))
+            waiting.append(np.concatenate(parts))
+            if len(self.numbers) > self.known_words:  # bounded memory: forget and start again
+                out += self._score(waiting)
+                waiting = []
+                self._forget()
+                number = self.numbers.setdefault
+        return out + self._score(waiting)
 
 
 def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     source = docs.select(F.col("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), text_or_empty().alias("text"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model, settings.known_words)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                names, scores = zip(*judge.answers(part.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    names=["doc_id", "held_out", "lang_pred", "score"])
+
     kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(
-        _predictions(model, settings.known_words), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(freeing(rows), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose language is determined with at least ``least_score``, all columns."""
     # The row travels as one struct, so that its column names meet no others.
     tagged = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
-    judge = _predictions(model, settings.known_words)
 
-    def keep(batches):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model, settings.known_words)
         for batch in batches:
-            out = next(judge(iter([batch.select(["text"])])))
-            good = [p != UNDETERMINED and s >= least_score for p, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())]
-            yield batch.select(["row"]).filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, "text"):
+                good = [p != UNDETERMINED and s >= least_score for p, s in judge.answers(part.column("text"))]
+                yield part.select(["row"]).filter(pa.array(good, pa.bool_()))
 
-    return tagged.mapInArrow(keep, StructType([tagged.schema["row"]])).select("row.*")
+    return tagged.mapInArrow(freeing(keep), StructType([tagged.schema["row"]])).select("row.*")

@@ -34,8 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import text_or_empty
+from flowsift.llm.common import freeing, text_or_empty
 from flowsift.llm.graph import components
+from flowsift.llm.terms import slices
 from flowsift.operators.staging import staged
 
 COORDINATES = 64
@@ -94,7 +95,7 @@ SETS = "row_no long, doc_id long, text_key long, n_shingles long, digest binary,
 
 def _set_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             sizes, digests, signatures = [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), words)
@@ -111,7 +112,7 @@ def _set_rows(words: int):
 
 def _hash_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = [shingle_set(text.as_py(), words).tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("nid"), batch.column("signature"), pa.array(sets, pa.binary())], names=["nid", "signature", "hashes"])
@@ -183,16 +184,35 @@ def _matching(least: int):
     return rows
 
 
+def _all_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows as one array, a view of Arrow's memory, and where each row's begin and end."""
+    held = column.combine_chunks()
+    edges = np.frombuffer(held.buffers()[1], np.int32)[held.offset:held.offset + len(held) + 1].astype(np.int64)
+    return np.frombuffer(held.buffers()[2], np.uint64, (edges[-1] - edges[0]) // 8, edges[0]), (edges - edges[0]) // 8
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal hashes, from 0; one sort and half-width numbers, less than ``unique`` with its inverse holds."""
+    order = np.argsort(hashes)
+    turn = np.zeros(len(hashes), np.int32)
+    ordered = hashes[order]
+    turn[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    np.cumsum(turn, out=turn)
+    out = np.empty(len(hashes), np.int32)
+    out[order] = turn
+    return out
+
+
 def _block_links(least: int, percent: int):
     """Confirmed links (a, b) that connect what is connected inside each group. Rows come sorted by group."""
 
     def compare(part: pa.Table) -> pa.RecordBatch:
         ids = part.column("nid").to_numpy()
         values = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        sets = [np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        starts = np.cumsum(sizes) - sizes
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        hashes, edges = _all_hashes(part.column("hashes"))
+        sizes, starts = np.diff(edges), edges[:-1]
+        flat = _numbered(hashes)
         mark = np.zeros(len(flat), bool)
         comps = np.arange(len(ids))
         a, b = [], []
@@ -244,7 +264,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     source = docs.select(
         F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"),
         F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return staged(source.mapInArrow(_set_rows(words), SETS))
+    return staged(source.mapInArrow(freeing(_set_rows(words)), SETS))
 
 
 def posting_lists(nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -262,7 +282,7 @@ def posting_lists(nodes: DataFrame, settings: Settings) -> DataFrame:
     posts = staged(by_node.join(bits, "nid").select("nid", "score", "bits", F.explode(first).alias("p")).select(
         "p.token", "p.n", "nid", "score", "bits"))
     short = posts.filter(F.col("n") <= settings.short_list).drop("n").repartition("token").sortWithinPartitions("token")
-    partnered = short.mapInArrow(_partnered(settings.least_bits), "token long, nid long, score long")
+    partnered = short.mapInArrow(freeing(_partnered(settings.least_bits)), "token long, nid long, score long")
     return staged(partnered.union(posts.filter(F.col("n") > settings.short_list).select("token", "nid", "score")))
 
 
@@ -278,7 +298,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> D
     made = rows.select("nid", "signature", "text")
     if repeated:
         made = made.dropDuplicates(["nid"])
-    made = made.mapInArrow(_hash_rows(words), "nid long, signature binary, hashes binary")
+    made = made.mapInArrow(freeing(_hash_rows(words)), "nid long, signature binary, hashes binary")
     return staged(made)
 
 
@@ -306,7 +326,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, settings: Settings, repea
     sets = _sets_of(docs, nodes.join(members.select("nid").distinct(), "nid", "left_semi"), settings.words, repeated)
     groups = _blocks(members, settings.block_shingles).join(sets, "nid")
     links = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
-        _block_links(settings.least_matches, settings.percent), "a long, b long")
+        freeing(_block_links(settings.least_matches, settings.percent)), "a long, b long")
     return staged(components(links))
 
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import chunk_count, text_or_empty
+from flowsift.llm.common import chunk_count, freeing, text_or_empty
+from flowsift.llm.terms import SLICE_BYTES, slices
 from flowsift.llm.tokens import shared_encoder
 from flowsift.operators.staging import staged
 
@@ -184,8 +185,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
         encoder = shared_encoder(tokenizer_path)
         small = encoder.vocabulary <= 1 << 16
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in slices(batch, "text", SLICE_BYTES):
                 tokens, crcs, rem, rest = [], [], [], []
                 for ids in encoder.ids(part.column("text").to_pylist()):
                     ids = np.append(ids, np.uint32(END))
@@ -199,7 +199,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
                      pa.array(crcs, pa.list_(pa.int64())), pa.array(rem, pa.int32()), pa.array(rest, pa.binary())],
                     names=["row_no", "doc_id", "doc_tokens", "full", "full_crcs", "rem", "rem_ids"])
 
-    return staged(source.mapInArrow(rows, TOKENISED.format(id=dict(source.dtypes)["doc_id"])))
+    return staged(source.mapInArrow(freeing(rows), TOKENISED.format(id=dict(source.dtypes)["doc_id"])))
 
 
 def _places(plan: Plan, window: int):
@@ -252,5 +252,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         (F.col("full_start") + F.col("full0") + first).alias("full_start"))
     kind = dict(ready.dtypes)["doc_id"]
     return ready.mapInArrow(
-        _places(plan, window),
+        freeing(_places(plan, window)),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

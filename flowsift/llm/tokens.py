@@ -48,6 +48,11 @@ class _Rows:
         return self.flat[self.begin[k]:self.begin[k] + self.size[k]].tolist()
 
 
+#: What a known chunk takes beside its bytes and ids: two dictionary slots, the bytes object, the list entries.
+_CHUNK_BYTES = 160
+_STRETCH = 1 << 20
+
+
 class CachedEncoder:
     """ids(texts): the tokenizer's ids without special tokens.
 
@@ -56,11 +61,11 @@ class CachedEncoder:
     chunk goes to the whole tokenizer. At most about ``most`` chunks are known at a time.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.most = most
+        self.most_bytes = most_bytes
         self.vocabulary = self.tokenizer.get_vocab_size()
         # The byte alphabet of the merges: printable bytes stand for themselves, the others follow from 256 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,7 +74,7 @@ class CachedEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks, self.chunk_ids = _Numbers(), _Rows()
+        self.chunks, self.chunk_ids, self.held_bytes = _Numbers(), _Rows(), 0
 
     def _direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,6 +89,7 @@ class CachedEncoder:
     def _learn(self) -> None:
         new, self.chunks.new = self.chunks.new, []
         add, word, merge = self.chunk_ids.add, self._word, self.merge
+        self.held_bytes += sum(map(len, new)) + _CHUNK_BYTES * len(new)
         for chunk in new:
             if chunk.isalpha():  # letters of ASCII
                 add([t.id for t in merge(chunk.decode("ascii").lower())])
@@ -97,7 +103,18 @@ class CachedEncoder:
             else:
                 add([i for w in _PRE.findall(text.lower()) for i in word(w)])
 
-    def _gathered(self, numbers: list[list[int]]) -> list[np.ndarray]:
+    def _numbered(self, raw: bytes) -> np.ndarray:
+        """Numbers of the chunks; a long text is cut at blanks, so that its chunks are never all held as objects."""
+        parts, at = [np.empty(0, np.int32)], 0
+        while at < len(raw):
+            stop = raw.find(b" ", at + _STRETCH)
+            stop = len(raw) if stop < 0 else stop
+            chunks = raw[at:stop].split()
+            parts.append(np.fromiter(map(self.chunks.__getitem__, chunks), np.int32, len(chunks)))
+            at = stop
+        return np.concatenate(parts) if len(parts) > 2 else parts[-1]
+
+    def _gathered(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
         begin, size = np.array(self.chunk_ids.begin, np.int64), np.array(self.chunk_ids.size, np.int64)
         out = []
         for row in numbers:
@@ -110,15 +127,15 @@ class CachedEncoder:
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        waiting: list[list[int]] = []
+        waiting: list[np.ndarray] = []
         for text in texts:
             raw = text.encode("utf-8", "replace")
             if b"<|" not in raw and not _ODD.search(text):
                 raw = raw.lower()
-            waiting.append(list(map(self.chunks.__getitem__, raw.split())))
+            waiting.append(self._numbered(raw))
         self._learn()
         out = self._gathered(waiting)
-        if len(self.chunks) > self.most:
+        if self.held_bytes + 4 * self.chunk_ids.used > self.most_bytes:
             self._forget()
         return out
 
