@@ -483,6 +483,27 @@ def _fill() -> None:
     o["f5_gate"] = sql("SELECT flow_id, capture_id, threat_class, tier FROM fused WHERE is_actionable")
     o["f8_benign_consensus"] = sql("SELECT flow_id, capture_id FROM four WHERE rules_guess IS NULL AND rules_raw <= 0.5 AND stats_raw <= 0.5 AND 1 - xgb_p >= 0.5 AND NOT (1 - xgb_p < 0.5) AND iso_raw <= 0.99")
     o["t1_stream_windows"] = sql(f"SELECT capture_id, bucket, count(*) AS n FROM pw WHERE (bucket + 1) * {DAY} <= (SELECT max(ts_us) FROM pw) GROUP BY ALL")
+    o["t2_beacon_state"], o["t2_fanout_state"], o["t2_fingerprint_state"] = (o[k] for k in ("w1_beacon_interval", "w2_horizon_fanout", "w3_carried_ja4"))
+    o["t3_state_bounds"] = sql(f"""
+SELECT capture_id, src_ip, count(*) AS sightings, sum(least(3, n))::BIGINT AS held, max(least(3, n)) AS most_held,
+  count(*) FILTER (fresh AND others >= 3) AS evictions
+FROM (
+  SELECT q.capture_id, q.src_ip, q.k, count(DISTINCT s.target) AS n,
+    count(DISTINCT s.target) FILTER (s.target <> q.target) AS others,
+    coalesce(max(s.k) FILTER (s.target = q.target AND s.k < q.k), -1) AS own,
+    own = -1 OR count(DISTINCT s.target) FILTER (s.target <> q.target AND s.k > q.own_k) >= 3 AS fresh
+  FROM (SELECT *, coalesce(max(k) FILTER (TRUE) OVER (PARTITION BY capture_id, src_ip, target ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS own_k FROM seen) q
+  JOIN seen s ON q.capture_id = s.capture_id AND q.src_ip = s.src_ip AND s.k <= q.k AND s.ts >= q.ts - {7 * DAY}
+  GROUP BY q.capture_id, q.src_ip, q.k)
+GROUP BY ALL""", seen="""SELECT capture_id, src_ip, dst_ip || ':' || dst_port AS target, first_ts_us AS ts,
+  row_number() OVER (PARTITION BY capture_id, src_ip ORDER BY first_ts_us, first_frame) AS k FROM kept""")
+    o["t4_late_data"] = sql(f"""
+SELECT capture_id, bucket, count(*) AS n FROM judged WHERE NOT late AND bucket < reached GROUP BY ALL
+UNION ALL SELECT 'late', NULL, count(*) FROM judged WHERE late""",
+      sliced="""SELECT *, least(2, least(2, (ts_us - lo) * 3 // (hi - lo + 1)) + ((frame_no % 1000000000) % 20 = 0)::INT) AS slice
+        FROM pw, (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM pw)""",
+      judged=f"""SELECT s.*, coalesce(s.bucket < (SELECT max(ts_us) // {DAY} FROM sliced e WHERE e.capture_id = s.capture_id AND e.slice < s.slice), FALSE) AS late,
+        max(ts_us // {DAY}) OVER (PARTITION BY capture_id) AS reached FROM sliced s""")
     o["t5_stream_alerts"] = sql("SELECT flow_id, threat_class, round(confidence_score, 6) + 0.0 AS confidence_score FROM fused WHERE is_actionable")
     o["f6_calibration_fit"] = sql(f"""SELECT count(*) AS n, count(*) FILTER (threat_class = {TRUTH}) AS n_right, TRUE AS at_minimum FROM fused""")
     o["f7_calibration_apply"] = sql("""SELECT flow_id, capture_id,

@@ -26,7 +26,8 @@ from flowsift.operators.zscore import baseline_table, fit_baseline, zscore_layer
 from flowsift.plans import detect as plans
 from flowsift.sources import flow_json, labelled, packet_json, sinks
 from flowsift.sources.tables import epoch_us, packets_from_events, table
-from flowsift.streaming import detection, windows
+from flowsift.schemas import PACKET_DDL
+from flowsift.streaming import detection, state as keyed, windows
 
 DAY = 86_400_000_000
 PROTECTED = ["10.0.0.0/8"]
@@ -1023,6 +1024,98 @@ def t1_stream_windows(spark, folder):
     return rows.groupBy("capture_id", "bucket").agg(F.sum("n").alias("n"))
 
 
+SLICES = 3
+STATE_PARTITIONS = 8
+
+
+def in_slices(spark, folder, start: Callable[[DataFrame], object], slice_no, *, closer: bool = True) -> None:
+    """Run a stream of packets as SLICES micro-batches of data: each slice is written, then the stream goes on to it.
+
+    The closer is a packet of a capture of its own, far ahead, that closes every window.
+    """
+    path = fresh_folder(spark)
+    rows = packets(spark, folder).withColumn("is_syn", F.coalesce("is_syn", F.lit(False)))
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    dealt = staged(rows.withColumn("slice", slice_no(first, last)))
+    end = dealt.limit(1).withColumns({
+        "capture_id": F.lit("end"), "ts_us": F.lit(last + 100 * DAY), "frame_no": F.lit(10**15), "slice": F.lit(SLICES - 1)})
+    for k in range(SLICES):
+        piece = dealt.filter(F.col("slice") == k)
+        piece = piece.unionByName(end.select(*piece.columns)) if closer and k == SLICES - 1 else piece
+        piece.drop("slice").write.mode("append").parquet(path)
+        with keyed.state_settings(spark, STATE_PARTITIONS):
+            query = start(spark.readStream.schema(PACKET_DDL).option("maxFilesPerTrigger", 100_000).parquet(path))
+        query.awaitTermination()
+
+
+def by_time(first: int, last: int):
+    """Slices of equal length in time."""
+    return F.least(F.lit(SLICES - 1), int_div((F.col("ts_us") - first) * SLICES, last - first + 1)).cast("int")
+
+
+def appended(stream: DataFrame, path: str):
+    return stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(
+        "append").trigger(availableNow=True).start()
+
+
+@query
+def t2_beacon_state(spark, folder):
+    """Beacon intervals from keyed state, over several micro-batches."""
+    path = fresh_folder(spark)
+    in_slices(spark, folder, lambda p: appended(keyed.beacon_stream(
+        keyed.arrival_stream(windows.stream_sightings(p, window_us=DAY)), lookback_us=10 * DAY, keep=8, window_us=DAY), path), by_time)
+    return spark.read.parquet(f"{path}/rows").filter("capture_id <> 'end'").select(*state.PAIR, "bucket", *r6s("beacon_mean", "beacon_std", digits=3))
+
+
+@query
+def t2_fanout_state(spark, folder):
+    """Horizon fan-out from two levels of keyed state, over several micro-batches."""
+    path = fresh_folder(spark)
+    in_slices(spark, folder, lambda p: keyed.stream_fanout(
+        windows.stream_sightings(p, window_us=DAY), path, horizon_us=7 * DAY, window_us=DAY, parts=4), by_time)
+    return spark.read.parquet(f"{path}/fanout").filter("capture_id <> 'end'").drop("batch")
+
+
+@query
+def t2_fingerprint_state(spark, folder):
+    """Carried fingerprints from keyed state, over several micro-batches."""
+    path = fresh_folder(spark)
+    in_slices(spark, folder, lambda p: appended(keyed.endpoint_fingerprint_stream(
+        windows.stream_totals(p, window_us=DAY), horizon_us=3 * DAY, window_us=DAY), path), by_time)
+    return spark.read.parquet(f"{path}/rows").filter("capture_id <> 'end'")
+
+
+@query
+def t3_state_bounds(spark, folder):
+    """Three targets a source at most: what is held, and what is evicted for it."""
+    path = fresh_folder(spark)
+    in_slices(spark, folder, lambda p: appended(keyed.bounded_fanout_stream(
+        windows.stream_sightings(p, window_us=DAY), 3, horizon_us=7 * DAY, window_us=DAY), path), by_time)
+    return spark.read.parquet(f"{path}/rows").filter("capture_id <> 'end'").groupBy("capture_id", "src_ip").agg(
+        F.count(F.lit(1)).alias("sightings"), F.sum("held").alias("held"), F.max("held").alias("most_held"), F.count("evicted").alias("evictions"))
+
+
+@query
+def t4_late_data(spark, folder):
+    """Packets of closed windows and late packets, each capture by its own clock; every 20th event comes a slice late."""
+    path = fresh_folder(spark)
+    event = F.pmod("frame_no", F.lit(1_000_000_000))
+
+    def delayed(first, last):
+        return F.least(F.lit(SLICES - 1), by_time(first, last) + F.when(F.pmod(event, F.lit(20)) == 0, 1).otherwise(0))
+
+    def keep(packets_, batch_id, counts):
+        packets_.groupBy("capture_id", window_bucket(F.col("ts_us"), DAY).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).write.mode(
+            "overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        spark.createDataFrame([(batch_id, counts["late_packets"])], "batch bigint, late bigint").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    in_slices(spark, folder, lambda p: windows.stream_closed_windows(p, path, keep, window_us=DAY, clock="capture"), delayed, closer=False)
+    closed = spark.read.schema("capture_id string, bucket bigint, n bigint, batch bigint").parquet(f"{path}/rows").groupBy("capture_id", "bucket").agg(
+        F.sum("n").alias("n"))
+    late = spark.read.schema("late bigint").parquet(f"{path}/late").agg(F.sum("late").alias("n"))
+    return closed.unionByName(late.select(F.lit("late").alias("capture_id"), F.lit(None).cast("bigint").alias("bucket"), "n"))
+
+
 @query
 def t5_stream_alerts(spark, folder):
     """Flow records scored, gated and appended as a stream."""

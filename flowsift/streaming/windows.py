@@ -85,10 +85,8 @@ def _by_clock(packets: DataFrame, clocks: DataFrame, name: Column) -> DataFrame:
     return packets.join(known, name.cast("string").eqNullSafe(F.col("_clock")), "left")
 
 
-def stream_sightings(
-    packets: DataFrame, *, window_us: int = WINDOW_US, lateness: str = "0 seconds",
-) -> DataFrame:
-    """Stream of flow sightings (kept flows, first packet, fingerprint) as windows close.
+def stream_totals(packets: DataFrame, *, window_us: int = WINDOW_US, lateness: str = "0 seconds") -> DataFrame:
+    """Stream of flows (first packet, own fingerprint, whether it is kept) as windows close.
 
     Spark's watermark is one clock for all captures.
     """
@@ -96,7 +94,14 @@ def stream_sightings(
     hello = F.max(F.when(F.col("ja4").isNotNull(), F.struct("frame_no", "ja4"))).getField("ja4")
     first = F.min(F.struct("frame_no", "ts_us"))
     return timed.groupBy(F.window("ts", f"{window_us} microseconds"), *TUPLE).agg(
-        first.alias("f"), F.max("frame_len").alias("largest"), hello.alias("hello_ja4"),
-    ).filter("largest > 0").select(
+        first.alias("f"), F.max("frame_len").alias("largest"), hello.alias("own_ja4"),
+    ).select(
         "window", *TUPLE, F.expr(f"unix_micros(window.start) div {window_us}").alias("bucket"),
-        F.col("f.frame_no").alias("first_frame"), F.col("f.ts_us").alias("first_ts_us"), "hello_ja4")
+        F.col("f.frame_no").alias("first_frame"), F.col("f.ts_us").alias("first_ts_us"), "own_ja4",
+        F.coalesce(F.col("largest") > 0, F.lit(False)).alias("is_kept"))
+
+
+def stream_sightings(packets: DataFrame, *, window_us: int = WINDOW_US, lateness: str = "0 seconds") -> DataFrame:
+    """Stream of flow sightings (kept flows, first packet, own fingerprint) as windows close."""
+    totals = stream_totals(packets, window_us=window_us, lateness=lateness)
+    return totals.filter("is_kept").drop("is_kept").withColumnRenamed("own_ja4", "hello_ja4")

@@ -53,8 +53,8 @@ def sightings(rows):
     return fl.sightings(fl.with_reverse(fl.packet_totals(fl.in_windows(rows, HOUR))))
 
 
-def own_hello(rows):
-    totals = fl.packet_totals(fl.in_windows(rows, HOUR))
+def own_hello(rows, window_us=HOUR):
+    totals = fl.packet_totals(fl.in_windows(rows, window_us))
     return totals.filter("n_sized > 0").withColumn("hello_ja4", F.col("own_ja4")).transform(fl.sightings)
 
 
@@ -158,3 +158,36 @@ def test_live_job_keeps_a_capture_that_lags(spark, packet_files, tmp_path):
     counters = spark.read.parquet(f"{out}/counters").orderBy("batch").select("packets_read", "late_packets", "packets_dropped")
     assert [tuple(r) for r in counters.collect()] == [(1, 0, 0), (4, 2, 0), (2, 0, 0)]
     assert detection.late_packets(query) == 2
+
+
+def test_hot_key_state_equals_batch(spark, packet_files, tmp_path):
+    folder, rows = packet_files
+    own = own_hello(rows, DAY)
+    stream = lambda: windows.stream_sightings(source(spark, folder), window_us=DAY)
+    plain = lambda d: d.filter("capture_id <> 'end'")
+    out = str(tmp_path / "fanout")
+    with live.state_settings(spark, 3):
+        live.stream_fanout(stream(), out, horizon_us=3 * DAY, window_us=DAY, parts=3).awaitTermination()
+    got = spark.read.parquet(f"{out}/fanout")
+    assert got.select("batch").distinct().count() > 2
+    same(plain(got.drop("batch")), state.horizon_fanout(own, horizon_us=3 * DAY))
+
+
+def test_bounded_targets_evict_the_least_recently_seen(spark, packet_files, tmp_path):
+    folder, rows = packet_files
+    got = plain_rows(collected(spark, live.bounded_fanout_stream(
+        windows.stream_sightings(source(spark, folder), window_us=DAY), 2, horizon_us=5 * DAY, window_us=DAY), tmp_path).filter("capture_id <> 'end'"))
+    held, want = {}, []
+    for r in sorted(own_hello(rows, DAY).collect(), key=lambda r: (r["first_ts_us"], r["first_frame"])):
+        own = held.setdefault((r["capture_id"], r["src_ip"]), {})
+        own.pop((r["dst_ip"], r["dst_port"]), None)
+        own[(r["dst_ip"], r["dst_port"])] = r["first_ts_us"]
+        alive = [k for k, t in own.items() if t >= r["first_ts_us"] - 5 * DAY]
+        gone = alive[0] if len(alive) > 2 else None
+        held[(r["capture_id"], r["src_ip"])] = {k: own[k] for k in alive[-2:]}
+        want.append((r["capture_id"], None if gone is None else f"{gone[0]}:{gone[1]}", r["first_frame"], r["first_ts_us"], min(2, len(alive)), r["src_ip"]))
+    assert got == sorted(map(repr, want)) and any("192.0.2" in x.split(",")[1] for x in got)
+
+
+def plain_rows(df):
+    return sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
