@@ -134,3 +134,78 @@ def retained(entries: DataFrame, keep: int) -> DataFrame:
     """The last ``keep`` entries of each chain. Sequence numbers are dense, so no ranking is needed."""
     top = entries.groupBy("chain_id").agg(F.max("seq").alias("_top"))
     return entries.join(top, "chain_id").filter(F.col("seq") > F.col("_top") - keep).drop("_top")
+
+
+# ---- segmented chains ----
+
+def append_segmented(alerts: DataFrame, segment_rows: int, *, key: str | None = None) -> DataFrame:
+    """Chain entries in two levels: each ``segment_rows`` positions of a chain are a chain of their own.
+
+    Segments start from the genesis hash and are folded in parallel, so one sensor uses many tasks; ``segment_links``
+    ties their heads together. Adds segment, seq (within the segment), prev_hash and hash.
+    """
+    inner = alerts.withColumns({
+        "_chain": F.col("chain_id"), "_segment": int_div(F.col("position"), segment_rows)}).withColumn(
+        "chain_id", F.concat_ws("/", F.col("_segment").cast("string"), F.col("_chain")))
+    made = append_chain(inner, key=key)
+    return made.withColumn("chain_id", F.col("_chain")).withColumnRenamed("_segment", "segment").drop("_chain")
+
+
+def segment_heads(entries: DataFrame) -> DataFrame:
+    """(chain_id, segment, entries, head) of the entries of segmented chains."""
+    return entries.groupBy("chain_id", "segment").agg(F.count(F.lit(1)).alias("entries"), F.max_by("hash", "seq").alias("head"))
+
+
+def segment_links(heads: DataFrame, last: DataFrame | None = None, *, key: str | None = None) -> DataFrame:
+    """heads with prev_link and link: the second level, one link a segment, in order of segment.
+
+    A link covers the segment's number, how many entries it has and its head, so that no segment can be cut short,
+    left out or moved. ``last`` (chain_id, link) resumes stored chains. The ordered fold sees one row a segment.
+    """
+    start = heads.withColumn("_start", F.lit(GENESIS_HASH)) if last is None else heads.join(
+        last.select("chain_id", F.col("link").alias("_start")), "chain_id", "left").withColumn("_start", F.coalesce("_start", F.lit(GENESIS_HASH)))
+    body = F.concat_ws("|", F.col("segment").cast("string"), F.col("entries").cast("string"), F.col("head"))
+    secret = key.encode() if key else None
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, link = None, None
+        for batch in batches:
+            before, links = [], []
+            for chain_id, text, first in zip(*[batch.column(n).to_pylist() for n in ("chain_id", "_body", "_start")]):
+                if chain_id != chain:
+                    chain, link = chain_id, first
+                before.append(link)
+                said = f"{link}|{text}".encode()
+                link = (hmac.new(secret, said, hashlib.sha256) if secret else hashlib.sha256(said)).hexdigest()
+                links.append(link)
+            kept = batch.select(["chain_id", "segment", "entries", "head"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(before, pa.string()), pa.array(links, pa.string())],
+                                             names=[*kept.schema.names, "prev_link", "link"])
+
+    ordered = start.withColumn("_body", body).repartition("chain_id").sortWithinPartitions("chain_id", "segment")
+    return ordered.mapInArrow(fold, "chain_id string, segment bigint, entries bigint, head string, prev_link string, link string")
+
+
+def verify_segmented(entries: DataFrame, links: DataFrame, *, key: str | None = None, **options) -> DataFrame:
+    """Per chain: whether all segments and links hold, and the first segment that does not.
+
+    Entries are checked inside their segments; a link is recomputed from its own segment's head, its number of entries
+    and the link before it, all in parallel.
+    """
+    inner = entries.withColumn("chain_id", F.concat_ws("/", F.col("segment").cast("string"), F.col("chain_id")))
+    sound = verify_chains(inner, key=key, **options).select(
+        F.substring_index("chain_id", "/", 1).cast("bigint").alias("segment"),
+        F.expr("substring(chain_id, instr(chain_id, '/') + 1)").alias("chain_id"), "intact")
+    whole = segment_heads(entries).join(sound, ["chain_id", "segment"])
+    stored = links.select("chain_id", "segment", F.col("entries").alias("_entries"), F.col("head").alias("_head"), "prev_link", "link")
+    both = stored.join(whole, ["chain_id", "segment"], "full")
+    # One row a segment of a chain: a list without texts.
+    order = Window.partitionBy("chain_id").orderBy("segment")
+    text = F.concat_ws("|", "prev_link", F.col("segment").cast("string"), F.col("_entries").cast("string"), "_head")
+    held = (F.col("intact") & (F.col("entries") == F.col("_entries")) & (F.col("head") == F.col("_head")) & (F.col("link") == digest(text, key))
+            & (F.col("prev_link") == F.coalesce(F.lag("link").over(order), F.lit(GENESIS_HASH)))
+            & (F.col("segment") == F.coalesce(F.lag("segment").over(order) + 1, F.lit(0))))
+    judged = both.withColumn("_ok", F.coalesce(held, F.lit(False)))
+    return judged.groupBy("chain_id").agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.bool_and("_ok").alias("intact"),
+        F.min(F.when(~F.col("_ok"), F.col("segment"))).alias("first_broken_segment"))

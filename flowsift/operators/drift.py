@@ -103,6 +103,45 @@ def rolling_drift(
     return rated.withColumn("drifted", F.col("psi") > alarm)
 
 
+def rolling_ks(
+    scores: DataFrame, reference: DataFrame, *, key: str = "stream", order: str = "seq", batch: str = "batch",
+    value: str = "score", window: int, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """KS statistic of the last ``window`` scores against the reference at the end of each batch, per key.
+
+    Each distinct score gets its two ranks in the reference (below it, and up to it) from one sweep along the value
+    axis in chunks. A batch's end meets the rows of its window by their row number div window, so at most two ranges of
+    a key, and compares ranks inside at most ``window`` rows.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sides = reference.select(F.col(value).cast("double").alias("v"), one.alias("b")).unionByName(
+        scores.select(F.col(value).cast("double").alias("v"), zero.alias("b"))).filter("v is not null")
+    counted = staged(sides.groupBy("v").agg(F.sum("b").alias("b")))
+    n_ref = counted.agg(F.sum("b")).first()[0]
+    if not n_ref:
+        raise ValueError("the reference needs scores")
+    swept = running_sum(counted.withColumn("upto", F.col("b")), [], "v", ["upto"], value_chunks(counted, "v"))
+    ranks = swept.select("v", F.col("upto"), (F.col("upto") - F.col("b")).alias("below"))
+    numbered = staged(rank_rows(
+        scores.filter(F.col(value).isNotNull()).select(key, order, batch, F.col(value).cast("double").alias("v")), [key], order, "nth", chunk_rows=chunk_rows))
+    ends = numbered.groupBy(F.col(key).alias("_key"), batch).agg(F.max("nth").alias("end")).withColumn(
+        "range", F.explode(F.array_distinct(F.array(int_div(F.col("end") - window + 1, window), int_div(F.col("end"), window)))))
+    rated = numbered.drop(batch).join(ranks, "v").withColumn("_range", int_div(F.col("nth"), window))
+    inside = ends.join(rated, F.col("_key").eqNullSafe(F.col(key)) & (F.col("range") == F.col("_range")) & (
+        F.col("nth") <= F.col("end")) & (F.col("nth") > F.col("end") - window))
+    held = inside.groupBy(key, batch).agg(F.array_sort(F.collect_list(F.struct("v", "below", "upto"))).alias("h"))
+    n = F.size("h")
+
+    def distance(x, i):
+        """Of the first row of equal scores just before it, of the last one at it; ties move together."""
+        other = lambda at, there: F.when(there, F.get("h", at)["v"] == x["v"]).otherwise(False)
+        before = F.when(~other(i - 1, i > 0), F.abs(x["below"] / F.lit(n_ref) - i / n))
+        after = F.when(~other(i + 1, i < n - 1), F.abs(x["upto"] / F.lit(n_ref) - (i + 1) / n))
+        return F.greatest(F.coalesce(before, F.lit(0.0)), F.coalesce(after, F.lit(0.0)))
+
+    return held.select(key, batch, F.array_max(F.transform("h", distance)).alias("ks"))
+
+
 def write_reference_once(scores: DataFrame, path: str) -> bool:
     """Store the reference distribution unless one exists: it is never replaced."""
     spark = scores.sparkSession

@@ -520,6 +520,19 @@ UNION ALL SELECT 'late', NULL, count(*) FROM judged WHERE late""",
       SELECT *, least(1, greatest(0, ((pow(2, -((CASE WHEN entropy > 4 THEN 2 ELSE 1 END + CASE WHEN coalesce(size_mean, 0) > 100 THEN 3 ELSE 1.5 END) / 2) / 2.0) - 0.5) / 0.4 + 1) / 2)) AS raw
       FROM flows)""")
     o["d6_classifier_fit"] = sql(f"SELECT {TRUTH} AS class, count(*) AS n, TRUE AS learned FROM flows GROUP BY ALL")
+    o["d6_boosted_layer"] = o["d6_classifier_fit"]
+    o["d6_boosted_fit"] = """WITH d AS (SELECT l_returnflag || l_linestatus AS label, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax FROM lineitem),
+      c AS (SELECT label AS class, count(*) AS n, count(*) OVER () AS k, (SELECT count(*) FROM d) AS total FROM d GROUP BY label),
+      u AS (SELECT label, feature, v, count(*) AS n FROM d UNPIVOT (v FOR feature IN (l_quantity, l_discount, l_tax)) GROUP BY ALL),
+      s AS (
+        SELECT c.class, feature, v, sum(u.n * o.total / (o.k * o.n) * (1 / o.k::DOUBLE - (u.label = c.class)::INT)) AS g,
+          sum(u.n * o.total / (o.k * o.n) * 2 / o.k::DOUBLE * (1 - 1 / o.k::DOUBLE)) AS h
+        FROM u JOIN c o ON o.class = u.label, c GROUP BY ALL),
+      r AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY class, feature) AS ga, sum(h) OVER (PARTITION BY class, feature) AS ha
+        FROM s WINDOW w AS (PARTITION BY class, feature ORDER BY v)),
+      q AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM r WHERE hl >= 1 AND ha - hl >= 1)
+      SELECT class, feature, round(v, 6) AS cut, round(-0.1 * gl / (hl + 1), 4) AS left, round(-0.1 * (ga - gl) / (ha - hl + 1), 4) AS right
+      FROM q QUALIFY row_number() OVER (PARTITION BY class ORDER BY gain DESC) = 1"""
     o["d7_classifier_predict"] = sql("""SELECT flow_id, capture_id, CASE WHEN benign < 0.5 THEN CASE WHEN dst_port % 2 = 0 THEN 'volumetric_ddos' ELSE 'c2_beaconing' END END AS guess,
       round(1 - benign, 6) + 0.0 AS raw FROM (SELECT *, ((bucket * 7 + src_port + dst_port) % 10) / 10.0::DOUBLE AS benign FROM flows)""")
     o["d8_all_layers"] = sql("SELECT flow_id, capture_id, round(rules_raw, 6) + 0.0 AS rules_raw, TRUE AS stats_in_range, TRUE AS isoforest_in_range, TRUE AS xgb_in_range FROM rules")
@@ -533,6 +546,27 @@ UNION ALL SELECT 'late', NULL, count(*) FROM judged WHERE late""",
 
     o["ch1_chain_verify"] = sql("""SELECT capture_id AS chain_id, count(*) AS entries, FALSE AS intact, 5 AS first_break FROM fused WHERE is_actionable GROUP BY ALL""")
     o["ch2_chain_append"] = sql("""SELECT capture_id AS chain_id, count(*) AS entries, TRUE AS intact, count(*) - 1 AS last_seq, repeat('0', 64) AS genesis FROM fused WHERE is_actionable GROUP BY ALL""")
+    text = lambda x: f"strlen({x}) || ':' || {x}"
+    fields = ["epoch_us(ts)::VARCHAR", "event_id::VARCHAR", "event_type", "round(value * 100)::BIGINT::VARCHAR"]
+    listed = f"({text('event_type')} || ',' || {text('props')})"
+    body = " || '|' || ".join(text(f"({x})") for x in [*fields, listed])
+    links = f"""WITH RECURSIVE a AS (
+      SELECT (user_id % 4)::VARCHAR AS chain_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS position, sha256({body}) AS content FROM events),
+    e AS (
+      SELECT chain_id, position, sha256('0|' || repeat('0', 64) || '|' || content) AS hash FROM a WHERE position % 250 = 0
+      UNION ALL SELECT a.chain_id, a.position, sha256((a.position % 250)::VARCHAR || '|' || e.hash || '|' || a.content)
+      FROM e JOIN a ON a.chain_id = e.chain_id AND a.position = e.position + 1 WHERE a.position % 250 <> 0),
+    h AS (SELECT chain_id, position // 250 AS segment, count(*) AS entries, arg_max(hash, position) AS head FROM e GROUP BY ALL),
+    l AS (
+      SELECT *, repeat('0', 64) AS prev_link, sha256(repeat('0', 64) || '|0|' || entries || '|' || head) AS link FROM h WHERE segment = 0
+      UNION ALL SELECT h.*, l.link, sha256(l.link || '|' || h.segment || '|' || h.entries || '|' || h.head)
+      FROM l JOIN h ON h.chain_id = l.chain_id AND h.segment = l.segment + 1)
+    """
+    o["ch2_segmented_chain"] = links + "SELECT chain_id, segment, entries, head, prev_link, link FROM l"
+    o["ch1_segmented_verify"] = """SELECT (user_id % 4)::VARCHAR AS chain_id, count(*) - (user_id % 4 = 2 AND count(*) >= 250)::INT AS entries,
+      NOT ((user_id % 4 = 1 AND count(*) > 300) OR (user_id % 4 = 2 AND count(*) >= 250)) AS intact,
+      CASE WHEN user_id % 4 = 1 AND count(*) > 300 THEN 1 WHEN user_id % 4 = 2 AND count(*) >= 250 THEN 0 END AS first_broken_segment
+      FROM events GROUP BY user_id % 4"""
     o["ch3_retention"] = sql("""SELECT capture_id AS chain_id, least(count(*), 25) AS kept, greatest(count(*) - 25, 0) AS oldest_seq FROM fused WHERE is_actionable GROUP BY ALL""")
 
     o["dr1_psi"] = sql("""SELECT round(sum(((c + 0.5) / (nc + 5) - (b + 0.5) / (nb + 5)) * ln(((c + 0.5) / (nc + 5)) / ((b + 0.5) / (nb + 5)))), 6) AS psi FROM (
@@ -546,9 +580,19 @@ UNION ALL SELECT 'late', NULL, count(*) FROM judged WHERE late""",
     base = "SELECT bin, count(*) AS b FROM (SELECT greatest(0, least(9, CAST(floor((score - lo) / ((hi - lo) / 10)) AS INTEGER))) AS bin FROM ref_scores, (SELECT min(score) AS lo, max(score) AS hi FROM ref_scores)) GROUP BY ALL"
     windows = "SELECT event_type, day, c, row_number() OVER (PARTITION BY event_type, day ORDER BY event_id DESC) AS back FROM (SELECT event_type, day, event_id, " + \
         "[" + ", ".join(f"count(*) FILTER (bin = {i}) OVER w" for i in range(10)) + "] AS c FROM binned WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))"
-    o["dr3_rolling_drift"] = sql("""SELECT event_type, day, CAST(list_sum(c) AS BIGINT) AS n, round(sum(((x + 0.5) / (list_sum(c) + 5) - (b + 0.5) / (nb + 5)) * ln(((x + 0.5) / (list_sum(c) + 5)) / ((b + 0.5) / (nb + 5)))), 6) AS psi
+    o["dr3_rolling_drift"] = sql("""SELECT event_type, day, n, round(psi, 6) AS psi, round(ks, 6) AS ks, psi > 0.2 AS drifted FROM rolled JOIN apart USING (event_type, day)""",
+      binned=binned, base=base, windows=windows,
+      rolled="""SELECT event_type, day, CAST(list_sum(c) AS BIGINT) AS n, sum(((x + 0.5) / (list_sum(c) + 5) - (b + 0.5) / (nb + 5)) * ln(((x + 0.5) / (list_sum(c) + 5)) / ((b + 0.5) / (nb + 5)))) AS psi
       FROM (SELECT event_type, day, c, unnest(c) AS x, unnest(range(10)) AS bin FROM windows WHERE back = 1) JOIN (SELECT i AS bin, coalesce(b, 0) AS b FROM range(10) t(i) LEFT JOIN base ON base.bin = i) USING (bin),
-      (SELECT count(*) AS nb FROM ref_scores) GROUP BY ALL""", binned=binned, base=base, windows=windows)
+      (SELECT count(*) AS nb FROM ref_scores) GROUP BY ALL""",
+      nths="SELECT event_type, value, epoch_us(ts) // 86400000000 AS day, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth FROM events",
+      tops="SELECT event_type, day, max(nth) AS top FROM nths GROUP BY ALL",
+      marks="SELECT v, sum(b) OVER (ORDER BY v) AS upto, sum(b) OVER (ORDER BY v) - b AS below FROM (SELECT v, sum(b) AS b FROM (SELECT score AS v, 1 AS b FROM ref_scores UNION ALL SELECT value, 0 FROM events) GROUP BY v)",
+      apart="""SELECT event_type, day, max(greatest(abs(upto / nb - pos / m), abs(below / nb - (pos - same) / m))) AS ks FROM (
+        SELECT t.event_type, t.day, upto, below, count(*) OVER (PARTITION BY t.event_type, t.day ORDER BY v) AS pos,
+          count(*) OVER (PARTITION BY t.event_type, t.day, v) AS same, count(*) OVER (PARTITION BY t.event_type, t.day) AS m
+        FROM tops t JOIN nths s ON s.event_type = t.event_type AND s.nth <= t.top AND s.nth > t.top - 200 JOIN marks ON marks.v = s.value),
+        (SELECT count(*) AS nb FROM ref_scores) GROUP BY ALL""")
     o["dr4_fixed_reference"] = sql("SELECT count(*) AS n, round(sum(score), 3) AS total FROM ref_scores")
     o["dr5_candidate_pool"] = "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 5000"
 

@@ -16,6 +16,7 @@ from flowsift.functions.labels import map_labels, substring_label
 from flowsift.functions.net import direction, flow_id, in_networks, int_div, is_pure_syn, window_bucket
 from flowsift.functions.scores import confidence_tier, severity, squash
 from flowsift.operators import chain, dashboard, drift, evaluate, flows as fl, fusion, sampling, state, timings
+from flowsift.operators import boosting
 from flowsift.operators.calibration import Calibration, apply_calibration, fit_calibration, inputs as calibration_inputs
 from flowsift.operators.classifier import classifier_layer, fit_classifier, probability_layer
 from flowsift.operators.iforest import Forest, fit_forest, forest_layer
@@ -711,6 +712,33 @@ def d6_classifier_fit(spark, folder):
         F.count(F.lit(1)).alias("n"), (F.avg((F.col("class") == F.col("said")).cast("double")) > F.count(F.lit(1)) / n_all).alias("learned"))
 
 
+@query
+def d6_boosted_fit(spark, folder):
+    """The first round of boosted trees of depth one on order lines: the cut of each class and its leaves."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    rows = table(spark, folder, "lineitem").select(
+        F.array(*[F.col(c).cast("double") for c in names]).alias("features"), F.concat("l_returnflag", "l_linestatus").alias("label"),
+        F.struct("l_orderkey", "l_linenumber").alias("row_key"))
+    classes = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    model = boosting.fit_boosted(rows, classes, boosting.Settings(rounds=1, depth=1, rows=1.0, columns=1.0))
+    said = [(c, names[t.feature[0]], float(model.cuts[t.feature[0]][t.cut[0]]), float(t.value[1]), float(t.value[2]))
+            for c, t in zip(classes, model.rounds[0]) if t.feature[0] >= 0]
+    return spark.createDataFrame(said, "class string, feature string, cut double, left double, right double").select(
+        "class", "feature", F.round("cut", 6).alias("cut"), F.round("left", 4).alias("left"), F.round("right", 4).alias("right"))
+
+
+@query
+def d6_boosted_layer(spark, folder):
+    """Rows of each class, and whether boosted trees find them more often than the class is frequent."""
+    f = staged(labelled_flows(spark, folder))
+    n_all = f.count()
+    model = boosting.fit_boosted_flows(f, settings=boosting.Settings(rounds=4, depth=5, rate=0.4))
+    marked = boosting.boosted_layer(f, model).select(
+        F.col("label").alias("class"), F.coalesce("boosted.threat_class_guess", F.lit(BENIGN)).alias("said"))
+    return marked.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((F.col("class") == F.col("said")).cast("double")) > F.count(F.lit(1)) / n_all).alias("learned"))
+
+
 @query
 def d7_classifier_predict(spark, folder):
     """The layer from given class probabilities."""
@@ -817,6 +845,32 @@ def ch2_chain_append(spark, folder):
     return chain.verify_chains(made).drop("first_break").join(ends, "chain_id")
 
 
+def sensor_alerts(spark, folder):
+    """Each event as an alert of one of four sensors."""
+    rows = table(spark, folder, "events").select(
+        F.pmod("user_id", F.lit(4)).cast("string").alias("chain_id"), "event_id", epoch_us(F.col("ts")).cast("string").alias("timestamp"),
+        F.col("event_id").cast("string").alias("flow_id"), F.col("event_type").alias("threat_class"),
+        F.round(F.col("value") * 100).cast("bigint").cast("string").alias("confidence_score"), F.array("event_type", "props").alias("evidence"))
+    return rank_rows(rows, ["chain_id"], "event_id", "nth").withColumn("position", F.col("nth") - 1).drop("nth", "event_id")
+
+
+@query
+def ch2_segmented_chain(spark, folder):
+    """Heads and links of chains folded in segments of 250 entries."""
+    made = chain.append_segmented(sensor_alerts(spark, folder), 250)
+    return chain.segment_links(chain.segment_heads(made))
+
+
+@query
+def ch1_segmented_verify(spark, folder):
+    """Segmented chains after one entry is forged and one segment's last entry is cut off."""
+    made = staged(chain.append_segmented(sensor_alerts(spark, folder), 250))
+    links = staged(chain.segment_links(chain.segment_heads(made)))
+    forged = made.withColumn("confidence_score", F.when((F.col("chain_id") == "1") & (F.col("position") == 300), "0").otherwise(F.col("confidence_score")))
+    cut = forged.filter(~((F.col("chain_id") == "2") & (F.col("position") == 249)))
+    return chain.verify_segmented(cut, links)
+
+
 @query
 def ch3_retention(spark, folder):
     return chain.retained(chained(spark, folder), 25).groupBy("chain_id").agg(
@@ -841,7 +895,9 @@ def dr3_rolling_drift(spark, folder):
     rows = table(spark, folder, "events").select(
         "event_type", "event_id", int_div(epoch_us(F.col("ts")), DAY).alias("day"), F.col("value").alias("score"))
     found = drift.rolling_drift(rows, ref, key="event_type", order="event_id", batch="day", window=200)
-    return found.select("event_type", "day", "n", F.round("psi", 6).alias("psi"))
+    apart = drift.rolling_ks(rows, ref, key="event_type", order="event_id", batch="day", window=200)
+    return found.join(apart, ["event_type", "day"]).select(
+        "event_type", "day", "n", F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"), "drifted")
 
 
 @query
