@@ -14,9 +14,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.operators import chain, fusion, state, flows as fl
+from flowsift.operators import boosting, chain, fusion, state, flows as fl
 from flowsift.operators.iforest import fit_forest, forest_layer
 from flowsift.operators.rules import rules_layer
+from flowsift.operators.sampling import replicate
 from flowsift.operators.staging import staged
 from flowsift.operators.zscore import fit_baseline, zscore_layer
 from flowsift.plans import queries as q
@@ -43,7 +44,7 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def measure(spark, folder: str) -> dict[str, float]:
+def measure(spark, folder: str, target: int = 0) -> dict[str, float]:
     times: dict[str, float] = {}
 
     def timed(name, action):
@@ -83,17 +84,39 @@ def measure(spark, folder: str) -> dict[str, float]:
     timed("chain_verify", lambda: run(chain.verify_chains(entries)))
     timed("ja4", lambda: run(q.p7_ja4(spark, folder)))
     timed("distinct_ratio", lambda: run(q.e6_distinct_ratio(spark, folder)))
-    flows.unpersist()
     times["_flows"], times["_packets"] = n_flows, n_packets
+    times["_rates"] = scoring_rates(flows, base, forest, target) if target else {}
+    flows.unpersist()
     return times
 
 
+def scoring_rates(flows, base, forest, target: int) -> dict[str, float]:
+    """Flows a second of each layer over ``target`` flows (the given ones repeated), medians of three runs."""
+    many = replicate(flows, "first_frame", target).repartition(2 * flows.sparkSession.sparkContext.defaultParallelism).persist()
+    n = many.count()
+    boosted = boosting.fit_boosted_flows(q.with_labels(flows), settings=boosting.Settings(rounds=10, depth=6))
+    jobs = {
+        "rules": rules_layer(many, q.LIMITS), "zscore": zscore_layer(many, base), "forest_score": forest_layer(many, forest),
+        "boosted_score_10_rounds": boosting.boosted_layer(many, boosted),
+        "rules_zscore_fusion": fusion.fuse(q.given_scores(zscore_layer(rules_layer(many, q.LIMITS), base)))}
+    out = {}
+    for name, df in jobs.items():
+        spent = []
+        for _ in range(3):
+            start = time.perf_counter()
+            run(df)
+            spent.append(time.perf_counter() - start)
+        out[f"{name}_flows_per_s_over_{n}"] = n / sorted(spent)[1]
+    many.unpersist()
+    return out
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session()
     measure(spark, WARM_DIR if os.path.isdir(WARM_DIR) else folder)
-    times = measure(spark, folder)
-    flows, packets = times.pop("_flows"), times.pop("_packets")
+    times = measure(spark, folder, target=1_000_000)
+    flows, packets, large = (times.pop(k) for k in ("_flows", "_packets", "_rates"))
     rates = {
         "packets_to_flows_flows_per_s": flows / times["packets_to_flows"],
         "packets_to_flows_packets_per_s": packets / times["packets_to_flows"],
@@ -103,6 +126,7 @@ def main() -> None:
         "forest_score_flows_per_s": flows / times["forest_score"],
         "all_layers_flows_per_s": flows / (times["rules_zscore_fusion"] + times["forest_score"]),
         "chain_append_per_s": flows / times["chain_append"],
+        **large,
     }
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
