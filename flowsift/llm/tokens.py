@@ -61,7 +61,7 @@ class CachedEncoder:
     chunk goes to the whole tokenizer. At most about ``most`` chunks are known at a time.
     """
 
-    def __init__(self, path: str, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
