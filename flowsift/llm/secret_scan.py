@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.core import let
 from flowsift.llm.common import text_or_empty
 
 # Fixed patterns of the base scan.
@@ -38,6 +39,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CELLS = len(ALPHABET)
 #: Weight of a character's own frequency among the pairs that begin like it.
 BACK_OFF = 5.0
+SPANS = "array<struct<start:bigint,stop:bigint,kind:string,hit:string>>"
+#: Matches folded at once.
+GROUP = 1024
 
 
 @dataclass(frozen=True)
@@ -50,22 +54,61 @@ class Settings:
     least_per_pair: float = 0.4
 
 
+def _no_spans() -> Column:
+    return F.array().cast(SPANS)
+
+
+def _chosen(items: Column, state: Column, step) -> Column:
+    """The values that step picks along items: step(state, item) gives (next state, pick?, value).
+
+    A fold copies its result at each step, so it runs over groups of GROUP items and the groups' picks are put
+    together once: the work grows with the items, not with their square.
+    """
+    def whole(bound):
+        def in_group(acc, item):
+            after, pick, value = step(acc["state"], item)
+            found = F.when(pick, F.concat(acc["found"], F.array(value))).otherwise(acc["found"])
+            return F.struct(after.alias("state"), found.alias("found"))
+
+        def group(done, g):
+            start = F.struct(F.element_at(done, -1)["state"].alias("state"), _no_spans().alias("found"))
+            return F.concat(done, F.array(F.aggregate(F.slice(bound, g * GROUP + 1, F.lit(GROUP)), start, in_group)))
+
+        begin = F.array(F.struct(state.alias("state"), _no_spans().alias("found")))
+        groups = F.sequence(F.lit(0), F.floor(F.size(bound) / GROUP).cast("int"))
+        return F.aggregate(groups, begin, group, lambda done: F.flatten(F.transform(done, lambda g: g["found"])))
+
+    return let(items, whole)
+
+
 def _spans(text: Column, pattern: str, kind: str, guard: Column, passing) -> Column:
-    """array<struct<start, end, kind, hit>> of the pattern's matches in code points; guard: the pattern may match."""
+    """array<struct<start, stop, kind, hit>> of the pattern's matches in code points; guard: the pattern may match."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string,hit:string>>")
     pairs = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
 
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["piece"])
+    def step(at, pair):
+        begin = at + F.length(pair["piece"])
         end = begin + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("stop"), F.lit(kind).alias("kind"), pair["hit"].alias("hit"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(
-            pair["hit"].isNotNull() & passing(pair["hit"]), F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+        return end, pair["hit"].isNotNull() & passing(pair["hit"]), _span(begin, end, F.lit(kind), pair["hit"])
+
+    return F.when(guard, _chosen(pairs, F.lit(0).cast("bigint"), step)).otherwise(_no_spans())
+
+
+def _span(start: Column, stop: Column, kind: Column, hit: Column) -> Column:
+    return F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), kind.alias("kind"), hit.alias("hit"))
+
+
+def _uncovered(base: Column, judged: Column) -> Column:
+    """The judged spans that no base span holds whole: along the starts, with the furthest end of base spans so far."""
+    keyed = lambda spans, after: F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(after).alias("after"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["hit"].alias("hit")))
+
+    def step(reach, s):
+        return (F.when(s["after"], reach).otherwise(F.greatest(reach, s["stop"])), s["after"] & (s["stop"] > reach),
+                _span(s["start"], s["stop"], s["kind"], s["hit"]))
 
-    return F.when(guard, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(none)
+    return _chosen(F.array_sort(F.concat(keyed(base, False), keyed(judged, True))), F.lit(-1).cast("bigint"), step)
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
@@ -146,20 +189,17 @@ def ratio_of(token: Column, table: list[float]) -> Column:
 
 def add_markov_spans(scanned: DataFrame, table: list[float] | None, settings: Settings) -> DataFrame:
     """scanned with added: spans of candidates the models hold for random and no base span covers."""
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string,hit:string>>")
     if table is None:
-        return scanned.withColumn("added", none)
+        return scanned.withColumn("added", _no_spans())
 
     def random(hit):
-        # A run without digit counts as a word or a path, whatever its ratio.
-        pairs = F.length(hit) - 1
         score = ratio_of(hit, table)
-        return F.rlike(hit, F.lit("[0-9]")) & (score >= settings.least_total) & (score >= settings.least_per_pair * pairs)
+        return score >= F.greatest(F.lit(settings.least_total), settings.least_per_pair * (F.length(hit) - 1))
 
     text = F.col("text")
     judged = scanned.withColumn("judged", _spans(text, CANDIDATE, "markov", F.rlike(text, F.lit(CANDIDATE)), random))
-    uncovered = lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))
-    return judged.withColumn("added", F.when(F.size("judged") > 0, F.filter("judged", uncovered)).otherwise(none)).drop("judged")
+    return judged.withColumn(
+        "added", F.when(F.size("judged") > 0, _uncovered(F.col("base"), F.col("judged"))).otherwise(_no_spans())).drop("judged")
 
 
 def joined(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -132,15 +133,51 @@ def test_models_add_random_strings_only(spark):
     samples = spark.createDataFrame(
         [(random_string(40), True) for _ in range(300)] + [(w, False) for w in words] * 40, "sample string, random boolean")
     key = random_string(40)
-    rows = [(1, f"see {key} here"), (2, "the configuration_manager2_profile getUserProfileById2 is"), (3, None)]
+    plain = "".join(rng.choice(letters[:52]) for _ in range(24))
+    rows = [(1, f"see {key} here"), (4, f"see {plain} here"), (2, "the configuration_manager2_profile getUserProfileById2 is"), (3, None)]
     got = {r["doc_id"]: r for r in secret_scan.scan(documents(spark, rows), samples=samples).collect()}
     assert got[1]["spans"] == "markov:4:44" and got[1]["n_markov"] == 1
+    assert got[4]["spans"] == "markov:4:28"  # no digit is needed
     assert got[2]["spans"] == "" and got[3]["spans"] == ""
     none = secret_scan.scan(documents(spark, rows), samples=samples.filter("random")).collect()
     assert all(r["spans"] == "" for r in none)
     assert secret_scan.scan(documents(spark, [])).collect() == []
 
 
+def test_markov_spans_inside_base_spans_are_left_out_in_long_texts(spark):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_string = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    samples = spark.createDataFrame(
+        [(random_string(40), True) for _ in range(300)] + [("configuration_manager", False)] * 100, "sample string, random boolean")
+    words = []
+    for _ in range(4000):  # more matches than one group of the fold holds
+        words.append(rng.choice((f"token={random_string(30)}", random_string(30), "plain")))
+    text = " ".join(words)
+    row = secret_scan.scan(documents(spark, [(1, text)]), samples=samples).collect()[0]
+    base = base_spans(text)
+    reach = [tuple(map(int, b.split(":")[1:])) for b in base]
+    added = [s for s in row["spans"].split(",") if s.startswith("markov")]
+    assert [s for s in row["spans"].split(",") if not s.startswith("markov")] == base
+    assert len(added) == row["n_markov"] > 150
+    for s in added:
+        _, a, b = s.split(":")
+        assert not any(x <= int(a) and int(b) <= y for x, y in reach)
+
+
+def test_time_of_a_scan_grows_with_the_matches(spark):
+    def seconds(matches):
+        rows = documents(spark, [(1, "token=abcdef0123 " * matches)]).cache()
+        rows.count()
+        begin = time.monotonic()
+        got = secret_scan.with_base_spans(rows).select(F.size("base")).collect()
+        assert got[0][0] == matches
+        return time.monotonic() - begin
+
+    seconds(1000)
+    assert seconds(64_000) < 4 * seconds(16_000) + 4
+
+
 # ---- language ----
 
 def sums_over_segmentations(word, table):
