@@ -21,6 +21,8 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 SCOPE = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
+# Elements beyond which no start tag closes anything.
+BOUNDS = SCOPE | {"div", "article", "section", "main", "body"}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
@@ -154,6 +156,8 @@ def read_page(source: str) -> Page:
     page = Page()
     elements, blocks = page.elements, page.blocks
     stack: list[int] = []  # open block-level elements
+    opened: dict[str, list[int]] = {tag: [] for tag in BLOCK}  # their places in the stack by tag
+    bounds: list[int] = []  # places of those in BOUNDS
     text: list[str] = []
     state = {"links": 0, "link_chars": 0}
 
@@ -172,6 +176,14 @@ def read_page(source: str) -> Page:
         if state["links"]:
             state["link_chars"] += len(run)
 
+    def close(k: int) -> None:
+        """End the open elements from place k on."""
+        for e in stack[k:]:
+            opened[elements[e].tag].pop()
+            if elements[e].tag in BOUNDS:
+                bounds.pop()
+        del stack[k:]
+
     place = 0
     for start, end, tag, closing, attrs in _tokens(source):
         if start > place:
@@ -187,33 +199,32 @@ def read_page(source: str) -> Page:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]].tag == tag:
-                    del stack[k:]
-                    state["links"] = 0
-                    break
+            if opened[tag]:
+                close(opened[tag][-1])
+                state["links"] = 0
             continue
         # An open paragraph ends where another block starts, and list or table items end their like.
-        ends = CLOSES.get(tag)
-        for k in range(len(stack) - 1, -1, -1):
-            open_tag = elements[stack[k]].tag
-            if open_tag == "p":
-                del stack[k:]
+        alike = CLOSES.get(tag, ())
+        while True:
+            k = max((opened[t][-1] for t in ("p", *alike) if opened[t]), default=-1)
+            if k < 0 or bounds and bounds[-1] > k:
                 break
-            if ends and open_tag in ends:
-                del stack[k:]
-                if tag != "tr":
-                    break
-            elif open_tag in SCOPE or open_tag in ("div", "article", "section", "main", "body"):
+            ended = elements[stack[k]].tag
+            close(k)
+            if ended == "p" or tag != "tr":
                 break
         if tag in VOID:
             continue
         parent = stack[-1] if stack else -1
         elements.append(_element(tag, attrs, parent, elements[parent].depth + 1 if parent >= 0 else 0))
+        opened[tag].append(len(stack))
+        if tag in BOUNDS:
+            bounds.append(len(stack))
         stack.append(len(elements) - 1)
         if tag in ("article", "main", "h1"):
-            for k in stack[:-1]:
-                elements[k].main_below = True
+            while parent >= 0 and not elements[parent].main_below:
+                elements[parent].main_below = True
+                parent = elements[parent].parent
     if place < len(source):
         put(source[place:])
     flush()

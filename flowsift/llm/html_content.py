@@ -1,8 +1,8 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into text blocks. A classifier gives each block a log-odds of being content: what its enclosing
-elements say (fixed word lists), and a logistic model of the text itself, trained on blocks whose enclosing
-elements leave no doubt. The costs of the two labels are the capacities to source and sink; neighbouring blocks
+elements say (fixed word lists: names that settle it, and names that articles bear too, which only lean), and a
+logistic model of the text itself, trained on blocks whose enclosing elements leave no doubt. The costs of the two labels are the capacities to source and sink; neighbouring blocks
 and blocks close in the document tree are joined by smoothness edges; the minimum cut is the labelling.
 
 Blocks whose own cost exceeds all their edges are settled first, which is exact and leaves few blocks for the
@@ -32,16 +32,20 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog button select option
 BOILER_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar status".split())
 BOILER_NAMES = frozenset(
-    "nav navbar navigation menu footer foot header masthead topbar sidebar side aside rail ad ads advert advertisement adverts "
-    "advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "notification alert popup modal overlay newsletter subscribe subscription signup login signin register comment comments "
-    "commentlist disqus reply replies respond responses discussion reader related recommended recommendations recirculation "
-    "teaser trending popular share sharing social breadcrumb breadcrumbs pagination pager paging widget toolbar skip "
-    "copyright legal disclaimer search form outbrain taboola tags taglist".split())
+    "nav navbar navigation menu footer header masthead topbar sidebar aside ad ads advert advertisement adverts "
+    "advertising adsense adbox adslot sponsor sponsored promo banner cookie cookies consent gdpr notice notices "
+    "notification popup modal overlay newsletter subscribe subscription signup login signin comment comments "
+    "commentlist disqus reply replies recommended recommendations recirculation "
+    "breadcrumb breadcrumbs pagination pager paging toolbar copyright disclaimer outbrain taboola taglist".split())
+# Names of boilerplate that real articles bear as well.
+UNSURE_NAMES = frozenset(
+    "foot side rail promotion alert register respond responses discussion reader related teaser trending popular share sharing "
+    "social widget skip legal search form tags".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_ROLES = frozenset(("main", "article"))
 CONTENT_NAMES = frozenset("article articlebody content post story entry maincontent bodytext main".split())
 FEATURES = 6
+NO_SIGN = (False, False, False)
 
 
 @dataclass(frozen=True)
@@ -49,28 +53,34 @@ class Settings:
     """Log-odds of the enclosing elements, bound of the text model's log-odds, and smoothness weights."""
 
     bias: float = 0.3
-    boiler: float = -6.0
-    content: float = 3.5
-    text_bound: float = 1.5
-    adjacent: float = 0.6
-    sibling: float = 0.3
+    boiler: float = -8.0
+    unsure: float = -2.0
+    content: float = 2.5
+    text_bound: float = 2.5
+    adjacent: float = 0.5
+    sibling: float = 0.1
+    decay: float = 3.0
     sample_pages: int = 2000
 
 
-def enclosing_signs(page: Page) -> list[tuple[bool, bool]]:
-    """(boilerplate, content) of each element, with what its ancestors say."""
-    out: list[tuple[bool, bool]] = []
+def enclosing_signs(page: Page) -> list[tuple[bool, bool, bool]]:
+    """(boilerplate, content, perhaps boilerplate) of each element, with what its ancestors say."""
+    out: list[tuple[bool, bool, bool]] = []
     for e in page.elements:
-        boiler, content = out[e.parent] if e.parent >= 0 else (False, False)
+        boiler, content, unsure = out[e.parent] if e.parent >= 0 else NO_SIGN
+        named = False
         if e.tag not in ("html", "body"):
             named = not e.names.isdisjoint(BOILER_NAMES)
+            leaning = not e.names.isdisjoint(UNSURE_NAMES)
             # A wrapper named after its sidebar, with the article inside, says nothing.
             boiler = boiler or e.tag in BOILER_TAGS or e.role in BOILER_ROLES or e.hidden or (named and not e.main_below)
+            unsure = unsure or leaning and not e.main_below
+            named = named or leaning
             if e.tag == "header" and not content:
                 boiler = boiler or not e.main_below
         content = content or e.tag in CONTENT_TAGS or e.role in CONTENT_ROLES or (
-            e.tag not in ("html", "body") and not e.names.isdisjoint(CONTENT_NAMES) and e.names.isdisjoint(BOILER_NAMES))
-        out.append((boiler, content))
+            e.tag not in ("html", "body") and not named and not e.names.isdisjoint(CONTENT_NAMES))
+        out.append((boiler, content, unsure))
     return out
 
 
@@ -85,8 +95,8 @@ def log_odds(page: Page, weights: np.ndarray | None, settings: Settings) -> list
     signs = enclosing_signs(page)
     out = []
     for b in page.blocks:
-        boiler, content = signs[b.element] if b.element >= 0 else (False, False)
-        s = settings.bias + settings.boiler * boiler + settings.content * content + (0.5 if b.heading else 0.0)
+        boiler, content, unsure = signs[b.element] if b.element >= 0 else NO_SIGN
+        s = settings.bias + settings.boiler * boiler + settings.unsure * unsure + settings.content * content + (0.5 if b.heading else 0.0)
         if weights is not None:
             text = sum(w * x for w, x in zip(weights, text_features(b)))
             s += max(-settings.text_bound, min(settings.text_bound, text))
@@ -102,7 +112,7 @@ def smoothness(page: Page, settings: Settings) -> list[tuple[int, int, float]]:
         parent = page.elements[b.element].parent if b.element >= 0 else -1
         if i:
             steps = page.distance(page.blocks[i - 1].element, b.element)
-            edges.append((i - 1, i, settings.adjacent / (1 + max(0, steps - 2))))
+            edges.append((i - 1, i, settings.adjacent / (1 + max(0, steps - 2)) ** settings.decay))
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, settings.sibling))
         last[parent] = i
@@ -230,8 +240,8 @@ def train_text_model(pages: DataFrame, settings: Settings = Settings()) -> np.nd
                 page = read_page(source.as_py() or "")
                 signs = enclosing_signs(page)
                 for b in page.blocks:
-                    boiler, content = signs[b.element] if b.element >= 0 else (False, False)
-                    if boiler != content:
+                    boiler, content, unsure = signs[b.element] if b.element >= 0 else NO_SIGN
+                    if boiler != content and not unsure:
                         rows.append([float(content), *text_features(b)])
             # Blocks with like features are one row with a count: what comes back is small.
             table = np.round(np.asarray(rows, float).reshape(-1, FEATURES + 1), 1)

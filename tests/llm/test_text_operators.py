@@ -79,6 +79,42 @@ def test_long_and_deep_pages_end():
     extract(sway)
 
 
+@pytest.mark.parametrize("tag", ["blockquote", "center", "article", "dd><blockquote"])
+def test_time_of_a_page_grows_with_its_depth(tag):
+    begin = time.monotonic()
+    extract(f"<{tag}>word" * 30_000)
+    assert time.monotonic() - begin < 10
+
+
+def test_names_that_articles_bear_only_lean(spark, sf):
+    weights = html_content.train_text_model(spark.read.parquet(f"{sf}/pages.parquet"))
+    prose = "<p>The river runs past the old mill, and people walk there in the evening.</p>" * 4
+    links = "<ul>" + "<li><a href=/a>More news</a></li>" * 4 + "</ul>"
+    for name in ("legal", "reader", "tags search", "side"):
+        kept = extract(f"<body><div class='{name}'>{prose}</div><div class='{name}'>{links}</div></body>", weights)
+        assert kept.count("\n") == 3 and "More" not in kept, name
+
+
+def test_cut_is_better_than_the_costs_alone_where_names_are_missing(spark):
+    """Pages without any name or sectioning element: characters labelled wrongly by the sign of the costs and by the cut."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("page_id % 4 = 0")
+    weights = html_content.train_text_model(pages)
+    wrong = {"cut": 0, "sign": 0}
+    flipped = 0
+    for row in pages.collect():
+        main = set(extract(row["html"], weights).split("\n"))
+        bare = re.sub(r"""\s(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", row["html"])
+        page = read_page(re.sub(r"<(/?)(nav|footer|aside|header|article|main|section|form|menu|dialog)\b", r"<\1div", bare))
+        odds = html_content.log_odds(page, weights, html_content.Settings())
+        cut = minimum_cut(odds, html_content.smoothness(page, html_content.Settings()))
+        for block, cost, label in zip(page.blocks, odds, cut):
+            truth = block.text in main
+            wrong["cut"] += len(block.text) * (label != truth)
+            wrong["sign"] += len(block.text) * ((cost > 0) != truth)
+            flipped += label != (cost > 0)
+    assert flipped > 0 and wrong["cut"] < wrong["sign"], (wrong, flipped)
+
+
 def test_pages_with_nulls_clashing_columns_and_no_rows(spark):
     rows = [(1, "u", CASES[0][0], "t"), (1, "u", CASES[0][0], "t"), (None, None, None, None), (2, "v", "", "t")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
