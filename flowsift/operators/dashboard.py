@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowsift.constants import THREAT_CLASSES
 from flowsift.operators.evaluate import class_dimension
+from flowsift.operators.state import KEPT, LATE, OVER_CAP, UNTIMED
+from flowsift.sources.flow_json import flow_violations
 
 
 def class_shares(alerts: DataFrame) -> DataFrame:
@@ -45,3 +47,18 @@ def run_counters(fused: DataFrame, window: str = "bucket") -> DataFrame:
         F.count(F.lit(1)).alias("flows_scored"),
         F.count_if("is_actionable").alias("alerts_emitted"),
         F.count_if(~F.col("is_actionable")).alias("alerts_suppressed"))
+
+
+def packet_counters(arrived: DataFrame, *keys: str) -> DataFrame:
+    """Packets by fate (see flows.arrivals): one row, or one for each value of ``keys``."""
+    n = lambda fate: F.count_if(F.col("fate") == fate)
+    return arrived.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("packets"), n(KEPT).alias("kept"), n(LATE).alias("late_packets"),
+        n(OVER_CAP).alias("packets_dropped"), n(UNTIMED).alias("untimed_packets"))
+
+
+def flow_counters(flows: DataFrame, *keys: str, window: str = "bucket") -> DataFrame:
+    """Windows, flows, and flows that break a rule of the record schema: one row, or one for each value of ``keys``."""
+    return flows.withColumn("_broken", F.size(flow_violations(False)) > 0).groupBy(*keys).agg(
+        F.count_distinct("capture_id", window).alias("windows"), F.count(F.lit(1)).alias("flows"),
+        F.count_if("_broken").alias("invalid_flows"))

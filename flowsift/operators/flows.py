@@ -18,7 +18,7 @@ from flowsift.functions.net import direction, flow_id, in_networks, int_div, win
 from flowsift.operators.bytes import count_bytes
 from flowsift.operators.ordered import CHUNK_ROWS, carry_first, rows_only, with_carry
 from flowsift.operators.staging import staged
-from flowsift.operators.state import beacon_intervals, carried_ja4, horizon_fanout
+from flowsift.operators.state import KEPT, beacon_intervals, carried_ja4, horizon_fanout, mark_fate
 
 TUPLE = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
 # The window number leads: it is the most selective key, and an integer, in every sort by flow.
@@ -251,6 +251,18 @@ def directional_bytes(flows: DataFrame, protected: Sequence[str]) -> DataFrame:
     })
 
 
+def arrivals(
+    packets: DataFrame, *, window_us: int = WINDOW_US, cap: int | None = None, order: str = "frame_no",
+    chunk_rows: int = CHUNK_ROWS, stage: Callable[[DataFrame], DataFrame] = staged,
+) -> DataFrame:
+    """The packets with the fate a live capture would give them in arrival order (see mark_fate), written once.
+
+    ``build_flows`` takes the table as its packets and uses those that are kept; ``dashboard.packet_counters``
+    counts the others from the same table. All branches then read a columnar table, not the source.
+    """
+    return stage(mark_fate(in_windows(packets, window_us), cap=cap, order=order, chunk_rows=chunk_rows))
+
+
 def build_flows(
     packets: DataFrame, *,
     window_us: int = WINDOW_US,
@@ -260,6 +272,7 @@ def build_flows(
     protected: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
     history: DataFrame | None = None,
+    late: str = "keep",
     stage: Callable[[DataFrame], DataFrame] = staged,
 ) -> DataFrame:
     """One row per (capture, window, 5-tuple) with every flow feature.
@@ -269,7 +282,16 @@ def build_flows(
 
     ``history`` holds earlier sightings (see sightings()) that the cross-window features may look
     back on; the streaming job passes it, batch jobs do not need it.
+
+    With ``late="drop"`` packets of a window below one already seen in their capture's arrival order go first, as
+    in a live capture. Packets that ``arrivals`` marked, by the same window length, are taken by their fate.
     """
+    if late not in ("keep", "drop"):
+        raise ValueError(f"late is keep or drop, not {late}")
+    if late == "drop" and "fate" not in packets.columns:
+        packets = arrivals(packets, window_us=window_us, chunk_rows=chunk_rows, stage=stage)
+    if "fate" in packets.columns:
+        packets = packets.filter(F.col("fate") == KEPT).drop("fate")
     windowed = in_windows(packets, window_us)
     totals = stage(packet_totals(windowed))
     kept = with_reverse(totals)

@@ -106,3 +106,20 @@ def mark_over_cap(
     """Add over_cap: the packet is beyond the first ``cap`` of its window."""
     ranked = rank_rows(packets, ["capture_id", "bucket"], order, "_nth", chunk_rows=chunk_rows)
     return ranked.withColumn("over_cap", F.col("_nth") > cap).drop("_nth")
+
+
+KEPT, LATE, OVER_CAP, UNTIMED = "kept", "late", "dropped", "untimed"
+
+
+def mark_fate(
+    packets: DataFrame, *, cap: int | None = None, order: str = "frame_no", chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Add fate: late (mark_late), dropped (beyond the first ``cap`` of its window that are in time), untimed, or kept."""
+    marked = mark_late(packets, order=order, chunk_rows=chunk_rows)
+    beyond = F.lit(False)
+    if cap is not None:
+        marked = rank_rows(marked, ["capture_id", "bucket", "is_late"], order, "_nth", chunk_rows=chunk_rows)
+        beyond = F.col("_nth") > cap
+    return marked.withColumn(
+        "fate", F.when(F.col("bucket").isNull(), UNTIMED).when(F.col("is_late"), LATE).when(beyond, OVER_CAP).otherwise(KEPT)
+    ).drop("is_late", "_nth")

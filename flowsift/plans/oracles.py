@@ -361,6 +361,9 @@ def _fill() -> None:
     o["s2_flow_records"] = """SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN event_id % 50 = 1 THEN 'ttl: required'
         WHEN event_id % 50 = 2 THEN 'syn_fraction: above 1' WHEN event_id % 50 = 3 THEN 'pkt_rate: below 0' ELSE 'valid' END AS outcome,
         count(*) AS n FROM events GROUP BY ALL"""
+    o["s3_stream_quarantine"] = "WITH o AS (" + o["s2_flow_records"] + """) SELECT * FROM o
+        UNION ALL SELECT 'counted valid', CAST(sum(n) FILTER (outcome = 'valid') AS BIGINT) FROM o
+        UNION ALL SELECT 'counted rejected', CAST(sum(n) FILTER (outcome <> 'valid') AS BIGINT) FROM o"""
     o["s3_validation"] = sql("""SELECT count(*) AS records, count(*) FILTER (dst_port = 53) AS rejected,
       count(*) FILTER (dst_port <> 53) AS accepted FROM flows""")
     o["s4_labelled_csv"] = """SELECT label, n_measures, count(*) AS n, CAST(sum(port) AS BIGINT) AS ports FROM (
@@ -453,6 +456,19 @@ def _fill() -> None:
     o["w4_late_packets"] = sql("""SELECT capture_id, bucket, count(*) AS n, count(*) FILTER (late) AS late FROM (
       SELECT capture_id, bucket, coalesce(bucket < max(bucket) OVER (PARTITION BY capture_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late
       FROM arrived) GROUP BY ALL""", arrived=arrival)
+    fate = f"""SELECT *, CASE WHEN late THEN 'late' WHEN nth > 60 THEN 'dropped' ELSE 'kept' END AS fate FROM (
+      SELECT *, row_number() OVER (PARTITION BY capture_id, bucket, late ORDER BY arrival) AS nth FROM (
+        SELECT * REPLACE (CASE WHEN frame_no % 11 <> 0 THEN ttl END AS ttl, ts_us // {DAY} AS bucket),
+          coalesce(ts_us // {DAY} < max(ts_us // {DAY}) OVER (PARTITION BY capture_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late
+        FROM arrived))"""
+    in_time = f"""SELECT {KEYS}, min(frame_no) AS first_frame, arg_min_null(ts_us, frame_no) AS ts_us, count(*) FILTER (is_syn) AS syn_count,
+      arg_min_null(ttl, frame_no) AS ttl, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM fated WHERE fate = 'kept' GROUP BY ALL"""
+    o["w4_flows_without_late"] = sql("SELECT * FROM in_time", arrived=arrival, fated=fate, in_time=in_time)
+    o["a17_packet_counters"] = sql("""SELECT capture_id, p.* EXCLUDE capture_id, windows, flows, invalid_flows FROM (
+        SELECT capture_id, count(*) AS packets, count(*) FILTER (fate = 'kept') AS kept, count(*) FILTER (fate = 'late') AS late_packets,
+          count(*) FILTER (fate = 'dropped') AS packets_dropped, 0::BIGINT AS untimed_packets FROM fated GROUP BY ALL) p LEFT JOIN (
+        SELECT capture_id, count(DISTINCT bucket) AS windows, count(*) AS flows, count(*) FILTER (ttl IS NULL) AS invalid_flows
+        FROM in_time GROUP BY ALL) f USING (capture_id)""", arrived=arrival, fated=fate, in_time=in_time)
     o["w5_packet_cap"] = sql("""SELECT capture_id, bucket, count(*) FILTER (nth <= 40) AS kept, count(*) FILTER (nth > 40) AS dropped FROM (
       SELECT capture_id, bucket, row_number() OVER (PARTITION BY capture_id, bucket ORDER BY frame_no) AS nth FROM pw) GROUP BY ALL""")
 

@@ -191,6 +191,27 @@ def s1_packet_json(spark, folder):
 
 @query
 def s2_flow_records(spark, folder):
+    path = fresh_folder(spark)
+    _flow_lines(spark, folder).write.text(path)
+    read = flow_json.read_flow_lines(spark, path)
+    return read.groupBy(F.coalesce(F.get("violations", F.lit(0)), F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def s3_stream_quarantine(spark, folder):
+    """Records in three files, a micro-batch each: rows by outcome, and the counters the stream kept."""
+    path, out = fresh_folder(spark), fresh_folder(spark)
+    _flow_lines(spark, folder).repartition(3).write.text(path)
+    flow_json.quarantine_stream(flow_json.stream_flow_lines(spark, path, maxFilesPerTrigger=1), out).awaitTermination()
+    flows = spark.read.parquet(f"{out}/flows").groupBy(F.lit("valid").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    rejected = spark.read.parquet(f"{out}/rejected").groupBy(F.get("violations", F.lit(0)).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    counted = spark.read.parquet(f"{out}/counters").agg(F.sum("valid").alias("valid"), F.sum("rejected").alias("rejected"))
+    return flows.unionAll(rejected).unionAll(counted.select(F.lit("counted valid"), "valid")).unionAll(
+        counted.select(F.lit("counted rejected"), "rejected"))
+
+
+def _flow_lines(spark, folder):
+    """Events as flow records in JSON lines, some broken or against a rule."""
     e = table(spark, folder, "events")
     m = F.pmod("event_id", F.lit(50))
     record = F.to_json(F.struct(
@@ -200,10 +221,7 @@ def s2_flow_records(spark, folder):
         F.struct(F.lit(0.1).alias("mean"), F.lit(0.0).alias("std")).alias("inter_arrival_stats"),
         F.lit(3.0).alias("entropy"), F.lit(0.5).alias("byte_ratio"), F.when(m != 1, 64).alias("ttl"),
         F.when(m == 2, 1.5).otherwise(0.5).alias("syn_fraction"), F.when(m == 3, -1.0).otherwise(2.0).alias("pkt_rate")))
-    path = fresh_folder(spark)
-    e.select(F.when(m == 0, F.concat(F.lit("{broken "), record)).otherwise(record).alias("value")).write.text(path)
-    read = flow_json.read_flow_lines(spark, path)
-    return read.groupBy(F.coalesce(F.get("violations", F.lit(0)), F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return e.select(F.when(m == 0, F.concat(F.lit("{broken "), record)).otherwise(record).alias("value"))
 
 
 @query
@@ -582,11 +600,40 @@ def w3_carried_ja4(spark, folder):
     return state.carried_ja4(fl.sightings(kept(spark, folder)), horizon_us=3 * DAY)
 
 
+def _arrival():
+    """An arrival order that turns each 64 frames around."""
+    f = F.pmod("frame_no", F.lit(1_000_000_000))
+    return (f - F.pmod(f, F.lit(64)) + 63 - F.pmod(f, F.lit(64))) * 2 + (F.col("frame_no") >= 1_000_000_000).cast("int")
+
+
+def _arrived(spark, folder):
+    """Packets with their fate; every eleventh has no TTL, so flows that begin with one break the record schema."""
+    sent = packets(spark, folder).withColumn("arrival", _arrival()).withColumn(
+        "ttl", F.when(F.pmod("frame_no", F.lit(11)) != 0, F.col("ttl")))
+    return fl.arrivals(sent, window_us=DAY, cap=60, order="arrival")
+
+
+@query
+def w4_flows_without_late(spark, folder):
+    found = fl.build_flows(
+        _arrived(spark, folder), window_us=DAY, horizon_us=7 * DAY, beacon_lookback_us=30 * DAY, protected=PROTECTED)
+    return found.select(
+        "capture_id", "bucket", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "first_frame", "ts_us", "syn_count", "ttl",
+        F.round(F.col("pkt_rate") * (DAY / 1e6)).cast("bigint").alias("packets"),
+        F.round(F.col("byte_rate") * (DAY / 1e6)).cast("bigint").alias("bytes"))
+
+
+@query
+def a17_packet_counters(spark, folder):
+    """Packets by fate and flows by validity of each capture, all from one marked table."""
+    arrived = _arrived(spark, folder)
+    found = fl.build_flows(arrived, window_us=DAY, horizon_us=7 * DAY, beacon_lookback_us=30 * DAY, protected=PROTECTED)
+    return dashboard.packet_counters(arrived, "capture_id").join(dashboard.flow_counters(found, "capture_id"), "capture_id", "left")
+
+
 @query
 def w4_late_packets(spark, folder):
-    f = F.pmod("frame_no", F.lit(1_000_000_000))
-    shuffled = (f - F.pmod(f, F.lit(64)) + 63 - F.pmod(f, F.lit(64))) * 2 + (F.col("frame_no") >= 1_000_000_000).cast("int")
-    arrived = packets(spark, folder).select("capture_id", int_div(F.col("ts_us"), 3_600_000_000).alias("bucket"), shuffled.alias("arrival"))
+    arrived = packets(spark, folder).select("capture_id", int_div(F.col("ts_us"), 3_600_000_000).alias("bucket"), _arrival().alias("arrival"))
     return state.mark_late(arrived, order="arrival").groupBy("capture_id", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_late").alias("late"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from flowsift.constants import THREAT_CLASSES
 from flowsift.schemas import FLOW_RECORD_DDL
@@ -58,6 +59,30 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad.select(*[c for c in ("raw", "flow_id") if c in bad.columns], "violations")
 
 
+QUARANTINE_COUNTS = "batch bigint, valid bigint, rejected bigint"
+
+
+def quarantine_stream(rows: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Split a stream of parsed flow records into the tables flows and rejected, with their numbers in counters.
+
+    Each micro-batch overwrites its own partition of the three tables, so one that runs again after a failure
+    leaves one copy of its rows; the numbers are those of the rows written.
+    """
+    spark = rows.sparkSession
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        kinds = dict(zip(("flows", "rejected"), split_valid(batch)))
+        counts = []
+        for name, part in kinds.items():
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+            counts.append(spark.read.schema(part.schema).parquet(f"{folder}/{name}/batch={batch_id}").count())
+        spark.createDataFrame([(batch_id, *counts)], QUARANTINE_COUNTS).drop("batch").coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/counters/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/_checkpoint").trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
 def alert_violations() -> Column:
     checks = [F.when(F.col(c).isNull(), F.lit(f"{c}: required")) for c in
               ("timestamp", "flow_id", "threat_class", "confidence_score", "evidence")]
