@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.operators.ordered import running_sum, value_chunks
+from flowsift.operators.staging import staged
 
 
 def picked_percentiles(timings: DataFrame, value: str, fractions: Sequence[float], rounding: str = "nearest") -> DataFrame:
     """Value at index round(p*(n-1)) ("nearest") or int(p*(n-1)) ("floor"), per fraction p."""
-    counted = timings.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("upto"))
+    counted = staged(timings.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("upto")))
     n = counted.agg(F.sum("upto")).first()[0] or 0
     pick = round if rounding == "nearest" else int
     wanted = F.array(*[
@@ -33,5 +34,13 @@ def throughput_report(passes: DataFrame, flows: str = "flows", seconds: str = "s
         (F.coalesce(F.avg(rate), F.lit(0.0)) * window_s).alias("flows_per_window"))
 
 
+def latency_report(timings: DataFrame, latency_ms: str, window_ms: float = 120.0) -> DataFrame:
+    """One row: p50_ms, p95_ms, p99_ms, and the share of a window that p95 leaves free; all null without timings."""
+    found = picked_percentiles(timings, latency_ms, [0.5, 0.95, 0.99])
+    at = lambda p: F.max(F.when(F.col("fraction") == p, F.col("value")))
+    return found.agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms")).withColumn(
+        "headroom", F.when(F.col("p95_ms").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("p95_ms") / window_ms)))
+
+
 def window_headroom(p95_ms: float, window_ms: float = 120.0) -> float:
     return max(0.0, 1.0 - p95_ms / window_ms)

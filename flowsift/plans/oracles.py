@@ -629,6 +629,8 @@ UNION ALL SELECT 'late', NULL, count(*) FROM judged WHERE late""",
       FROM (SELECT truth AS scenario, predicted, count(*) AS n FROM doc_marks GROUP BY ALL)""")
     o["e11_percentiles"] = """SELECT fraction, value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM events) v
       JOIN (SELECT f AS fraction, CAST(round_even(f * ((SELECT count(*) FROM events) - 1), 0) AS BIGINT) AS i FROM (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) t(f)) p USING (i)"""
+    o["e11_latency_headroom"] = "SELECT *, round(greatest(0, 1 - p95_ms / 1000), 9) AS headroom FROM (SELECT " + ", ".join(
+        f"max(value) FILTER (fraction = {p}) AS p{name}_ms" for p, name in ((0.5, 50), (0.95, 95), (0.99, 99))) + f" FROM ({o['e11_percentiles']}))"
     o["e11_throughput"] = """SELECT round(avg(r), 6) AS throughput, round(stddev_samp(r), 6) AS throughput_std, round(avg(r) * 0.12, 6) AS flows_per_window FROM (
         SELECT n / s AS r FROM (SELECT event_type, count(*) AS n, sum(value) / 1000 AS s FROM events GROUP BY ALL))"""
     o["e12_train_test"] = """SELECT part, label, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM (

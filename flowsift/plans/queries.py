@@ -1074,6 +1074,13 @@ def e11_percentiles(spark, folder):
     return timings.picked_percentiles(table(spark, folder, "events"), "value", [0.5, 0.95, 0.99, 1.0])
 
 
+@query
+def e11_latency_headroom(spark, folder):
+    """Event values as milliseconds of scoring, against windows of a second."""
+    found = timings.latency_report(table(spark, folder, "events"), "value", window_ms=1000.0)
+    return found.select("p50_ms", "p95_ms", "p99_ms", F.round("headroom", 9).alias("headroom"))
+
+
 @query
 def e11_throughput(spark, folder):
     passes = table(spark, folder, "events").groupBy("event_type").agg(

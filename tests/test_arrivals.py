@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import dashboard, flows as fl, state
+from flowsift.operators import dashboard, flows as fl, state, timings
 from flowsift.sources import flow_json
 from tests.helpers import by_flow, packet, packets
 
@@ -78,3 +78,12 @@ def test_rejected_rows_of_a_stream_are_kept_once(spark, tmp_path):
         os.remove(crc)
     put("c", [record(4, pkt_rate=-1.0), record(5)])
     assert run() == (["f1", "f3", "f5"], ["malformed", "pkt_rate: below 0", "ttl: required"])
+
+
+def test_latency_report(spark):
+    rows = spark.createDataFrame([(float(i),) for i in range(1, 101)], "ms double")
+    got = timings.latency_report(rows, "ms", window_ms=120.0).first()
+    assert (got["p50_ms"], got["p95_ms"], got["p99_ms"]) == (51.0, 95.0, 99.0)
+    assert got["headroom"] == pytest.approx(1 - 95 / 120)
+    assert timings.latency_report(rows, "ms", window_ms=90.0).first()["headroom"] == 0.0
+    assert timings.latency_report(rows.limit(0), "ms").first()["headroom"] is None
