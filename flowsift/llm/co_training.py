@@ -6,11 +6,14 @@ start from the labelled documents. In each round a view labels the unlabelled do
 the other view. The two views' scores are calibrated on labelled documents kept out of the rounds, and their
 calibrated log-odds are added, less the prior they share, to score every document on its whole text.
 
-Training uses at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, the first of either by a
-hash of doc_id; everything else is a narrow pass over the documents.
+Training starts from at most ``labelled_rows`` labelled documents, the first by a hash of doc_id. Pseudo-labels come
+from all unlabelled documents: each document's features (bounded by the number of cells, however long the text) are
+written once, every round scores them all, counts the confidences in steps, and ranks only the documents at or above
+the step in which a view's most confident ``most_a_round`` end. So only these rows and the counts reach the driver.
 
 Defined results: a null text is the empty text; null metadata is a value of its own; a null label is no label;
-repeated rows are scored alike; without labelled documents of both classes every score is the 0.5 of no
+repeated rows are scored alike; rows that share a doc_id train as one, the one whose features hash lowest; documents of equal
+confidence follow the hash of their doc_id; without labelled documents of both classes every score is the 0.5 of no
 knowledge; an empty table gives no row. Documents of the held-out fold (CRC of doc_id modulo 5) train nothing.
 """
 
@@ -18,15 +21,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import text_or_empty
+from flowsift.llm.common import freeing, text_or_empty
+from flowsift.operators import staging
 
 CELLS = 1 << 11
 NAMES = 64
@@ -37,7 +41,6 @@ AGAIN = 0
 @dataclass(frozen=True)
 class Settings:
     labelled_rows: int = 4000
-    pool_rows: int = 4000
     rounds: int = 4
     sure: float = 0.97
     most_a_round: int = 400
@@ -124,103 +127,201 @@ class Model:
     prior: float
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, settings: Settings) -> Model | None:
-    """y: 0 or 1, or NaN for the unlabelled rows. Rows are in a fixed order, the calibration part first."""
-    known = np.flatnonzero(~np.isnan(y))
-    held = known[:int(len(known) * settings.calibration_part)]
-    start, pool = known[len(held):], np.flatnonzero(np.isnan(y))
-    if len(np.unique(y[start])) < 2 or len(np.unique(y[held])) < 2:
+#: (pupil view, label): the rows chosen for it, as their text and metadata features.
+Chosen = dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, settings: Settings, surest: Callable[..., Chosen]) -> Model | None:
+    """Features and labels of the labelled rows in a fixed order, the calibration part first.
+
+    ``surest(weights, calibrations, wanted)`` gives the unlabelled rows each view is most sure of, at most ``wanted`` for
+    each (pupil, label), and none twice for one pupil.
+    """
+    held = int(len(y) * settings.calibration_part)
+    if len(np.unique(y[held:])) < 2 or len(np.unique(y[:held])) < 2:
         return None
     views = (text, meta)
-    rows: list[list[np.ndarray]] = [[start], [start]]
-    labels: list[list[np.ndarray]] = [[y[start]], [y[start]]]
-    given = [np.zeros(len(y), bool), np.zeros(len(y), bool)]
-    share = float(y[start].mean())
+    rows = [[v[held:]] for v in views]
+    labels = [[y[held:]], [y[held:]]]
+    share = float(y[held:].mean())
+    wanted = {(pupil, label): max(1, int(settings.most_a_round * part)) for pupil in (1, 0) for label, part in ((1.0, share), (0.0, 1 - share))}
     for turn in range(settings.rounds + 1):
-        fitted = [fit_logistic(v[np.concatenate(r)], np.concatenate(t).astype(np.float32), settings.ridge) for v, r, t in zip(views, rows, labels)]
+        fitted = [fit_logistic(np.concatenate(r), np.concatenate(t).astype(np.float32), settings.ridge) for r, t in zip(rows, labels)]
+        calibrations = [fit_calibration(v[:held] @ w, y[:held]) for v, w in zip(views, fitted)]
         if turn == settings.rounds:
             break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            score = views[teacher][pool] @ fitted[teacher]
-            a, b = fit_calibration(views[teacher][held] @ fitted[teacher], y[held])
-            p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
-            free = ~given[pupil][pool]
-            for label, chance, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                sure = np.flatnonzero(free & (chance >= settings.sure))
-                best = pool[sure[np.argsort(-chance[sure], kind="stable")[:max(1, int(settings.most_a_round * part))]]]
-                rows[pupil].append(best)
-                labels[pupil].append(np.full(len(best), label))
-                given[pupil][best] = True
-    calibrations = [fit_calibration(v[held] @ w, y[held]) for v, w in zip(views, fitted)]
-    prior = float(np.clip(y[known].mean(), 0.01, 0.99))
+        for (pupil, label), found in surest(fitted, calibrations, wanted).items():
+            rows[pupil].append(found[pupil])
+            labels[pupil].append(np.full(len(found[pupil]), label))
+    prior = float(np.clip(y.mean(), 0.01, 0.99))
     return Model(fitted[0], fitted[1], calibrations[0], calibrations[1], math.log(prior / (1 - prior)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
-    fold = lambda d: F.crc32(F.encode(F.coalesce(d.cast("string"), F.lit("")), "UTF-8")) % 5
-    order = F.xxhash64("doc_id")
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(
-        F.max("quality").cast("double").alias("y"))
-    marked = known.orderBy(order, "doc_id").limit(settings.labelled_rows)
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    pool = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(
-        settings.pool_rows).withColumn("y", F.lit(None).cast("double"))
-    # At most labelled_rows + pool_rows rows.
-    chosen = F.broadcast(marked.unionByName(pool))
-    source = docs.select("doc_id", "source", "lang", text_or_empty().alias("text")).join(chosen, "doc_id")
-
-    def features(batches):
-        cells = _Cells()
+def view_features(docs: DataFrame) -> DataFrame:
+    """doc_id, cells, counts, shape and a hash of the three as ``mark``, of every row."""
+    source = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Cells()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sparse = []
-            for t in texts:
-                at, n = np.unique(word_cells(t, cells), return_counts=True)
-                sparse.append((at.astype(np.int32), n.astype(np.float32)))
-            rows = [shape(t, s, g).astype(np.float32) for t, s, g in zip(
-                texts, batch.column("source").cast("string").to_pylist(), batch.column("lang").cast("string").to_pylist())]
+            cells, counts, shapes = [], [], []
+            for text, name, lang in zip(*(batch.column(c) for c in ("text", "source", "lang"))):
+                text = text.as_py()
+                at, n = np.unique(word_cells(text, known), return_counts=True)
+                cells.append(at.astype(np.int16))
+                counts.append(n.astype(np.float32))
+                shapes.append(shape(text, name.as_py(), lang.as_py()).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([a for a, _ in sparse], pa.list_(pa.int32())),
-                 pa.array([n for _, n in sparse], pa.list_(pa.float32())), pa.array(list(rows), pa.list_(pa.float32()))],
-                names=["doc_id", "y", "cells", "counts", "shape"])
+                [batch.column("doc_id"), pa.array(cells, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.float32())), pa.array(shapes, pa.list_(pa.float32()))],
+                names=["doc_id", "cells", "counts", "shape"])
 
-    got = source.mapInArrow(features, f"doc_id {dict(docs.dtypes)['doc_id']}, y double, cells array<int>, counts array<float>, shape array<float>").toArrow()
-    if not got.num_rows:
-        return None
-    ids = np.asarray(got.column("doc_id").to_pylist())
-    mixed = np.argsort([zlib.crc32(str(i).encode()) for i in ids.tolist()], kind="stable")
-    text = np.zeros((len(ids), CELLS), np.float32)
-    for k, (at, n) in enumerate(zip(got.column("cells"), got.column("counts"))):
+    found = source.mapInArrow(freeing(rows), f"doc_id {dict(source.dtypes)['doc_id']}, cells array<smallint>, counts array<float>, shape array<float>")
+    return found.withColumn("mark", F.xxhash64("cells", "counts", "shape"))
+
+
+def dense(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of a bounded number of feature rows."""
+    text = np.zeros((rows.num_rows, CELLS), np.float32)
+    for k, (at, n) in enumerate(zip(rows.column("cells"), rows.column("counts"))):
         if len(at):
             n = n.values.to_numpy()
             text[k, at.values.to_numpy()] = n / n.sum() * 20
-    meta = np.asarray(got.column("shape").to_pylist(), np.float32)
-    y = np.array([np.nan if v is None else v for v in got.column("y").to_pylist()])
-    return co_train(text[mixed], meta[mixed], y[mixed], settings)
+    meta = np.asarray(rows.column("shape").to_pylist(), np.float32).reshape(rows.num_rows, SHAPE + 2 * NAMES)
+    return text, meta
+
+
+def view_odds(batch: pa.RecordBatch, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The uncalibrated scores of the two views for each row of a batch."""
+    n = batch.num_rows
+    cells, counts = batch.column("cells"), batch.column("counts")
+    row = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+    at, times = cells.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
+    total = np.bincount(row, weights=times, minlength=n)
+    sums = np.bincount(row, weights=text.astype(np.float64)[at] * times, minlength=n)
+    shapes = batch.column("shape").flatten().to_numpy().astype(np.float64).reshape(n, -1)
+    return sums / np.maximum(total, 1) * 20, (shapes * meta.astype(np.float64)).sum(axis=1)
+
+
+def _train_fold(doc_id: Column) -> Column:
+    return doc_id.isNotNull() & (F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 != 0)
+
+
+def _one_row(rows: DataFrame, *more: str) -> pa.Table:
+    """One row for each doc_id of a bounded selection."""
+    first = F.min(F.struct("mark", "cells", "counts", "shape", *more)).alias("first")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "first.*").toArrow()
+
+
+class Pool:
+    """All unlabelled documents outside the held-out fold; each pupil is given a document once."""
+
+    #: Steps of a confidence (log-odds) in which documents are counted, and the last step.
+    STEPS, LAST = 16, 60 * 16
+
+    def __init__(self, features: DataFrame, known: DataFrame, settings: Settings):
+        self.features, self.known = features, known.select("doc_id")
+        self.least = math.log(settings.sure / (1 - settings.sure))
+        self.given: tuple[set, set] = set(), set()
+
+    def scores(self, weights: list[np.ndarray]) -> DataFrame:
+        """doc_id, mark, text_odds, meta_odds; one row for each unlabelled doc_id."""
+        text, meta = weights
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("mark"), *map(pa.array, view_odds(batch, text, meta))],
+                    names=["doc_id", "mark", "text_odds", "meta_odds"])
+
+        kind = dict(self.features.dtypes)["doc_id"]
+        scored = self.features.filter(_train_fold(F.col("doc_id"))).mapInArrow(
+            freeing(rows), f"doc_id {kind}, mark bigint, text_odds double, meta_odds double")
+        first = scored.groupBy("doc_id").agg(F.min(F.struct("mark", "text_odds", "meta_odds")).alias("first"))
+        return first.select("doc_id", "first.*").join(self.known, "doc_id", "left_anti")
+
+    def __call__(self, weights: list[np.ndarray], calibrations: list[tuple[float, float]], wanted: dict[tuple[int, float], int]) -> Chosen:
+        tables: list[str] = []
+        with staging.recorded(tables):
+            scores = staging.staged(self.scores(weights))
+        lists = list(wanted)
+        keys = []
+        for pupil, label in lists:
+            a, b = calibrations[1 - pupil]
+            sure = (F.col("meta_odds" if pupil == 0 else "text_odds") * a + b) * (1 if label else -1)
+            free = ~F.col("doc_id").isin(list(self.given[pupil])) if self.given[pupil] else F.lit(True)
+            keys.append(F.when(free & (sure >= self.least), sure))
+        each = scores.select("doc_id", "mark", F.posexplode(F.array(*keys)).alias("list", "sure")).filter("sure IS NOT NULL").withColumn(
+            "step", F.floor(F.least(F.col("sure") * self.STEPS, F.lit(float(self.LAST)))))
+        counts = {(r["list"], r["step"]): r["count"] for r in each.groupBy("list", "step").count().collect()}
+        chosen = None
+        for k, target in enumerate(lists):
+            lowest, seen = self.LAST, 0
+            for step in sorted((s for i, s in counts if i == k), reverse=True):
+                lowest, seen = step, seen + counts[k, step]
+                if seen >= wanted[target]:
+                    break
+            top = each.filter((F.col("list") == k) & (F.col("step") >= lowest)).orderBy(
+                F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(wanted[target])
+            chosen = top if chosen is None else chosen.unionByName(top)
+        picked = chosen.select("list", "doc_id", "mark").collect()
+        out: Chosen = {}
+        if picked:
+            # At most the wanted rows of each list.
+            ids = self.features.sparkSession.createDataFrame(sorted({(r["doc_id"], r["mark"]) for r in picked}), chosen.select("doc_id", "mark").schema)
+            found = _one_row(self.features.join(F.broadcast(ids), ["doc_id", "mark"]))
+            at = {d: i for i, d in enumerate(found.column("doc_id").to_pylist())}
+            views = dense(found)
+            for k, target in enumerate(lists):
+                own = [r["doc_id"] for r in picked if r["list"] == k]
+                self.given[target[0]].update(own)
+                out[target] = tuple(v[[at[d] for d in own]] for v in views)
+        staging.remove(self.features.sparkSession, tables)
+        return out
+
+
+def fit_features(features: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    """Models of the two views; ``features`` is read several times, so it should be a written table."""
+    known = labels.filter(F.col("quality").isNotNull() & _train_fold(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.max("quality").cast("double").alias("y"))
+    # At most labelled_rows rows.
+    marked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.labelled_rows))
+    rows = _one_row(features.join(marked, "doc_id"), "y")
+    if not rows.num_rows:
+        return None
+    mixed = sorted(range(rows.num_rows), key=lambda i: (zlib.crc32(str(rows["doc_id"][i].as_py()).encode()), str(rows["doc_id"][i])))
+    rows = rows.take(mixed)
+    return co_train(*dense(rows), rows["y"].to_numpy(), settings, Pool(features, known, settings))
 
 
-def score_documents(docs: DataFrame, model: Model | None, settings: Settings = Settings()) -> DataFrame:
+def score_features(features: DataFrame, model: Model | None, settings: Settings = Settings()) -> DataFrame:
     """doc_id, score, kept, text_score, meta_score of every row."""
-    source = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells()
+        chance = lambda x: 1 / (1 + np.exp(-x))
         for batch in batches:
-            n = batch.num_rows
-            odds = np.zeros((2, n))
+            odds, prior = np.zeros((2, batch.num_rows)), 0.0
             if model is not None:
-                cols = [batch.column(c).to_pylist() for c in ("text", "source", "lang")]
-                for i, (t, s, g) in enumerate(zip(*cols)):
-                    at = word_cells(t, cells)
-                    odds[0, i] = model.text[at].sum(dtype=np.float64) / max(len(at), 1) * 20
-                    odds[1, i] = shape(t, s, g) @ model.meta
-                for k, (a, b) in enumerate((model.text_calibration, model.meta_calibration)):
-                    odds[k] = np.clip(a * odds[k] + b, -30, 30)
-            prior = model.prior if model is not None else 0.0
-            chance = lambda x: 1 / (1 + np.exp(-x))
+                prior = model.prior
+                for k, score in enumerate(view_odds(batch, model.text, model.meta)):
+                    a, b = (model.text_calibration, model.meta_calibration)[k]
+                    odds[k] = np.clip(a * score + b, -30, 30)
             both = chance(odds[0] + odds[1] - prior)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(both), pa.array(both >= settings.threshold), pa.array(chance(odds[0])), pa.array(chance(odds[1]))],
                 names=["doc_id", "score", "kept", "text_score", "meta_score"])
 
-    return source.mapInArrow(rows, f"doc_id {dict(source.dtypes)['doc_id']}, score double, kept boolean, text_score double, meta_score double")
+    return features.mapInArrow(
+        rows, f"doc_id {dict(features.dtypes)['doc_id']}, score double, kept boolean, text_score double, meta_score double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    return fit_features(staging.staged(view_features(docs)), labels, settings)
+
+
+def score_documents(docs: DataFrame, model: Model | None, settings: Settings = Settings()) -> DataFrame:
+    return score_features(view_features(docs), model, settings)
+
+
+def co_trained_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Models fitted on docs and labels, and their scores of every document, from one table of features."""
+    features = staging.staged(view_features(docs))
+    return score_features(features, fit_features(features, labels, settings), settings)

@@ -31,8 +31,7 @@ def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_co_training(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return co_training.score_documents(docs, co_training.fit(docs, table(spark, folder, "labels")))
+    return co_training.co_trained_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,11 +1,15 @@
 import hashlib
+import math
 import random
 import re
+import struct
 import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from flowsift.llm import co_training, html_content, language_id, secret_scan
@@ -269,32 +273,85 @@ def test_quality_on_held_out_documents(spark):
     assert sum(r["kept"] for r in held if r["quality"] == 1) >= 0.98 * sum(r["quality"] == 1 for r in held)
 
 
-def test_rounds_add_pseudo_labels(spark):
-    import numpy as np
+def test_rounds_add_pseudo_labels():
     rng = np.random.default_rng(0)
     y = (rng.random(600) < 0.6).astype(float)
-    text = (rng.normal(size=(600, 4)) + (2 * y - 1)[:, None] * 1.5).astype(np.float32)
-    meta = (rng.normal(size=(600, 3)) + (2 * y - 1)[:, None] * 1.5).astype(np.float32)
-    seen = np.where(np.arange(600) < 60, y, np.nan)
-    text, meta = np.c_[text, np.ones(600, np.float32)], np.c_[meta, np.ones(600, np.float32)]
-    model = co_training.co_train(text, meta, seen, co_training.Settings())
+    views = [np.c_[rng.normal(size=(600, n)) + (2 * y - 1)[:, None] * 1.5, np.ones(600)].astype(np.float32) for n in (4, 3)]
+    text, meta = views
+    model = co_training.co_train(text[:60], meta[:60], y[:60], co_training.Settings(), plain_pool([v[60:] for v in views], list(range(540))))
     odds = sum(a * (x @ w) + b for x, w, (a, b) in ((text, model.text, model.text_calibration), (meta, model.meta, model.meta_calibration))) - model.prior
     assert ((odds > 0) == (y > 0.5))[60:].mean() > 0.96
-    assert co_training.co_train(text, meta, np.where(np.arange(600) < 60, 1.0, np.nan), co_training.Settings()) is None
-
-
-def test_pool_is_full_among_many_labels(spark, monkeypatch):
-    docs = documents(spark, [(i, f"w{i}", "en", "x") for i in range(1000)])
-    # All but 40 have a label; half of the 40 have a row without quality.
-    rows = [(i, i % 2, 0) for i in range(1000) if i % 25] + [(i, None, 0) for i in range(0, 1000, 50)]
-    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(co_training, "co_train", lambda text, meta, y, settings: seen.append(y))
-    free = [i for i in range(0, 1000, 25) if zlib.crc32(str(i).encode()) % 5]
-    for most in (10, 100):
-        co_training.fit(docs, labels, co_training.Settings(labelled_rows=20, pool_rows=most))
-    assert [sum(v != v for v in y) for y in seen] == [10, len(free)]
-    assert [sum(v == v for v in y) for y in seen] == [20, 20]
+    assert co_training.co_train(text[:60], meta[:60], np.ones(60), co_training.Settings(), None) is None
+
+
+def signed_hash(doc_id):
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)))[0]
+
+
+def plain_pool(views, ids, settings=co_training.Settings(), log=None):
+    """The surest rows by one sort of the whole pool."""
+    given = [set(), set()]
+    least = math.log(settings.sure / (1 - settings.sure))
+
+    def surest(weights, calibrations, wanted):
+        out = {}
+        before = [set(g) for g in given]
+        for (pupil, label), most in wanted.items():
+            a, b = calibrations[1 - pupil]
+            odds = (views[1 - pupil].astype(float) @ weights[1 - pupil].astype(float) * a + b) * (1 if label else -1)
+            best = sorted((-odds[i], signed_hash(d), d, i) for i, d in enumerate(ids) if odds[i] >= least and d not in before[pupil])[:most]
+            given[pupil].update(d for _, _, d, _ in best)
+            out[pupil, label] = tuple(v[[i for *_, i in best]] for v in views)
+            if log is not None:
+                log.append((pupil, label, [d for _, _, d, _ in best]))
+        return out
+
+    return surest
+
+
+@pytest.mark.parametrize("most_a_round", [12, 400])
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark, monkeypatch, most_a_round):
+    rng = random.Random(5)
+    good, bad = [f"good{i}" for i in range(30)], [f"junk{i}" for i in range(30)]
+    rows = []
+    for i in range(900):
+        fine = rng.random() < 0.6
+        words = [rng.choice((good if rng.random() < 0.8 else bad) if fine else (bad if rng.random() < 0.8 else good)) for _ in range(rng.randrange(3, 40))]
+        rows.append((i, " ".join(words), rng.choice(["en", "de", None]), ("wiki" if rng.random() < 0.9 else "web") if fine else ("web" if rng.random() < 0.9 else "wiki")))
+    truth = {r[0]: int(r[3] == "wiki") for r in rows}
+    rows += [rows[i] for i in range(0, 900, 9)] * 3  # repeated rows, and equal texts under other ids
+    rows += [(1000 + i, *rows[7][1:]) for i in range(40)] + [(2000, "good1 good2 " * 200_000, "en", "wiki"), (2001, "", None, None), (2002, None, "en", "web")]
+    labels = [(i, truth[i], 0) for i in range(160)] + [(i, None, 0) for i in range(160, 200)]
+    settings = co_training.Settings(labelled_rows=100, most_a_round=most_a_round, sure=0.8)
+    docs = documents(spark, rows).repartition(7)
+    model = co_training.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), settings)
+
+    train = {r[0]: r for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    known = sorted((i for i in range(160) if i in train), key=signed_hash)[:100]
+    known.sort(key=lambda i: zlib.crc32(str(i).encode()))
+    pool = [i for i in train if i >= 160]
+
+    def features(ids):
+        text = np.zeros((len(ids), co_training.CELLS), np.float32)
+        for k, i in enumerate(ids):
+            at, n = np.unique(co_training.word_cells(train[i][1] or "", co_training._Cells()), return_counts=True)
+            if len(at):
+                text[k, at] = n.astype(np.float32) / n.astype(np.float32).sum() * 20
+        return text, np.array([co_training.shape(train[i][1] or "", train[i][3], train[i][2]) for i in ids], np.float32)
+
+    log = []
+    want = co_training.co_train(*features(known), np.array([float(truth[i]) for i in known]), settings, plain_pool(features(pool), pool, settings, log))
+    assert sum(len(ids) for *_, ids in log) > 4 * most_a_round * 0.5
+    for got, plain in ((model.text, want.text), (model.meta, want.meta), (model.text_calibration, want.text_calibration), (model.meta_calibration, want.meta_calibration)):
+        assert np.allclose(got, plain, rtol=1e-3, atol=1e-3)
+    scores = {}
+    for r in co_training.score_documents(docs, model).collect():
+        assert scores.setdefault(r["doc_id"], r["score"]) == r["score"]
+    text, meta = features(list(train))
+    plain = sum(np.clip(a * (x.astype(float) @ w) + b, -30, 30) for x, w, (a, b) in (
+        (text, model.text, model.text_calibration), (meta, model.meta, model.meta_calibration))) - model.prior
+    assert np.allclose([scores[i] for i in train], 1 / (1 + np.exp(-plain)), atol=1e-5)
+    assert len({scores[1000 + i] for i in range(40)}) == 1
 
 
 def test_quality_without_labels_and_with_nulls(spark):
