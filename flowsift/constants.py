@@ -188,3 +188,8 @@ ANOMALY_ROUTES = [
     ("dga_dns_tunneling", ["dns", "tunnel", "entropy", "query"]),
     ("volumetric_ddos", ["rate", "packet_count", "pps", "flood"]),
 ]
+
+# What an exported observation of an outside data set says of itself.
+OBSERVATION_TYPE = "external_observation"
+OBSERVATION_MISSING = ["entropy", "byte_ratio", "ja4"]
+OBSERVATION_NOTE = "Re-extract PCAP for inference; CSV definitions differ from 120ms windows"

@@ -380,7 +380,10 @@ def _fill() -> None:
     o["s6_zeek_log"] = """SELECT label, count(*) AS n, CAST(sum(port) AS BIGINT) AS ports FROM (
         SELECT CASE event_type WHEN 'click' THEN 'benign' WHEN 'view' THEN 'c2_beaconing' WHEN 'error' THEN 'recon_scanning' ELSE 'UNMATCHED' END AS label,
           user_id % 100 + 1 AS port FROM events) GROUP BY ALL"""
-    o["s7_provenance"] = """SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(event_id % 97) AS BIGINT) AS check FROM events WHERE event_type IN ('click', 'view', 'error')"""
+    o["s7_provenance"] = """SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(event_id % 97) AS BIGINT) AS check, count(*) AS hashed FROM events WHERE event_type IN ('click', 'view', 'error')"""
+    o["s6_iot23_folder"] = """SELECT CASE event_type WHEN 'click' THEN 'benign' WHEN 'view' THEN 'c2_beaconing' WHEN 'error' THEN 'recon_scanning' ELSE 'volumetric_ddos' END AS label,
+      'external_observation' AS record_type, event_id % 3 <> 0 AS csv, count(*) AS n, CAST(sum(user_id % 100 + 1) AS BIGINT) AS ports, CAST(sum(event_id) AS BIGINT) AS ids,
+      'entropy,byte_ratio,ja4' AS missing FROM events WHERE event_type IS DISTINCT FROM 'signup' GROUP BY ALL"""
     o["s8_sinks"] = sql("SELECT count(*) AS n, round(sum(size_mean), 3) AS size_mean, CAST(sum(fanout_count) AS BIGINT) AS fanout FROM flows")
 
     o["p1_window_bucket"] = sql(f"SELECT bucket, count(*) AS n, min(ts_us) AS first_ts, max(ts_us) AS last_ts FROM (SELECT ts_us // 120000 AS bucket, ts_us FROM packets) GROUP BY ALL")
@@ -449,6 +452,11 @@ def _fill() -> None:
     o["a19_load_report"] = """SELECT count(*) AS rows, count(*) FILTER (event_type IN ('click', 'view', 'error')) AS ok,
       count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) AS unmatched FROM events"""
 
+    o["a19_layouts"] = """SELECT CAST(event_id % 3 AS VARCHAR) AS layout, count(*) FILTER (event_id % 3 < 2) AS rows,
+      count(*) FILTER (event_id % 3 < 2 AND event_type IN ('click', 'view', 'error')) AS ok,
+      count(*) FILTER (event_id % 3 < 2 AND event_type NOT IN ('click', 'view', 'error')) AS unmatched,
+      count(*) FILTER (event_id % 3 = 1) AS invalid, event_id % 3 = 2 AS unlabelled FROM events GROUP BY event_id % 3"""
+
     o["w1_beacon_interval"] = sql(f"""SELECT {PAIR}, bucket, {r6s('beacon_mean', 'beacon_std', digits=3)} FROM arrivals LEFT JOIN w1 USING ({PAIR}, bucket)""", w1=beacons(10 * DAY, 8))
     o["w2_horizon_fanout"] = sql("SELECT * FROM hfan")
     o["w3_carried_ja4"] = sql(f"SELECT {TUPLE}, bucket, ja4 FROM w3", w3=prints(3 * DAY))

@@ -295,10 +295,37 @@ def s6_zeek_log(spark, folder):
 
 @query
 def s7_provenance(spark, folder):
-    seen = labelled.matched(labelled.read_labelled_csv(spark, _labelled_csv(spark, folder), "cicids2017", provenance=True))
+    path = _labelled_csv(spark, folder)
+    seen = labelled.matched(labelled.read_labelled_csv(spark, path, "cicids2017", provenance=True))
+    # The streamed digests against those of the engine's own function over whole contents.
+    whole = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("want"))
     own = F.col("measurements.fwd_pkts").cast("bigint")
-    return seen.filter((F.length("sha256") == 64) & (F.col("row") >= 2)).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(own).alias("ids"), F.sum(F.pmod(own, F.lit(97))).alias("check"))
+    return seen.join(whole, "path", "left").filter(F.col("row") >= 2).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(own).alias("ids"), F.sum(F.pmod(own, F.lit(97))).alias("check"),
+        F.count_if(F.col("sha256") == F.col("want")).alias("hashed"))
+
+
+@query
+def s6_iot23_folder(spark, folder):
+    """Logs and CSV files of one folder, each with its own header, as exported observations."""
+    path = fresh_folder(spark)
+    parts = table(spark, folder, "events").select(
+        (F.pmod("user_id", F.lit(100)) + 1).alias("Destination Port"), F.col("event_id").alias("Total Fwd Packets"),
+        _label_text("Benign", "C&C-HeartBeat", "PartOfAHorizontalPortScan", "Okiru", "DDoS").alias("Label"))
+    log = parts.filter("`Total Fwd Packets` % 3 = 0").select(F.concat_ws("\t", "Total Fwd Packets", "Destination Port", F.lit("-"), "Label").alias("value"))
+
+    def with_header(batches):
+        import pandas as pd
+        yield pd.DataFrame({"value": ["#separator x09", "#fields\torig_pkts\tid.resp_p\tlabel\tdetailed-label"]})
+        yield from batches
+
+    log.mapInPandas(with_header, "value string").write.text(f"{path}/logs")
+    parts.filter("`Total Fwd Packets` % 3 <> 0").write.option("header", True).csv(f"{path}/csv")
+    seen = labelled.read_iot23(spark, path, provenance=True, log_endings=(".txt",))
+    return labelled.observation_records(seen).groupBy("label", "record_type", F.col("source.path").endswith(".csv").alias("csv")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("measurements.dst_port").cast("bigint")).alias("ports"),
+        F.sum(F.col("measurements.fwd_pkts").cast("bigint")).alias("ids"), F.array_join(F.first("missing_features"), ",").alias("missing"))
 
 
 @query
@@ -581,6 +608,22 @@ def a19_load_report(spark, folder):
     return labelled.load_report(seen).agg(F.sum("rows").alias("rows"), F.sum("ok").alias("ok"), F.sum("unmatched").alias("unmatched"))
 
 
+@query
+def a19_layouts(spark, folder):
+    """Rows, kept, unmatched and invalid rows of files of three layouts; the third has no label column."""
+    path = fresh_folder(spark)
+    layouts = [["Destination Port", "Label"], ["Label", "Remark"], ["Destination Port", "Remark"]]
+    rows = table(spark, folder, "events").select(
+        F.pmod("event_id", F.lit(3)).alias("layout"), F.col("user_id").alias("Destination Port"), F.lit("x").alias("Remark"),
+        _label_text("BENIGN", "DDoS", "PortScan", "Bot", "Infiltration").alias("Label"))
+    for k, columns in enumerate(layouts):
+        rows.filter(F.col("layout") == k).select(*columns).write.option("header", True).csv(f"{path}/layout{k}")
+    report = labelled.load_report(
+        labelled.read_labelled_csv(spark, path, "cicids2017"), labelled.unlabelled_files(spark, path))
+    return report.groupBy(F.regexp_extract("path", "layout([0-9])", 1).alias("layout")).agg(
+        *[F.sum(n).alias(n) for n in ("rows", "ok", "unmatched", "invalid")], F.max("unlabelled").alias("unlabelled"))
+
+
 # ---- across windows ----
 
 @query

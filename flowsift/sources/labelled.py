@@ -7,49 +7,41 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.constants import CSV_ALIASES, LENIENT_ALIASES, UNMATCHED, ZEEK_FIELDS
+from flowsift.constants import CSV_ALIASES, LENIENT_ALIASES, OBSERVATION_MISSING, OBSERVATION_NOTE, OBSERVATION_TYPE, UNMATCHED, ZEEK_FIELDS
 from flowsift.functions.labels import exact_label, substring_label
 from flowsift.functions.net import int_div
 from flowsift.operators.ordered import CHUNK_ROWS, rank_rows
+from flowsift.sources.files import file_hashes, for_join, header_lines, listed, names
 
+NO_OBSERVATIONS = "path string, raw_label string, label string, measurements map<string,string>, model_ready boolean"
+PROVENANCE = ", sha256 string, row bigint, raw_fields map<string,string>"
 
-def list_files(spark: SparkSession, folder: str, *endings: str) -> list[str]:
-    """Files below a folder by name ending or infix, sorted, from the file system's own listing."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    paths = []
-    while found.hasNext():
-        path = found.next().getPath().toString()
-        name = path.rsplit("/", 1)[-1]
-        if any(name.endswith(e) or (e.endswith("*") and e[:-1] in name) for e in endings):
-            paths.append(path)
-    return sorted(paths)
-
-
-def header_line(spark: SparkSession, path: str) -> list[str]:
-    """First line of a file, split as CSV. Reads that line only."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
+
+def header_cells(line: str | None) -> list[str]:
     return next(csv.reader([line])) if line else []
 
 
-def resolve_headers(headers: list[str], aliases: dict[str, list[str]], clean=lambda h: h.strip().lower()) -> dict[str, int]:
+def _plain_name(header: str) -> str:
+    return header.strip().lower()
+
+
+def _loose_name(header: str) -> str:
+    return _plain_name(header).replace("_", " ").replace("-", " ")
+
+
+def resolve_headers(headers: list[str], aliases: dict[str, list[str]], clean=_plain_name) -> dict[str, int]:
     """Canonical column -> position; of several spellings the first listed one wins."""
     at = {clean(h): i for i, h in enumerate(headers)}
     return {name: at[hit] for name, spellings in aliases.items() for hit in [next((s for s in spellings if s in at), None)] if hit}
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+def _by_header(files: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header; the headers are read in tasks, and one row a file comes back."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        headers = header_line(spark, path)
+    for row in sorted(header_lines(files).select("load_path", "header").collect()):
+        headers = header_cells(row["header"])
         if headers:
-            groups.setdefault(tuple(headers), []).append(path)
+            groups.setdefault(tuple(headers), []).append(row["load_path"])
     return groups
 
 
@@ -61,12 +53,6 @@ def _cells(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
             "_mid": F.monotonically_increasing_id()})
 
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, sha256 of each source file."""
-    return spark.read.format("binaryFile").load(paths).select(
-        F.col("path"), F.sha2("content", 256).alias("sha256"))
-
-
 def number_rows(rows: DataFrame, out: str = "row_index") -> DataFrame:
     """0-based row number within its file, from the split start and the row's place in the split."""
     starts = rows.groupBy("path", "_block").agg(F.min("_mid").alias("_from"))
@@ -82,7 +68,8 @@ def read_labelled_csv(spark: SparkSession, folder: str, dataset: str, provenance
     measurements. With provenance: file hash, source row number and the raw cells.
     """
     parts = []
-    for headers, paths in _by_header(spark, list_files(spark, folder, ".csv")).items():
+    files = listed(spark, folder, ".csv")
+    for headers, paths in _by_header(files).items():
         at = resolve_headers(list(headers), CSV_ALIASES)
         if "label" not in at:
             continue
@@ -97,21 +84,19 @@ def read_labelled_csv(spark: SparkSession, folder: str, dataset: str, provenance
                 F.array(*[F.col(f"_c{len(headers) - 1 - headers[::-1].index(h)}") for h in dict.fromkeys(headers)]))})
         parts.append(rows.select("path", "_block", "_mid", "raw_label", "measurements", "raw_fields"))
     if not parts:
-        return spark.createDataFrame([], "path string, raw_label string, label string, measurements map<string,string>, model_ready boolean")
+        return spark.createDataFrame([], NO_OBSERVATIONS + (PROVENANCE if provenance else ""))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return _observations(spark, rows, dataset, provenance, first_row=2)
+    return _observations(rows, files, dataset, provenance, first_row=2)
 
 
-def _observations(spark, rows: DataFrame, dataset: str, provenance: bool, first_row: int) -> DataFrame:
+def _observations(rows: DataFrame, files: DataFrame, dataset: str, provenance: bool, first_row: int) -> DataFrame:
     rows = rows.withColumn("label", exact_label(F.col("raw_label"), dataset)).withColumn("model_ready", F.lit(False))
     keep = ["path", "raw_label", "label", "measurements", "model_ready"]
     if not provenance:
         return rows.select(*keep)
-    numbered = number_rows(rows)
-    paths = [r["path"] for r in rows.select("path").distinct().collect()]
-    return numbered.join(file_hashes(spark, paths), "path", "left").select(
+    return number_rows(rows).join(for_join(file_hashes(files).drop("load_path")), "path", "left").select(
         *keep, "sha256", (F.col("row_index") + first_row).alias("row"), "raw_fields")
 
 
@@ -119,12 +104,13 @@ def matched(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("label") != UNMATCHED)
 
 
-def unlabelled_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path of the CSV files that have no label column, or no header at all: the reader has no rows of them."""
-    names = [
-        path for path in list_files(spark, folder, ".csv")
-        if "label" not in resolve_headers(header_line(spark, path), CSV_ALIASES)]
-    return spark.createDataFrame([(n,) for n in names], "path string")
+def unlabelled_files(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
+    """path of the CSV files that have no label column, or no header at all: the readers have no rows of them."""
+    aliases, clean = (LENIENT_ALIASES, _loose_name) if lenient else (CSV_ALIASES, _plain_name)
+    labelled = {
+        r["path"] for r in header_lines(listed(spark, folder, ".csv")).collect()
+        if "label" in resolve_headers(header_cells(r["header"]), aliases, clean)}
+    return spark.createDataFrame([(n,) for n in names(spark, folder, ".csv") if n not in labelled], "path string")
 
 
 def load_report(observations: DataFrame, unlabelled: DataFrame | None = None) -> DataFrame:
@@ -151,12 +137,15 @@ def read_zeek(
     spark: SparkSession, folder: str, dataset: str = "iot23", provenance: bool = False, endings=(".log*",),
 ) -> DataFrame:
     """Observations of Zeek connection logs; each file's #fields line names its columns."""
-    paths = list_files(spark, folder, *endings)
+    files = listed(spark, folder, *endings)
+    # The paths alone, as the reader takes them.
+    paths = sorted(r["load_path"] for r in files.select("load_path").collect())
+    if not paths:
+        return spark.createDataFrame([], NO_OBSERVATIONS + (PROVENANCE if provenance else ""))
     lines = spark.read.text(paths).withColumns({
         "path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
         "_mid": F.monotonically_increasing_id()})
-    headers = lines.filter(F.col("value").startswith("#fields")).groupBy("path").agg(
-        F.min_by("value", "_mid").alias("_head"))
+    headers = for_join(header_lines(files, "#fields").select("path", F.col("header").alias("_head")))
     numbered = number_rows(lines) if provenance else lines
     words = F.split(F.trim("value"), r"\s+")
     # A file without a #fields line keeps its rows: they have no measurement and no label.
@@ -182,29 +171,46 @@ def read_zeek(
     keep = ["path", "raw_label", "label", "measurements", "model_ready"]
     if not provenance:
         return out.select(*keep)
-    return out.join(file_hashes(spark, paths), "path", "left").select(
+    return out.join(for_join(file_hashes(files).drop("load_path")), "path", "left").select(
         *keep, "sha256", (F.col("row_index") + 1).alias("row"), "raw_fields")
 
 
+def read_iot23(spark: SparkSession, folder: str, provenance: bool = False, log_endings=(".log*",)) -> DataFrame:
+    """Observations of a folder that holds Zeek logs (``.log`` in the name) and CSV files side by side.
+
+    A CSV file whose name holds ``.log`` is read both ways, as a log and as CSV.
+    """
+    return read_zeek(spark, folder, "iot23", provenance, log_endings).unionByName(read_labelled_csv(spark, folder, "iot23", provenance))
+
+
+def observation_records(observations: DataFrame) -> DataFrame:
+    """Matched observations with provenance as export records: measurements and source, never a model's input."""
+    return matched(observations).select(
+        F.lit(OBSERVATION_TYPE).alias("record_type"), "row", "measurements", "label",
+        F.struct("path", "sha256", "row", "raw_fields").alias("source"), "model_ready",
+        F.array(*[F.lit(m) for m in OBSERVATION_MISSING]).alias("missing_features"), F.lit(OBSERVATION_NOTE).alias("note"))
+
+
 def read_lenient_csv(spark: SparkSession, path: str, limit: int | None = None, header_length_as_ttl: bool = False) -> DataFrame:
     """Labelled CSV rows (a file, or a folder of files, each with its own header) as flow records.
 
-    Missing or non-finite numbers take defaults. Rows whose label maps to no class carry label
+    A file without a label column gives no rows; ``unlabelled_files`` names it. Without any labelled file the read
+    fails. Missing or non-finite numbers take defaults. Rows whose label maps to no class carry label
     NULL, so they can be counted. ``limit`` is the caller's wish to stop after that many usable rows.
     """
     aliases = dict(LENIENT_ALIASES)
     if not header_length_as_ttl:
         aliases["ttl"] = [a for a in aliases["ttl"] if a != "fwd header length"]
     flows = None
-    for headers, paths in _by_header(spark, list_files(spark, path, ".csv")).items():
-        at = resolve_headers(list(headers), aliases, lambda h: h.strip().lower().replace("_", " ").replace("-", " "))
+    for headers, paths in _by_header(listed(spark, path, ".csv")).items():
+        at = resolve_headers(list(headers), aliases, _loose_name)
         if "label" not in at:
-            raise ValueError(f"no label column among {list(headers[:8])} of {paths[0]}")
+            continue
         rows = _cells(spark, paths, len(headers))
         own = lenient_flow(number_rows(rows.withColumn("label", substring_label(F.col(f"_c{at['label']}")))), at)
         flows = own if flows is None else flows.unionByName(own)
     if flows is None:
-        raise ValueError(f"no CSV file with a header below {path}")
+        raise ValueError(f"no CSV file with a label column below {path}")
     if limit is not None:
         flows = flows.filter(F.col("label").isNotNull()).orderBy("path", "row_index").limit(limit)
     return flows

@@ -1,5 +1,7 @@
 """Packet JSON, flow records, labelled files, labels, addresses and fingerprints."""
 
+import gzip
+import hashlib
 import json
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from flowsift.functions import ja4 as tls
 from flowsift.functions.labels import exact_label, substring_label
 from flowsift.functions.net import in_networks, is_pure_syn
-from flowsift.sources import flow_json, labelled, packet_json
+from flowsift.sources import files, flow_json, labelled, packet_json
 
 
 def layers(**parts):
@@ -115,6 +117,51 @@ def test_zeek(spark, tmp_path):
     assert rows[0].measurements == {"dst_port": "80", "protocol": "tcp", "flow_duration": "1.5", "fwd_pkts": "10", "fwd_bytes": "1400"}
 
 
+def test_file_facts_are_read_in_tasks(spark, tmp_path):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    big = b"\xef" * (3 * files.PIECE + 17)
+    content = {"a.csv": b"x,y\r\n1,2\n", "b %41.csv": b"\n\nlabel\n", "c.csv": b"only", "d.csv": big, "e.csv": b"", "f.log.gz": gzip.compress(b"#a\n#fields\tts\n1\n")}
+    for name, raw in content.items():
+        (folder / name).write_bytes(raw)
+    found = files.listed(spark, str(folder), ".csv", ".log*")
+    hashes = {r["load_path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_hashes(found).collect()}
+    assert hashes == {n: hashlib.sha256(raw).hexdigest() for n, raw in content.items() if raw}
+    heads = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found).collect()}
+    assert heads == {"a.csv": "x,y", "b %41.csv": "", "c.csv": "only", "d.csv": None, "f.log.gz": "#a"}
+    marked = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found, "#fields").collect()}
+    assert marked == {**dict.fromkeys(heads), "f.log.gz": "#fields\tts"}
+    assert len(files.names(spark, str(folder), ".csv")) == 5
+    # The path is the one a scan gives its rows.
+    rows = spark.read.text(str(folder / "a.csv")).select(F.col("_metadata.file_path").alias("path")).distinct()
+    assert rows.join(found, "path").count() == 1
+
+
+def test_iot23_folder_of_logs_and_csv(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    log = "#separator x\n#fields\tts\tid.resp_p\tproto\tlabel\tdetailed-label\n1.0\t80\ttcp\tMalicious\tC&C-HeartBeat\n2.0\t81\ttcp\tbenign\tbenign\n"
+    (tmp_path / "sub" / "conn.log.labeled").write_text(log)
+    (tmp_path / "x.csv").write_text("Destination Port,Label\n53,DDoS\n54,other\n")
+    seen = labelled.read_iot23(spark, str(tmp_path), provenance=True)
+    got = {(r["source"]["path"].rsplit("/", 1)[1], r["row"], r["measurements"]["dst_port"]): r for r in labelled.observation_records(seen).collect()}
+    assert {("conn.log.labeled", 3, "80"), ("x.csv", 2, "53")} <= set(got)
+    assert not any(k[2] == "54" for k in got)
+    one = got["conn.log.labeled", 3, "80"]
+    assert one["source"]["sha256"] == hashlib.sha256(log.encode()).hexdigest()
+    assert (one["record_type"], one["model_ready"], one["missing_features"]) == ("external_observation", False, ["entropy", "byte_ratio", "ja4"])
+    assert labelled.read_iot23(spark, str(tmp_path / "sub")).count() == 2
+
+
+def test_lenient_folder_skips_and_reports_files_without_label(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Destination Port,Label\n80,BENIGN\n")
+    (tmp_path / "b.csv").write_text("Destination Port,Protocol\n1,6\n")
+    assert labelled.read_lenient_csv(spark, str(tmp_path)).count() == 1
+    assert [r["path"].rsplit("/", 1)[1] for r in labelled.unlabelled_files(spark, str(tmp_path), lenient=True).collect()] == ["b.csv"]
+    (tmp_path / "a.csv").unlink()
+    with pytest.raises(ValueError, match="label column"):
+        labelled.read_lenient_csv(spark, str(tmp_path))
+
+
 def test_lenient_csv(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text(
