@@ -1,7 +1,8 @@
 """Facts about source files, found in tasks: listing, header lines and digests.
 
-A file's own bytes are read as a stream by the task that has the file, so neither its size nor the number of files
-reaches the driver or a row. Opening goes by the scheme of the path (local and shared folders, S3, HDFS, GCS).
+Where the scheme is one of ``DIRECT``, the task that has a file reads its bytes as a stream: a header costs the first
+lines only, and a digest is of a file of any size. Files of any other store are read by Spark's own readers, with the
+same results: headers then cost a scan, and a digest needs the whole file in one row (below 2 GB).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.operators.staging import staged
@@ -20,6 +21,8 @@ from flowsift.operators.staging import staged
 #: A first line longer than this is no header.
 LONGEST_HEADER = 1 << 20
 PIECE = 1 << 22
+#: Schemes whose files a task opens by itself.
+DIRECT = ("file", "s3", "s3a", "s3n", "gs")
 #: Bytes of a table of one row a file that may be sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -54,16 +57,24 @@ def open_file(path: str, compression: str | None = None):
     return store.open_input_stream(place, compression=compression)
 
 
-def _with_fact(files: DataFrame, name: str, fact: Callable[[str], str | None]) -> DataFrame:
+def _with_fact(
+    files: DataFrame, name: str, fact: Callable[[str], str | None], scanned: Callable[[SparkSession, list[str]], DataFrame], direct: tuple[str, ...],
+) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([fact(p) for p in batch.column("path").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("load_path"), batch.column("path"), found], names=["load_path", "path", name])
 
-    return files.select("load_path", "path").mapInArrow(rows, f"load_path string, path string, {name} string")
+    files = files.select("load_path", "path")
+    opens = F.substring_index("path", ":", 1).isin(*direct)
+    facts = files.filter(opens).mapInArrow(rows, f"load_path string, path string, {name} string")
+    others = [r["load_path"] for r in files.filter(~opens).select("load_path").collect()]
+    if others:
+        facts = facts.unionByName(files.filter(~opens).join(scanned(files.sparkSession, others), "path", "left"))
+    return facts
 
 
-def header_lines(files: DataFrame, mark: str = "") -> DataFrame:
+def header_lines(files: DataFrame, mark: str = "", direct: tuple[str, ...] = DIRECT) -> DataFrame:
     """load_path, path and the first line that starts with ``mark``; null where there is none."""
     sign = mark.encode()
 
@@ -77,11 +88,17 @@ def header_lines(files: DataFrame, mark: str = "") -> DataFrame:
                 begins = line.endswith(b"\n")
         return None
 
-    return _with_fact(files, "header", first)
+    def scanned(spark: SparkSession, paths: list[str]) -> DataFrame:
+        place: Column = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), place.alias("place"))
+        head = F.min_by("value", "place")
+        return lines.filter(F.col("value").startswith(mark)).groupBy("path").agg(F.when(F.octet_length(head) < LONGEST_HEADER, head).alias("header"))
 
+    return _with_fact(files, "header", first, scanned, direct)
 
-def file_hashes(files: DataFrame) -> DataFrame:
-    """load_path, path and SHA-256 of the bytes of each file, whatever its size."""
+
+def file_hashes(files: DataFrame, direct: tuple[str, ...] = DIRECT) -> DataFrame:
+    """load_path, path and SHA-256 of the bytes of each file."""
     def digest(path: str) -> str:
         seen = hashlib.sha256()
         with open_file(path) as raw:
@@ -89,7 +106,11 @@ def file_hashes(files: DataFrame) -> DataFrame:
                 seen.update(piece)
         return seen.hexdigest()
 
-    return _with_fact(files, "sha256", digest)
+    def scanned(spark: SparkSession, paths: list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load(paths).select(
+            F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+    return _with_fact(files, "sha256", digest, scanned, direct)
 
 
 def for_join(per_file: DataFrame) -> DataFrame:

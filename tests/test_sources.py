@@ -117,7 +117,8 @@ def test_zeek(spark, tmp_path):
     assert rows[0].measurements == {"dst_port": "80", "protocol": "tcp", "flow_duration": "1.5", "fwd_pkts": "10", "fwd_bytes": "1400"}
 
 
-def test_file_facts_are_read_in_tasks(spark, tmp_path):
+@pytest.mark.parametrize("direct", [files.DIRECT, ()])
+def test_file_facts_are_read_in_tasks(spark, tmp_path, direct):
     folder = tmp_path / "with space"
     folder.mkdir()
     big = b"\xef" * (3 * files.PIECE + 17)
@@ -125,11 +126,11 @@ def test_file_facts_are_read_in_tasks(spark, tmp_path):
     for name, raw in content.items():
         (folder / name).write_bytes(raw)
     found = files.listed(spark, str(folder), ".csv", ".log*")
-    hashes = {r["load_path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_hashes(found).collect()}
+    hashes = {r["load_path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_hashes(found, direct).collect()}
     assert hashes == {n: hashlib.sha256(raw).hexdigest() for n, raw in content.items() if raw}
-    heads = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found).collect()}
+    heads = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found, direct=direct).collect()}
     assert heads == {"a.csv": "x,y", "b %41.csv": "", "c.csv": "only", "d.csv": None, "f.log.gz": "#a"}
-    marked = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found, "#fields").collect()}
+    marked = {r["load_path"].rsplit("/", 1)[1]: r["header"] for r in files.header_lines(found, "#fields", direct).collect()}
     assert marked == {**dict.fromkeys(heads), "f.log.gz": "#fields\tts"}
     assert len(files.names(spark, str(folder), ".csv")) == 5
     # The path is the one a scan gives its rows.
