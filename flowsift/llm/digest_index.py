@@ -1,8 +1,9 @@
 """Exact duplicates by a persistent digest index.
 
 The index is a table of distinct digests, bucketed and sorted by digest. New data is reduced to its distinct
-digests, matched with the index by a sort-merge anti-join and appended; the join reads the index bucket by
-bucket without shuffling or sorting it.
+digests, matched with the index by a sort-merge anti-join and appended; the digests that the index had are found by an
+inner join. Both joins read the index bucket by bucket without shuffling it, so only digests of the new data and their
+hits travel, whatever the size of the index.
 
 Defined results: a null text counts as the empty text. A null doc_id is larger than all others. Rows with equal
 text and equal doc_id are copies too; one of them stays. An empty table gives an empty result. Only the columns
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.llm.common import SPACES, text_or_empty
-from flowsift.operators.staging import shared_folder, staged
+from flowsift.operators.staging import delete_at_exit, shared_folder, staged
 
 
 def text_digest(text: Column) -> Column:
@@ -28,13 +29,15 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Distinct digests seen so far, each with the smallest doc_id and count of the batch that brought it.
 
-    ``location`` is a folder all executors reach; an index that lies there already is attached again. A failed
+    ``location`` is a folder all executors reach; an index that lies there already is attached again. Without one the
+    index lasts until the application ends. A failed
     append leaves the table as it was, and appending a batch twice adds nothing, so a batch can be rerun.
     """
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int = 64):
         self.spark = spark
         self.location = location or f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}"
+        self.temporary = location is None
         self.buckets = buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
@@ -45,9 +48,9 @@ class DigestIndex:
         """The index as a bucketed table."""
         return self.spark.table(self.name)
 
-    def unbucketed(self) -> DataFrame:
-        """The same rows as plain files: a join with a hot digest can then be split at run time."""
-        return self.spark.read.schema(self.rows().schema).parquet(self.location)
+    def hits(self, groups: DataFrame) -> DataFrame:
+        """The rows of the index whose digest the groups have."""
+        return self.rows().join(groups.select("digest"), "digest")
 
     def append_new(self, groups: DataFrame) -> DataFrame:
         """Append the groups whose digest the index lacks; returns them."""
@@ -55,6 +58,8 @@ class DigestIndex:
         (fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name, path=self.location))
         self.spark.catalog.refreshTable(self.name)
+        if self.temporary:
+            delete_at_exit(self.spark, self.location)
         return fresh
 
 
@@ -78,12 +83,13 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     ``kept`` is true for the row of each new digest that stays; texts the index had before keep no row.
     """
     rows = digests(docs)
-    fresh = index.append_new(digest_groups(rows)).select("digest", F.lit(True).alias("fresh"))
-    known = staged(index.unbucketed().join(fresh, "digest", "left"))
+    groups = staged(digest_groups(rows))
+    # Written before the append, so that they are the earlier batches' rows.
+    hits = staged(index.hits(groups))
+    known = hits.withColumn("fresh", F.lit(False)).unionByName(index.append_new(groups).withColumn("fresh", F.lit(True)))
     matched = rows.join(known, "digest")
     return matched.select(
-        "row_no", "doc_id", "keep_id", "group_size",
-        (F.coalesce("fresh", F.lit(False)) & (F.col("row_no") == F.col("keep_row"))).alias("kept"),
+        "row_no", "doc_id", "keep_id", "group_size", (F.col("fresh") & (F.col("row_no") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -44,6 +44,36 @@ def test_index_remembers_and_reattaches(spark, tmp_path):
     assert "hashpartitioning" not in plan.split("Physical Plan")[1]
 
 
+def test_later_batches_get_their_rows_from_the_index_without_moving_it(spark, tmp_path):
+    index = digest_index.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    rng = random.Random(4)
+    first = {}
+    for batch in range(3):
+        rows = [(1000 * batch + i, f"text {rng.randrange(150)}") for i in range(200)] + [(1000 * batch + 900 + i, "hot  text" if i % 2 else "hot text") for i in range(300)]
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t.replace("  ", " "), []).append(i)
+        got = {r["doc_id"]: r for r in marked(spark, rows, index)}
+        assert len(got) == len(rows)
+        for t, members in groups.items():
+            new = t not in first
+            keep, size = first.setdefault(t, (min(members), len(members)))
+            assert {(r["keep_id"], r["group_size"], r["kept"]) for r in (got[m] for m in members)} == (
+                {(keep, size, False)} if not new or size > 1 else set()) | ({(keep, size, True)} if new else set())
+    assert index.rows().count() == len(first)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = index.rows().limit(5).select("digest").distinct()
+        plan = index.hits(asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    # The index is read by one scan whose rows meet no exchange before the join.
+    index_side = plan.split("SortMergeJoin")[1].split("Bucketed: true")[0]
+    assert "Exchange" not in index_side
+
+
 def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
     docs = documents(spark, ODD).withColumn("digest", F.lit(1)).withColumn("keep_id", F.lit("x"))
     got = digest_index.drop_copies(docs, digest_index.DigestIndex(spark, buckets=2))
