@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 4096
+#: Bytes counted at once in a task, and the most that one row carries to it.
+SPAN = 1 << 18
+PIECE = 1 << 20
 
 
 def _starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -25,11 +28,24 @@ def _starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def _grouped(values: pa.Array, group: np.ndarray, n_groups: int) -> np.ndarray:
-    """(n_groups, 256) byte counts of a binary column, given the group of each row."""
+    """(n_groups, 256) byte counts of a binary column, given the ascending group of each row.
+
+    The bytes are counted SPAN at a time, across rows and inside long ones: the eight bytes of index
+    that each of them needs are held for one span only, whatever the length of the values.
+    """
+    counts = np.zeros((n_groups, 256), dtype=np.int64)
     offsets = np.frombuffer(values.buffers()[1], dtype=np.int32, count=len(values) + 1, offset=4 * values.offset)
-    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
-    owner = np.repeat(group, np.diff(offsets))
-    return np.bincount(owner * 256 + data, minlength=n_groups * 256).reshape(n_groups, 256)
+    if offsets[0] == offsets[-1]:
+        return counts
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)
+    for start in range(int(offsets[0]), int(offsets[-1]), SPAN):
+        end = min(start + SPAN, int(offsets[-1]))
+        first, after = np.searchsorted(offsets, start, "right") - 1, np.searchsorted(offsets, end, "left")
+        lowest, highest = group[first], group[after - 1]
+        index = np.repeat((group[first:after] - lowest) * 256, np.diff(offsets[first:after + 1].clip(start, end)))
+        index += data[start:end]
+        counts[lowest:highest + 1] += np.bincount(index, minlength=(highest - lowest + 1) * 256).reshape(-1, 256)
+    return counts
 
 
 def count_bytes(batches: Iterator[pa.RecordBatch], names: list[str], value: str) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,15 @@
 """Exact values of flow features on hand-made packets."""
 
 import math
+import random
+import tracemalloc
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import flows as fl, state
+from flowsift.operators import bytes as byte_counts, flows as fl, state
 from flowsift.sources.tables import packets_from_events, table
 from tests.helpers import by_flow, packet, packets
 
@@ -155,3 +159,46 @@ def test_time_chunks_do_not_change_results(spark, sf):
     ).groupBy("a.capture_id", "a.src_ip", "a.first_ts_us").agg(F.count_distinct("b.dst_ip", "b.dst_port").alias("horizon_fanout"))
     assert rows_of(state.horizon_fanout(seen, horizon_us=2 * day)) == rows_of(brute)
     seen.unpersist()
+
+
+def _byte_batches(rows, size):
+    keys, values = zip(*rows)
+    whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["k", "v"])
+    return iter([whole.slice(at, size) for at in range(0, len(rows), size)])
+
+
+def test_bytes_are_counted_alike_in_spans_of_any_size(monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, None if rng.random() < 0.1 else rng.randbytes(rng.choice((0, 1, 3, 8, 40)))) for k in sorted(rng.choices(range(30), k=200))]
+    rows += [(None, b"ab"), (None, b""), (None, b"b")]
+    expected = {}
+    for k, v in rows:
+        expected.setdefault(k, Counter()).update(v or b"")
+    for span, block, size in ((1, 7, 50), (5, 4096, 203), (64, 3, 11), (1 << 18, 4096, 203)):
+        monkeypatch.setattr(byte_counts, "SPAN", span, raising=False)
+        monkeypatch.setattr(byte_counts, "BLOCK", block)
+        got = [r for b in byte_counts.count_bytes(_byte_batches(rows, size), ["k"], "v") for r in b.to_pylist()]
+        assert len(got) == len(expected)
+        assert {r["k"]: {h["_token"]: h["_c"] for h in r["_hist"]} for r in got} == expected
+
+
+def test_counting_long_values_needs_little_memory():
+    batches = list(_byte_batches([(k, bytes(range(256)) * 4096) for k in range(16)], 16))
+    tracemalloc.start()
+    got = [r for b in byte_counts.count_bytes(iter(batches), ["k"], "v") for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [{h["_c"] for h in r["_hist"]} for r in got] == [{4096}] * 16
+    assert peak < 16 << 20  # less than the 16 MB of values; eight bytes of index for each would be 128 MB
+
+
+def test_entropy_of_values_in_pieces(spark):
+    texts = [(1, "häuser" * 5), (1, "abc"), (2, "abcabcab"), (3, ""), (4, None), (None, "ab"), (None, "cd"), (5, "abcabc")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    got = {r["doc_id"]: round(r["e"], 9) for r in fl.byte_entropy(rows, ["doc_id"], F.lit(0), "bytes", "e", piece=3).collect()}
+    counts = {}
+    for k, t in texts:
+        counts.setdefault(k, Counter()).update((t or "").encode())
+    assert got == {k: round(-sum(n / c.total() * math.log2(n / c.total()) for n in c.values()) + 0.0, 9) for k, c in counts.items()}
+    cut = rows.filter("doc_id = 2").select(F.explode(fl._pieces(F.col("bytes"), 3)).alias("p"))
+    assert [bytes(r["p"]) for r in cut.collect()] == [b"abc", b"abc", b"ab"]
